@@ -70,6 +70,6 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
 
 def repeat_taken(mixed: DataFrame) -> DataFrame:
-    """Rows as often as the mix takes them: taken over size to the nearest whole, halves up; rows of no words go once with targets of at least their source."""
+    """Rows as often as the mix takes them: taken over size to the nearest whole, halves up; rows of no words go once."""
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
     return mixed.where(times > 0).withColumn("_again", F.explode(F.sequence(F.lit(1), times))).drop("_again", "size", "source_size", "target", "taken")

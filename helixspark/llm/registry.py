@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm import mixing, packing, pii, sharding, tokens, warc
+from helixspark.llm import ann, dedup, mixing, packing, pii, quality, sharding, tokens, topk, warc
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -37,6 +45,17 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    usable = F.when(topk.V.whole(F.col("embedding")), whole)
+    return topk.top_products(vectors.select("vec_id", usable.alias("vector")), F.col("id") % 50 == 0)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write(_table(spark, sf_dir, "pages")).records().drop("payload", "url_key")
 
@@ -54,9 +73,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_pack": op3_pack,
     "op4_mix": op4_mix,
     "op5_shard": op5_shard,
+    "op6_quality": op6_quality,
+    "op7_top_products": op7_top_products,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
