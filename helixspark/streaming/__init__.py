@@ -1 +1 @@
-"""Spark-native analytics over omics tables and knowledge graphs."""
+"""Incremental ingest: the per-cell operators are stateless for each cell and run unchanged on micro-batches."""
