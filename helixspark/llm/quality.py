@@ -143,11 +143,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
 
     Counts of all trusted text are summed in each task before they are shuffled. The model has CLASSES ** ORDER entries
     at most (64 MB as floats in a worker), whatever the corpus, and goes to the executors as a broadcast of its non-zero
-    entries; documents' texts are not shuffled to be scored. Perplexity is null for a null or empty text.
+    entries; documents' texts are shuffled once, to meet the ids of the trusted, by the same join at every size, and not to
+    be scored. Perplexity is null for a null or empty text.
     """
     spark = docs.sparkSession
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    counts = ids.join(trusted, "doc_id", "left_semi").select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = ids.join(trusted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     model = spark.sparkContext.broadcast(estimate(counts))
     kept = [docs[c].alias(c) for c in keep]
     extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
