@@ -13,13 +13,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier keeps; those without a doc_id stay, and rows that share one go only if all of them are rejected."""
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     gone = scored.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group (five words, similarity of 0.8); those without a doc_id stay, and rows that share one share its fate."""
     gone = dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm.components import components
-from helixspark.llm.shared import staged
+from helixspark.llm.shared import Stage, staged
 from helixspark.llm.textkit import mix64, shingle_hashes
 
 #: Registers of 16 bits: six of the count of leading zeros, ten of the mantissa after the leading one. The highest value marks an empty one.
-BANDS, WIDTH, MANTISSA = 42, 6, 10
+BANDS, WIDTH, MANTISSA = 48, 8, 10
 REGISTERS = BANDS * WIDTH
 EMPTY = 0xFFFF
 #: Two different minima agree in zeros (one in three) and mantissa.
@@ -47,8 +47,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def floor_of(similarity: float) -> float:
-    """Estimates below this are six standard deviations under the similarity."""
-    return similarity - 6 * (similarity * (1 - similarity) / REGISTERS) ** 0.5
+    """Estimates below this are 4.5 standard deviations under the similarity."""
+    return similarity - 4.5 * (similarity * (1 - similarity) / REGISTERS) ** 0.5
 
 
 def _sketch(k: int):
@@ -85,17 +85,29 @@ def _near(least: float):
     return run
 
 
-def _cross(least: float):
-    """For one block of a bucket: pairs of a minority member and any member of another component, by estimate."""
+def _cross(least: float, most: int | None):
+    """For one block of a bucket: pairs of a minority member and any member of another component, by estimate.
+
+    A pair is looked at only in the first band that its two share. ``most`` keeps each minority member's nearest few.
+    """
 
     def run(few: pa.Table, many: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if few.num_rows and many.num_rows:
             ids, group, regs = many["id"].to_numpy(), many["component"].to_numpy(), _matrix(many["sketch"].combine_chunks())
-            for i, c, s in zip(few["id1"].to_pylist(), few["component1"].to_pylist(), few["sketch1"].to_pylist(), strict=True):
-                hit = (group != c) & (estimate(np.frombuffer(s, np.uint16)[None, :], regs) >= least)
-                out_a.append(np.minimum(ids[hit], i))
-                out_b.append(np.maximum(ids[hit], i))
+            band = few["band1"][0].as_py()
+            for i, c, raw in zip(few["id1"].to_pylist(), few["component1"].to_pylist(), few["sketch1"].to_pylist(), strict=True):
+                s = np.frombuffer(raw, np.uint16)
+                other = np.flatnonzero(group != c)
+                shared = (regs[other, : band * WIDTH] == s[: band * WIDTH]).reshape(len(other), band, WIDTH).all(axis=2)
+                used = (s[: band * WIDTH] != EMPTY).reshape(band, WIDTH).any(axis=1)
+                other = other[~(shared & used).any(axis=1)]
+                e = estimate(s[None, :], regs[other])
+                other, e = other[e >= least], e[e >= least]
+                if most is not None and len(other) > most:
+                    other = other[np.argpartition(-e, most)[:most]]
+                out_a.append(np.minimum(ids[other], i))
+                out_b.append(np.maximum(ids[other], i))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
@@ -128,12 +140,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Returns one row per input row with a doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
-    Equal sets are one class from the start, by a 128-bit fingerprint, so copies never form pairs. Each class has 252
-    HyperMinHash registers in 42 bands of 6; at a similarity of 0.8 a pair misses all bands with a chance under 1e-5, at
-    0.85 under 1e-8; sparse sets share bands that no difference falls in. Members of a bucket are first paired with its
+    Equal sets are one class from the start, by a 128-bit fingerprint, so copies never form pairs. Each class has 384
+    HyperMinHash registers in 48 bands of 8; at a similarity of 0.8 a pair misses all bands with a chance under 2e-4, at
+    0.85 under 1e-6; sparse sets share bands that no difference falls in. Members of a bucket are first paired with its
     smallest class alone; estimates prune, full sets decide, and components are formed. In buckets that still hold
     several components, members outside the largest are compared with all of other components by registers in blocks of
-    1000, and full sets decide again: no pair that shares a bucket goes untested unless its ends are linked already.
+    1000, and full sets decide again, first on each member's nearest few, which joins most, then on all the rest: no pair that shares a bucket goes untested unless its ends are linked already.
     Skew: minima and counts are aggregated before shuffles, blocks are bounded, and joins may be split. Nothing but
     counts reaches the driver.
 
@@ -148,14 +160,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     nodes = staged(classes, "classes", "uncompressed")
     sketches = nodes.select(F.col("rep").alias("id"), "sketch")
     band = lambda s: lambda b: F.struct(F.substring(s, b * (2 * WIDTH) + 1, F.lit(2 * WIDTH)).alias("x"), b.alias("b"))
-    keys = sketches.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band(F.col("sketch")))).alias("z")).where(F.col("z.x") != F.lit(b"\xff" * (2 * WIDTH))).select(F.xxhash64("z.b", "z.x").alias("key"), "id").distinct()
+    keys = sketches.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band(F.col("sketch")))).alias("z")).where(F.col("z.x") != F.lit(b"\xff" * (2 * WIDTH))).select(F.xxhash64("z.b", "z.x").alias("key"), F.col("z.b").alias("band"), "id")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = staged(keys.join(heads, "key"), "members")
 
+    named = members.select("id").distinct()
+    texts = staged(rows.join(named.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of distinct (a, b), those that link on full sets."""
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = staged(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+        """Of distinct (a, b), those that link on full sets; only texts of rows that share a bucket are read."""
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return full.select("a", "b", "ta", "tb").mapInArrow(_similar(shingle, percent), "a long, b long")
 
@@ -164,18 +177,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = staged(verified(staged(seen.mapInArrow(_near(least), "a long, b long"), "near")), "links")
     first = staged(components(links), "components")
 
-    open_rows = members.where("id <> head").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = staged(open_rows.join(mixed, "key", "left_semi"), "open")
-    if not open_rows.isEmpty():
+    for most in (4, None):
+        open_rows = members.where("id <> head").join(first, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+        mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        opened = Stage(open_rows.join(mixed, "key", "left_semi"), "open")
+        open_rows = opened.df
+        if open_rows.isEmpty():
+            break
         sizes = open_rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", F.col("component"))).alias("top"), F.sum("n").alias("all"))
         plan = sizes.select("key", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("parts"))
         ready = open_rows.join(plan, "key").join(sketches, "id")
         deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
         many = ready.select("key", "id", "component", "sketch", deal(F.col("blocks"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-        few = ready.where("component <> main").select("key", "id", "component", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), deal(F.col("parts"), 2).alias("j"))
-        pairs = staged(few.toDF("key1", "id1", "component1", "sketch1", "i1", "j1").groupBy("key1", "i1", "j1").cogroup(many.groupBy("key", "i", "j")).applyInArrow(_cross(least), "a long, b long").distinct(), "pairs")
-        links = links.unionByName(verified(pairs))
+        few = ready.where("component <> main").select("key", "band", "id", "component", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), deal(F.col("parts"), 2).alias("j"))
+        few = few.toDF("key1", "band1", "id1", "component1", "sketch1", "i1", "j1")
+        pairs = Stage(few.groupBy("key1", "i1", "j1").cogroup(many.groupBy("key", "i", "j")).applyInArrow(_cross(least, most), "a long, b long").distinct(), "pairs")
+        links = staged(links.unionByName(verified(pairs.df)), "links")
+        opened.drop()
+        pairs.drop()
         first = staged(components(links), "components")
     of_class = nodes.select("p1", "p2", "n", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = marks.select("id", "n", "p1", "p2").join(of_class, ["p1", "p2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
