@@ -7,84 +7,149 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textkit
 from helixspark.llm.shared import staged
 
-#: Classes of characters: 0 is a text's edge; each letter of the common Latin alphabets, and common signs, are their own; others by kind.
-SINGLE = "abcdefghijklmnopqrstuvwxyz .,'\n-\"!?:;àâäáçéèêëíîïñóôöúùûüßœ"
-EDGE, UPPER, DIGIT, LETTER_ELSE, SPACE_ELSE, OTHER = 0, 1, 2, 3, 4, 5
-CLASSES = 64
-ORDER = 4
-
-
-def class_of() -> np.ndarray:
-    """The class of each code point."""
-    kind = textkit.class_table()
-    table = np.full(len(kind), OTHER, np.int32)
-    table[kind == textkit.LETTER] = LETTER_ELSE
-    table[kind == textkit.NUMBER] = DIGIT
-    table[kind == textkit.SPACE] = SPACE_ELSE
-    for cp in np.flatnonzero(kind[:0x600] == textkit.LETTER).tolist():
-        if chr(cp).isupper():
-            table[cp] = UPPER
-    for i, c in enumerate(SINGLE):
-        table[ord(c)] = 6 + i
-    return table
-
-
-_table: list[np.ndarray] = []
-
-
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, at every character, the number of the ORDER classes that end there (edges before the start); flat, with offsets."""
-    if not _table:
-        _table.append(class_of())
-    strings = pc.fill_null(texts, "").to_pylist()
-    cp, offsets = textkit.code_points(strings)
-    c = _table[0][cp]
-    g = c.copy()
-    at = np.arange(len(c)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for back in range(1, ORDER):
-        shifted = np.zeros_like(c)
-        shifted[back:] = c[:-back] if back < len(c) else 0
-        shifted[at < back] = EDGE
-        g += shifted * CLASSES**back
-    return g, offsets
+#: Grams are strings of so many characters, as they are in the texts; EDGE stands before a text's start.
+ORDER, EDGE = 5, "\0"
+#: Characters of a block, the unit in which texts meet their grams' probabilities; a longer text is a block of its own.
+BLOCK = 1 << 24
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _keys(c: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit key of grams given as ORDER arrays of code points; tells grams of one block apart."""
+    c = [x.astype(np.uint64) for x in c]
+    with np.errstate(over="ignore"):
+        return textkit.mix64((c[0] << np.uint64(42)) | (c[1] << np.uint64(21)) | c[2]) + ((c[3] << np.uint64(21)) | c[4]) * _MULT
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """ORDER arrays with the code points of the gram that ends at each character, texts end to end, and the texts' offsets."""
+    cp, offsets = textkit.code_points(texts)
+    at = np.arange(len(cp)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = [cp]
+    for back in range(1, ORDER):
+        shifted = np.zeros_like(cp)
+        shifted[back:] = cp[:-back]
+        shifted[at < back] = ord(EDGE)
+        out.insert(0, shifted)
+    return out, offsets
+
+
+class Grams:
+    """Distinct grams of texts that are added in parts, with their counts."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, texts: list[str]) -> None:
+        c, _ = windows(texts)
+        keys, first, n = np.unique(_keys(c), return_index=True, return_counts=True)
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        hit[inside] = self.keys[at[inside]] == keys[inside]
+        self.n[at[hit]] += n[hit]
+        new = first[~hit]
+        flat = np.stack([x[new] for x in c], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        grams = np.array([flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], object)
+        keys = np.concatenate((self.keys, keys[~hit]))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.n, self.grams = keys[order], np.concatenate((self.n, n[~hit]))[order], np.concatenate((self.grams, grams))[order]
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    for a, z in textkit.chunks(sizes):
+        yield a, pc.fill_null(texts.slice(a, z - a), "").to_pylist()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, ...) as blocks: their ids, distinct grams, and the rows themselves, compressed."""
+    number = TaskContext.get().partitionId() << 33
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        nonlocal number
+        seen = Grams()
+        for _, texts in _parts(rows["text"].combine_chunks()):
+            seen.add(texts)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows)
+        number += 1
+        one = lambda x, kind: pa.array([x], kind)
+        ids = rows["doc_id"].drop_null().to_pylist()
+        return pa.RecordBatch.from_arrays([one(number, pa.int64()), one(ids, pa.list_(pa.int64())), one(seen.grams.tolist(), pa.list_(pa.string())), one(sink.getvalue().to_pybytes(), pa.binary())], ["block", "ids", "grams", "rows"])
+
+    held, size = [], 0
     for b in batches:
-        sizes = pc.fill_null(pc.utf8_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.utf8_length(b["text"]), 0).to_numpy(zero_copy_only=False)
         for a, z in textkit.chunks(sizes):
-            yield b.slice(a, z - a)
+            n = int(sizes[a:z].sum())
+            if held and size + n > BLOCK:
+                yield made(pa.Table.from_batches(held))
+                held, size = [], 0
+            held.append(b.slice(a, z - a))
+            size += n
+    if held:
+        yield made(pa.Table.from_batches(held))
+
+
+def _rows(block: pa.Table) -> pa.Table:
+    return pa.ipc.open_stream(block["rows"][0].as_buffer()).read_all().combine_chunks()
+
+
+def _count(block: pa.Table, trusted: pa.Table) -> pa.Table:
+    """Grams and their counts in the trusted rows of a block."""
+    seen = Grams()
+    if block.num_rows and trusted.num_rows:
+        rows = _rows(block)
+        good = rows.filter(pc.is_in(rows["doc_id"], value_set=trusted["doc_id"].combine_chunks()))
+        for _, texts in _parts(good["text"].combine_chunks()):
+            seen.add(texts)
+    return pa.table({"gram": pa.array(seen.grams.tolist(), pa.string()), "n": seen.n})
+
+
+def _score(block: pa.Table, known: pa.Table) -> pa.Table:
+    """Rows of a block with the number of characters and the perplexity in place of the text."""
+    rows = _rows(block)
+    spelled = np.frombuffer("".join(known["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+    keys = _keys([spelled[:, i] for i in range(ORDER)])
+    order = np.argsort(keys)
+    keys, log_p = keys[order], known["log_p"].to_numpy()[order]
+    n, mean = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
+    for a, texts in _parts(rows["text"].combine_chunks()):
+        c, offsets = windows(texts)
+        part = slice(a, a + len(texts))
+        n[part] = np.diff(offsets)
+        if len(c[0]):
+            sums = np.concatenate(([0.0], np.cumsum(log_p[np.searchsorted(keys, _keys(c))])))
+            mean[part] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n[part], 1)
+    out = {"doc_id": rows["doc_id"], "n_chars": pa.array(n), "perplexity": pa.array(np.exp(-mean), mask=n == 0)}
+    return pa.table(out | {name: rows[name] for name in rows.column_names[2:]})
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for b in _parts(batches, 0):
-        g, _ = grams(b.column(0))
-        seen, n = np.unique(g, return_counts=True)
-        if total is None:
-            total = np.zeros(CLASSES**ORDER, np.int64)
-        total[seen] += n
-    if total is not None:
-        some = np.flatnonzero(total)
-        for a in range(0, len(some), 100_000):
-            part = some[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part])], ["gram", "n"])
+def _prefix(order: int) -> Column:
+    return F.substring("gram", 1, order - 1)
 
 
-def estimate(counts: DataFrame) -> list[list]:
-    """The model's rows (order, gram, weight) and (order, context, back-off) from (gram, n) of the highest order.
+def _suffix(order: int) -> Column:
+    return F.substring("gram", 2, order - 1)
+
+
+def estimate(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: (gram, w) and (context, b), weights and back-offs, from (gram, n) of the highest order.
 
     The highest order uses counts, lower ones continuation counts (in how many ways a gram is extended to the left).
-    Three discounts an order come from its counts of counts. Counts are joined with their contexts' totals by key, in
-    shards. The classes bound the rows: CLASSES ** ORDER at most.
+    Three discounts an order come from its counts of counts, which are all that reaches the driver. Counts are joined
+    with their contexts' totals by key, in shards.
     """
-    out: list[list] = []
+    out = []
     level = counts
     for order in range(ORDER, 0, -1):
         level = staged(level, f"order{order}")
@@ -92,45 +157,35 @@ def estimate(counts: DataFrame) -> list[list]:
         n1, n2, n3, n4 = (cc.get(i, 0) or 1 for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         d = [min(max(x, 0.05), i * 0.95) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-        context = F.floor(F.col("gram") / CLASSES).cast("long")
         off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = level.withColumn("context", context).withColumn("off", off)
+        rows = level.withColumn("context", _prefix(order)).withColumn("off", off)
         totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("free"))
-        weights = rows.join(totals, "context").select("gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("w"))
-        out.append([order, weights.toPandas().to_numpy().T, totals.select("context", (F.col("free") / F.col("total")).alias("b")).toPandas().to_numpy().T])
-        level = level.groupBy((F.col("gram") % CLASSES ** (order - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        weights = rows.join(totals.hint("merge"), "context").select("gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("w"))
+        out.insert(0, (weights, totals.select("context", (F.col("free") / F.col("total")).alias("b"))))
+        level = level.groupBy(_suffix(order).alias("gram")).agg(F.count("*").alias("n"))
     return out
 
 
-def probabilities(model: list[list]) -> np.ndarray:
-    """Log probability of each gram's last class after its others: interpolated from the lowest order up. CLASSES ** ORDER floats."""
-    p = np.full(1, 1.0 / CLASSES)
-    for order, weights, backs in reversed(model):
-        back = np.ones(CLASSES ** (order - 1))
-        back[backs[0].astype(np.int64)] = backs[1]
-        lower = np.tile(p, CLASSES) if order > 1 else np.full(CLASSES, p[0])
-        p = np.repeat(back, CLASSES) * lower
-        p[weights[0].astype(np.int64)] += weights[1]
-    return np.log(p).astype(np.float32)
-
-
-def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(model) not in _ready:
-            _ready.clear()
-            _ready[id(model)] = probabilities(model.value)
-        log_p = _ready[id(model)]
-        for b in _parts(batches, 1):
-            g, offsets = grams(b.column(1))
-            sums = np.concatenate(([0.0], np.cumsum(log_p[g], dtype=np.float64)))
-            n = np.diff(offsets)
-            mean = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.exp(-mean), mask=n == 0), *b.columns[2:]], ["doc_id", "n_chars", "perplexity", *b.schema.names[2:]])
-
-    return run
+def probabilities(model: list[tuple[DataFrame, DataFrame]], grams: DataFrame) -> DataFrame:
+    """(gram, p) of distinct grams: the last character's probability after the others, interpolated from the lowest order up.
 
-
-_ready: dict[int, np.ndarray] = {}
+    Each order's weights, back-offs and lower probabilities meet its distinct grams in joins by key. A character that
+    trusted text lacks shares one equal part of the lowest order.
+    """
+    asked = [grams]
+    for order in range(ORDER, 1, -1):
+        asked.insert(0, asked[0].select(_suffix(order).alias("gram")).distinct())
+    characters, backs = model[0]
+    free = backs.first()
+    base = (free["b"] if free else 1.0) / (characters.count() + 1)
+    p = asked[0].join(characters.hint("merge"), "gram", "left").select("gram", (F.coalesce("w", F.lit(0.0)) + base).alias("p"))
+    for order in range(2, ORDER + 1):
+        weights, backs = model[order - 1]
+        lower = staged(p, f"lower{order}").select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        found = asked[order - 1].join(weights.hint("merge"), "gram", "left").withColumn("context", _prefix(order)).withColumn("suffix", _suffix(order))
+        found = found.join(backs.hint("merge"), "context", "left").join(lower.hint("merge"), "suffix")
+        p = found.select("gram", (F.coalesce("w", F.lit(0.0)) + F.coalesce("b", F.lit(1.0)) * F.col("lower")).alias("p"))
+    return p
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -141,31 +196,36 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """(doc_id, n_chars, perplexity) and the columns of ``keep`` of every document under the model of trusted documents.
 
-    Counts of all trusted text are summed in each task before they are shuffled. The model has CLASSES ** ORDER entries
-    at most (64 MB as floats in a worker), whatever the corpus, and goes to the executors as a broadcast of its non-zero
-    entries; documents' texts are shuffled once, to meet the ids of the trusted, by the same join at every size, and not to
-    be scored. Perplexity is null for a null or empty text.
+    Documents are written once as blocks of 16 million characters with their distinct grams. Ids of trusted rows meet
+    blocks and their grams are counted; then every distinct gram of the corpus gets its probability by joins on grams,
+    each block asks for its own, and sums them over its texts. Counts, model and answers are sharded by gram and grow
+    with the corpus; nothing is broadcast. Perplexity is null for a null or empty text.
     """
-    spark = docs.sparkSession
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    counts = ids.join(trusted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    model = spark.sparkContext.broadcast(estimate(counts))
     kept = [docs[c].alias(c) for c in keep]
-    extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *kept).mapInArrow(_score(model), f"doc_id long, n_chars long, perplexity double{', ' if extra else ''}{extra}")
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1) -> DataFrame:
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *kept)
+    blocks = staged(slim.mapInArrow(_blocks, "block long, ids array<long>, grams array<string>, rows binary"), "blocks")
+    rows = blocks.select(F.col("block").alias("id"), "rows").groupBy("id")
+    good = blocks.select("block", F.explode("ids").alias("doc_id")).distinct().join(trusted.hint("merge"), "doc_id")
+    counts = rows.cogroup(good.select("block", "doc_id").groupBy("block")).applyInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    asked = blocks.select("block", F.explode("grams").alias("gram"))
+    p = staged(probabilities(estimate(counts), asked.select("gram").distinct()), "probabilities")
+    answers = asked.join(p.hint("merge"), "gram").select("block", "gram", F.log("p").alias("log_p"))
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.cogroup(answers.groupBy("block")).applyInArrow(_score, f"doc_id long, n_chars long, perplexity double{extra}")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1, folds: int = 5) -> DataFrame:
     """Keep documents whose perplexity is at most their language's threshold; (doc_id, lang, n_chars, perplexity, threshold, kept).
 
-    A language's threshold is ``margin`` times the ``quantile`` of its trusted documents' perplexities; a language without
-    trusted documents (null is a language) takes the threshold over all of them; without any trusted document all are
-    kept. Null and empty texts have no perplexity and are kept. One row for each input row, repeated ones too; an
+    One of ``folds`` trusted ids, by hash, is held out and the model is trained on the others. A language's threshold is
+    ``margin`` times the ``quantile`` of its held-out documents' perplexities; a language without any (null is a
+    language) takes the threshold over all of them; where none is held out at all, every document is kept. Null and empty texts have no perplexity and are kept. One row for each input row, repeated ones too; an
     empty table gives an empty one; columns but doc_id, text, lang are not read; label rows count by doc_id.
     """
     trusted = trusted_ids(labels)
-    scores = staged(perplexities(docs, trusted), "scores")
-    good = scores.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
+    scores = staged(perplexities(docs, trusted.where(~held_out)), "scores")
+    good = scores.join(trusted.where(held_out).hint("merge"), "doc_id", "left_semi").where("perplexity is not null")
     limit = lambda: (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
     by_lang = good.groupBy(F.col("lang").alias("_lang")).agg(limit())
     every = good.agg(limit()).first()[0]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -265,9 +266,21 @@ def test_quality(spark):
 
 
 def test_model_sums_to_one(spark):
-    counts = spark.createDataFrame([((a * 64 + b) * 4096 + b * 64 + a, n) for a, b, n in [(7, 8, 3), (8, 9, 1), (7, 9, 2), (10, 11, 4), (12, 9, 1)]], "gram long, n long")
-    p = np.exp(quality.probabilities(quality.estimate(counts)).astype(np.float64)).reshape(-1, 64).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
+    counts = spark.createDataFrame([("abcab", 3), ("bcabc", 1), ("abcac", 2), ("xxxab", 4), ("cabca", 1)], "gram string, n long")
+    contexts = ["abca", "bcab", "zzca", "zzzz"]
+    grams = spark.createDataFrame([(c + x,) for c in contexts for x in "abc?"], "gram string")
+    p = {r.gram: r.p for r in quality.probabilities(quality.estimate(counts), grams).collect()}
+    assert all(abs(sum(p[c + x] for x in "abc?") - 1) < 1e-9 for c in contexts)
+    assert p["abcab"] > p["abcaa"] > 0 and p["zzzz?"] > 0
+
+
+def test_grams_of_parts_add_up():
+    texts = ["", "abcabc", "é\U0001f600a", "abcabcabc"]
+    seen = quality.Grams()
+    for t in texts:
+        seen.add([t])
+    want = Counter((quality.EDGE * 4 + t)[i : i + 5] for t in texts for i in range(len(t)))
+    assert dict(zip(seen.grams.tolist(), seen.n.tolist(), strict=True)) == want
 
 
 def test_pipeline_and_registry(spark, sf):
