@@ -46,6 +46,14 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / np.maximum(some.sum(axis=-1), 1) - COLLISION) / (1 - COLLISION)
 
 
+def estimate_against(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """As ``estimate`` of one set against each row of ``many``: equal registers are summed eight at a time."""
+    same = (many == one).view(np.uint64).sum(axis=1)[:, None].view(np.uint8).sum(axis=1, dtype=np.int64)
+    empty = np.flatnonzero(one == EMPTY)
+    neither = (many[:, empty] == EMPTY).sum(axis=1)
+    return ((same - neither) / np.maximum(REGISTERS - neither, 1) - COLLISION) / (1 - COLLISION)
+
+
 def floor_of(similarity: float) -> float:
     """Estimates below this are 4.5 standard deviations under the similarity."""
     return similarity - 4.5 * (similarity * (1 - similarity) / REGISTERS) ** 0.5
@@ -85,24 +93,30 @@ def _near(least: float):
     return run
 
 
-def _cross(least: float, most: int | None):
+def _cross(least: float, percent: int, most: int | None):
     """For one block of a bucket: pairs of a minority member and any member of another component, by estimate.
 
-    A pair is looked at only in the first band that its two share. ``most`` keeps each minority member's nearest few.
+    A pair is looked at only in the first band that its two share, and only where the sizes of its sets allow the
+    similarity. ``most`` keeps each minority member's nearest few.
     """
 
     def run(few: pa.Table, many: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if few.num_rows and many.num_rows:
-            ids, group, regs = many["id"].to_numpy(), many["component"].to_numpy(), _matrix(many["sketch"].combine_chunks())
+            ids, group, n, regs = many["id"].to_numpy(), many["component"].to_numpy(), many["n"].to_numpy(), _matrix(many["sketch"].combine_chunks())
+            halves = regs.view(np.uint64).reshape(len(regs), BANDS, WIDTH // 4)
             band = few["band1"][0].as_py()
-            for i, c, raw in zip(few["id1"].to_pylist(), few["component1"].to_pylist(), few["sketch1"].to_pylist(), strict=True):
+            for i, c, m, raw in zip(few["id1"].to_pylist(), few["component1"].to_pylist(), few["n1"].to_pylist(), few["sketch1"].to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint16)
-                other = np.flatnonzero(group != c)
-                shared = (regs[other, : band * WIDTH] == s[: band * WIDTH]).reshape(len(other), band, WIDTH).all(axis=2)
-                used = (s[: band * WIDTH] != EMPTY).reshape(band, WIDTH).any(axis=1)
-                other = other[~(shared & used).any(axis=1)]
-                e = estimate(s[None, :], regs[other])
+                other = np.flatnonzero((group != c) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                used = np.flatnonzero((s[: band * WIDTH] != EMPTY).reshape(band, WIDTH).any(axis=1))
+                for earlier in used.tolist():
+                    if not len(other):
+                        break
+                    mine = s.view(np.uint64)[earlier * 2 : earlier * 2 + 2]
+                    h = halves[other, earlier]
+                    other = other[(h[:, 0] != mine[0]) | (h[:, 1] != mine[1])]
+                e = estimate_against(s, regs[other])
                 other, e = other[e >= least], e[e >= least]
                 if most is not None and len(other) > most:
                     other = other[np.argpartition(-e, most)[:most]]
@@ -158,7 +172,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     marks = staged(rows.mapInArrow(_sketch(shingle), "id long, n long, p1 long, p2 long, sketch binary"), "marks", "uncompressed")
     classes = marks.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     nodes = staged(classes, "classes", "uncompressed")
-    sketches = nodes.select(F.col("rep").alias("id"), "sketch")
+    sketches = nodes.select(F.col("rep").alias("id"), "n", "sketch")
     band = lambda s: lambda b: F.struct(F.substring(s, b * (2 * WIDTH) + 1, F.lit(2 * WIDTH)).alias("x"), b.alias("b"))
     keys = sketches.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band(F.col("sketch")))).alias("z")).where(F.col("z.x") != F.lit(b"\xff" * (2 * WIDTH))).select(F.xxhash64("z.b", "z.x").alias("key"), F.col("z.b").alias("band"), "id")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
@@ -188,10 +202,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         plan = sizes.select("key", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("parts"))
         ready = open_rows.join(plan, "key").join(sketches, "id")
         deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
-        many = ready.select("key", "id", "component", "sketch", deal(F.col("blocks"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-        few = ready.where("component <> main").select("key", "band", "id", "component", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), deal(F.col("parts"), 2).alias("j"))
-        few = few.toDF("key1", "band1", "id1", "component1", "sketch1", "i1", "j1")
-        pairs = Stage(few.groupBy("key1", "i1", "j1").cogroup(many.groupBy("key", "i", "j")).applyInArrow(_cross(least, most), "a long, b long").distinct(), "pairs")
+        many = ready.select("key", "id", "component", "n", "sketch", deal(F.col("blocks"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+        few = ready.where("component <> main").select("key", "band", "id", "component", "n", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), deal(F.col("parts"), 2).alias("j"))
+        few = few.toDF("key1", "band1", "id1", "component1", "n1", "sketch1", "i1", "j1")
+        pairs = Stage(few.groupBy("key1", "i1", "j1").cogroup(many.groupBy("key", "i", "j")).applyInArrow(_cross(least, percent, most), "a long, b long").distinct(), "pairs")
         links = staged(links.unionByName(verified(pairs.df)), "links")
         opened.drop()
         pairs.drop()
