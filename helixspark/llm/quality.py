@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,53 +15,42 @@ from pyspark.sql import functions as F
 from helixspark.llm import textkit
 from helixspark.llm.shared import staged
 
-#: Grams are strings of so many characters, as they are in the texts; EDGE stands before a text's start.
-ORDER, EDGE = 5, "\0"
+#: Grams are 64-bit integers of so many characters, BITS each; EDGE stands before a text's start. Code points under 4096
+#: stand for themselves; higher ones are folded onto the upper half.
+ORDER, BITS, EDGE = 5, 12, 0
+FOLD = 1 << (BITS - 1)
 #: Characters of a block, the unit in which texts meet their grams' probabilities; a longer text is a block of its own.
-BLOCK = 1 << 24
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+BLOCK = 1 << 26
+#: Distinct grams that a worker counts before it hands them on.
+HELD = 1 << 22
+#: Bits of the filter that spares most untrusted texts a shuffle; it is sent to executors (8 MB at most).
+FILTER_BITS = 1 << 26
 
 
-def _keys(c: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit key of grams given as ORDER arrays of code points; tells grams of one block apart."""
-    c = [x.astype(np.uint64) for x in c]
-    with np.errstate(over="ignore"):
-        return textkit.mix64((c[0] << np.uint64(42)) | (c[1] << np.uint64(21)) | c[2]) + ((c[3] << np.uint64(21)) | c[4]) * _MULT
-
-
-def windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """ORDER arrays with the code points of the gram that ends at each character, texts end to end, and the texts' offsets."""
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each character, texts end to end, and the texts' offsets."""
     cp, offsets = textkit.code_points(texts)
+    symbols = np.where(cp < 2 * FOLD, cp, cp % FOLD + FOLD).astype(np.int64)
     at = np.arange(len(cp)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = [cp]
+    grams = symbols.copy()
     for back in range(1, ORDER):
-        shifted = np.zeros_like(cp)
-        shifted[back:] = cp[:-back]
-        shifted[at < back] = ord(EDGE)
-        out.insert(0, shifted)
-    return out, offsets
+        grams[back:] |= np.where(at[back:] < back, EDGE, symbols[:-back]) << (BITS * back)
+    return grams, offsets
 
 
 class Grams:
-    """Distinct grams of texts that are added in parts, with their counts."""
+    """Distinct grams of texts that are added in parts, in order, with their counts."""
 
     def __init__(self) -> None:
-        self.keys, self.n, self.grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+        self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, texts: list[str]) -> None:
-        c, _ = windows(texts)
-        keys, first, n = np.unique(_keys(c), return_index=True, return_counts=True)
-        at = np.searchsorted(self.keys, keys)
-        hit = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        hit[inside] = self.keys[at[inside]] == keys[inside]
-        self.n[at[hit]] += n[hit]
-        new = first[~hit]
-        flat = np.stack([x[new] for x in c], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        grams = np.array([flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], object)
-        keys = np.concatenate((self.keys, keys[~hit]))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.n, self.grams = keys[order], np.concatenate((self.n, n[~hit]))[order], np.concatenate((self.grams, grams))[order]
+        grams, n = np.unique(windows(texts)[0], return_counts=True)
+        every = np.concatenate((self.grams, grams))
+        order = np.argsort(every, kind="stable")
+        every, n = every[order], np.concatenate((self.n, n))[order]
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))[: len(every)])
+        self.grams, self.n = every[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -69,77 +59,101 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield a, pc.fill_null(texts.slice(a, z - a), "").to_pylist()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, ...) as blocks: their ids, distinct grams, and the rows themselves, compressed."""
-    number = TaskContext.get().partitionId() << 33
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows (doc_id, text, ...) of a partition as blocks, each named by the ids and lengths of its texts in their order."""
+    part, number = TaskContext.get().partitionId(), 0
+    held, size = [], 0
 
-    def made(rows: pa.Table) -> pa.RecordBatch:
-        nonlocal number
-        seen = Grams()
-        for _, texts in _parts(rows["text"].combine_chunks()):
-            seen.add(texts)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(rows)
-        number += 1
-        one = lambda x, kind: pa.array([x], kind)
-        ids = rows["doc_id"].drop_null().to_pylist()
-        return pa.RecordBatch.from_arrays([one(number, pa.int64()), one(ids, pa.list_(pa.int64())), one(seen.grams.tolist(), pa.list_(pa.string())), one(sink.getvalue().to_pybytes(), pa.binary())], ["block", "ids", "grams", "rows"])
+    def made() -> tuple[int, pa.Table]:
+        rows = pa.Table.from_batches(held)
+        name = xxhash.xxh3_64(f"{part} {number}")
+        for column, null in ((rows["doc_id"], -1), (pc.binary_length(rows["text"]), -1)):
+            name.update(np.ascontiguousarray(pc.fill_null(column.cast(pa.int64()), null).to_numpy()).tobytes())
+        return name.intdigest() >> 1, rows
 
-    held, size = [], 0
     for b in batches:
-        sizes = pc.fill_null(pc.utf8_length(b["text"]), 0).to_numpy(zero_copy_only=False)
-        for a, z in textkit.chunks(sizes):
-            n = int(sizes[a:z].sum())
-            if held and size + n > BLOCK:
-                yield made(pa.Table.from_batches(held))
-                held, size = [], 0
-            held.append(b.slice(a, z - a))
+        start = 0
+        for i, n in enumerate(pc.fill_null(pc.utf8_length(b["text"]), 0).to_pylist()):
+            if size and size + n > BLOCK:
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                yield made()
+                number, held, size, start = number + 1, [], 0, i
             size += n
+        if start < b.num_rows:
+            held.append(b.slice(start))
     if held:
-        yield made(pa.Table.from_batches(held))
+        yield made()
 
 
-def _rows(block: pa.Table) -> pa.Table:
-    return pa.ipc.open_stream(block["rows"][0].as_buffer()).read_all().combine_chunks()
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks and their distinct grams."""
+    for block, rows in _cut(batches):
+        seen = Grams()
+        for _, texts in _parts(rows["text"].combine_chunks()):
+            seen.add(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(seen.grams)], pa.int32()), pa.array(seen.grams))], ["block", "grams"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks and their rows, compressed."""
+    for block, rows in _cut(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+            writer.write_table(rows.combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
 
-def _count(block: pa.Table, trusted: pa.Table) -> pa.Table:
-    """Grams and their counts in the trusted rows of a block."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of texts and their counts; a gram may come more than once."""
     seen = Grams()
-    if block.num_rows and trusted.num_rows:
-        rows = _rows(block)
-        good = rows.filter(pc.is_in(rows["doc_id"], value_set=trusted["doc_id"].combine_chunks()))
-        for _, texts in _parts(good["text"].combine_chunks()):
+    for b in batches:
+        for _, texts in _parts(b["text"]):
             seen.add(texts)
-    return pa.table({"gram": pa.array(seen.grams.tolist(), pa.string()), "n": seen.n})
+            if len(seen.grams) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(seen.grams), pa.array(seen.n)], ["gram", "n"])
+                seen = Grams()
+    yield pa.RecordBatch.from_arrays([pa.array(seen.grams), pa.array(seen.n)], ["gram", "n"])
 
 
 def _score(block: pa.Table, known: pa.Table) -> pa.Table:
     """Rows of a block with the number of characters and the perplexity in place of the text."""
-    rows = _rows(block)
-    spelled = np.frombuffer("".join(known["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-    keys = _keys([spelled[:, i] for i in range(ORDER)])
-    order = np.argsort(keys)
-    keys, log_p = keys[order], known["log_p"].to_numpy()[order]
+    if not block.num_rows:
+        raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
+    rows = pa.ipc.open_stream(block["rows"][0].as_buffer()).read_all().combine_chunks()
+    order = np.argsort(known["gram"].to_numpy(), kind="stable")
+    grams, log_p = known["gram"].to_numpy()[order], known["log_p"].to_numpy()[order].astype(np.float64)
     n, mean = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
     for a, texts in _parts(rows["text"].combine_chunks()):
-        c, offsets = windows(texts)
+        ends, offsets = windows(texts)
         part = slice(a, a + len(texts))
         n[part] = np.diff(offsets)
-        if len(c[0]):
-            sums = np.concatenate(([0.0], np.cumsum(log_p[np.searchsorted(keys, _keys(c))])))
+        if len(ends):
+            at = np.minimum(np.searchsorted(grams, ends), len(grams) - 1)
+            if not len(grams) or (grams[at] != ends).any():
+                raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
+            sums = np.concatenate(([0.0], np.cumsum(log_p[at])))
             mean[part] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n[part], 1)
     out = {"doc_id": rows["doc_id"], "n_chars": pa.array(n), "perplexity": pa.array(np.exp(-mean), mask=n == 0)}
     return pa.table(out | {name: rows[name] for name in rows.column_names[2:]})
 
 
-def _prefix(order: int) -> Column:
-    return F.substring("gram", 1, order - 1)
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in ``ids``, and few others: a filter of FILTER_BITS bits is all that is sent to executors."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = rows.where("doc_id is not null").join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    return known.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_bucket", "_bits")
+
+
+def _prefix() -> Column:
+    return F.shiftright("gram", BITS)
 
 
 def _suffix(order: int) -> Column:
-    return F.substring("gram", 2, order - 1)
+    return F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1).cast("long"))
 
 
 def estimate(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
@@ -158,7 +172,7 @@ def estimate(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         y = n1 / (n1 + 2 * n2)
         d = [min(max(x, 0.05), i * 0.95) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
         off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = level.withColumn("context", _prefix(order)).withColumn("off", off)
+        rows = level.withColumn("context", _prefix()).withColumn("off", off)
         totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("free"))
         weights = rows.join(totals.hint("merge"), "context").select("gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("w"))
         out.insert(0, (weights, totals.select("context", (F.col("free") / F.col("total")).alias("b"))))
@@ -182,7 +196,7 @@ def probabilities(model: list[tuple[DataFrame, DataFrame]], grams: DataFrame) ->
     for order in range(2, ORDER + 1):
         weights, backs = model[order - 1]
         lower = staged(p, f"lower{order}").select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        found = asked[order - 1].join(weights.hint("merge"), "gram", "left").withColumn("context", _prefix(order)).withColumn("suffix", _suffix(order))
+        found = asked[order - 1].join(weights.hint("merge"), "gram", "left").withColumn("context", _prefix()).withColumn("suffix", _suffix(order))
         found = found.join(backs.hint("merge"), "context", "left").join(lower.hint("merge"), "suffix")
         p = found.select("gram", (F.coalesce("w", F.lit(0.0)) + F.coalesce("b", F.lit(1.0)) * F.col("lower")).alias("p"))
     return p
@@ -196,22 +210,24 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """(doc_id, n_chars, perplexity) and the columns of ``keep`` of every document under the model of trusted documents.
 
-    Documents are written once as blocks of 16 million characters with their distinct grams. Ids of trusted rows meet
-    blocks and their grams are counted; then every distinct gram of the corpus gets its probability by joins on grams,
-    each block asks for its own, and sums them over its texts. Counts, model and answers are sharded by gram and grow
-    with the corpus; nothing is broadcast. Perplexity is null for a null or empty text.
+    Trusted texts alone are joined with the ids and counted. Documents are cut into blocks of 64 million characters;
+    every distinct gram of the corpus gets its probability by joins on grams, and a block asks for each of its own once.
+    Then documents are read again, their blocks shuffled, compressed, to the answers and summed there, so that texts are on
+    disk once. Counts, model and answers are sharded by gram and grow with the corpus; only a filter of fixed size is
+    broadcast. ``docs`` must give the same rows in the same order when read again, as files do; else an error is
+    raised. Perplexity is null for a null or empty text.
     """
     kept = [docs[c].alias(c) for c in keep]
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *kept)
-    blocks = staged(slim.mapInArrow(_blocks, "block long, ids array<long>, grams array<string>, rows binary"), "blocks")
-    rows = blocks.select(F.col("block").alias("id"), "rows").groupBy("id")
-    good = blocks.select("block", F.explode("ids").alias("doc_id")).distinct().join(trusted.hint("merge"), "doc_id")
-    counts = rows.cogroup(good.select("block", "doc_id").groupBy("block")).applyInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    asked = blocks.select("block", F.explode("grams").alias("gram"))
-    p = staged(probabilities(estimate(counts), asked.select("gram").distinct()), "probabilities")
-    answers = asked.join(p.hint("merge"), "gram").select("block", "gram", F.log("p").alias("log_p"))
+    good = likely(slim.select("doc_id", "text"), trusted).join(trusted.hint("merge"), "doc_id", "left_semi")
+    counts = good.select("text").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    asked = staged(slim.mapInArrow(_asked, "block long, grams array<long>"), "asked").select("block", F.explode("grams").alias("gram"))
+    grams = staged(asked.select("gram").distinct(), "grams")
+    p = staged(probabilities(estimate(counts), grams), "probabilities")
+    answers = asked.join(p.hint("merge"), "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
+    rows = slim.mapInArrow(_packed, "block long, rows binary")
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.cogroup(answers.groupBy("block")).applyInArrow(_score, f"doc_id long, n_chars long, perplexity double{extra}")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, f"doc_id long, n_chars long, perplexity double{extra}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1, folds: int = 5) -> DataFrame:
