@@ -6,6 +6,7 @@ cells are ``orders``; genes are ``part``; peaks are ``lineitem`` rows; the graph
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def also_whole(f: Callable[..., DataFrame], *swaps: tuple[str, str]) -> None:
+    """Registers ``f`` over its whole input as name_whole; its SQL is that of the cut form with each cut swapped for the whole."""
+    QUERIES[f"{f.__name__}_whole"] = functools.partial(f, whole=True)
+    sql = SQL[f.__name__]
+    for cut, whole in swaps:
+        assert cut in sql, cut
+        sql = sql.replace(cut, whole)
+    SQL[f"{f.__name__}_whole"] = sql
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -260,11 +271,14 @@ FIRST = "CASE WHEN strpos({x}, '. ') - 1 > 20 AND strpos({x}, '. ') - 1 < 220 TH
 
 
 @query("WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s]+', ' ', 'g')) AS x, trim(split_part(regexp_replace('NCBI Gene: ' || replace(substr(text, 1, 150), chr(10), ' ') || ' [Source:HGNC;Acc:1] | rest', '^[A-Za-z0-9 _]+:\\s*', ''), ' [Source:HGNC', 1)) AS y FROM documents), e AS (SELECT doc_id, x, trim(split_part(y, '|', 1)) AS z FROM d) SELECT doc_id, " + FIRST.format(x="x") + " AS short, " + FIRST.format(x="z") + " AS clean FROM e")
-def desc_clean(spark, sf):
-    told = F.concat(F.lit("NCBI Gene: "), F.replace(F.left("text", F.lit(150)), F.lit("\n"), F.lit(" ")), F.lit(" [Source:HGNC;Acc:1] | rest"))
+def desc_clean(spark, sf, whole=False):
+    told = F.concat(F.lit("NCBI Gene: "), F.replace("text" if whole else F.left("text", F.lit(150)), F.lit("\n"), F.lit(" ")), F.lit(" [Source:HGNC;Acc:1] | rest"))
     return table(spark, sf, "documents").select("doc_id", text.shorten(F.col("text")).alias("short"), text.clean_description(told).alias("clean"))
 
 
+also_whole(desc_clean, ("substr(text, 1, 150)", "text"))
+
+
 ATAC_CELLS = "SELECT o_orderkey AS cell_id, o_totalprice / 40000 AS tss_enrichment, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 100) / 200.0 END AS frip, o_totalprice AS n_fragments FROM orders"
 
 
