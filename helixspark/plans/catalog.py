@@ -355,8 +355,11 @@ def metric_precision_k(spark, sf):
 
 
 @query(f"WITH {_pairs(4)}, v AS (SELECT gene_idx, y AS v, 0 AS s FROM p UNION ALL SELECT gene_idx, f, 1 FROM p), k AS (SELECT a.gene_idx, sum(exp(-power(a.v - b.v, 2)) * CASE WHEN a.s = b.s THEN 1 ELSE -1 END) AS s FROM v a JOIN v b ON a.gene_idx = b.gene_idx GROUP BY 1), n AS (SELECT gene_idx, count(*) AS n FROM p GROUP BY 1) SELECT round(avg(s / n / n), 6) AS mmd FROM k JOIN n USING (gene_idx)")
-def metric_mmd(spark, sf):
-    return metrics.mmd(predictions(spark, sf, 4)).select(r6("mmd"))
+def metric_mmd(spark, sf, whole=False):
+    return metrics.mmd(predictions(spark, sf, 64 if whole else 4)).select(r6("mmd"))
+
+
+also_whole(metric_mmd, (_pairs(4), _pairs()))
 
 
 @query(f"WITH {_pairs()}, a AS (SELECT gene_idx, y, row_number() OVER (PARTITION BY gene_idx ORDER BY y) AS r FROM p), b AS (SELECT gene_idx, f, row_number() OVER (PARTITION BY gene_idx ORDER BY f) AS r FROM p), w AS (SELECT avg(abs(y - f)) AS w FROM a JOIN b USING (gene_idx, r) GROUP BY gene_idx) SELECT round(avg(w), 6) AS wasserstein FROM w")

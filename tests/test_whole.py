@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 from helixspark.plans import catalog
 
 
@@ -16,3 +18,13 @@ def test_descriptions_of_whole_texts(spark, sf):
     got = {r["doc_id"]: r["clean"] for r in catalog.QUERIES["desc_clean_whole"](spark, sf).collect()}
     assert got == want
     assert any(len(x) > 150 for x in got.values())
+
+
+def test_mmd_over_all_genes(spark, sf):
+    rows = {r["vec_id"]: np.array(r["embedding"], dtype="float64") for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    ids = [i for i in sorted(rows) if i % 2 == 0 and i + 1 in rows]
+    y, f = np.array([rows[i] for i in ids]), np.array([rows[i + 1] for i in ids])
+    mean = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2)).mean(axis=(0, 1))
+    want = (mean(y, y) + mean(f, f) - 2 * mean(y, f)).mean()
+    assert y.shape[1] == 64
+    assert abs(catalog.QUERIES["metric_mmd_whole"](spark, sf).collect()[0]["mmd"] - want) < 2e-6
