@@ -409,9 +409,9 @@ def kg_entity_types(spark, sf):
     return kg_nodes(spark, sf).select("id", graph.entity_type(F.col("id"), {"region": "Region"}).alias("type"))
 
 
-def seed_list(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.upper("n_name").alias("seed"))
-    c = table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.right("c_name", F.lit(4)).alias("seed"))
+def seed_list(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    n = table(spark, sf, "nation").where("true" if whole else "n_nationkey % 3 = 0").select(F.upper("n_name").alias("seed"))
+    c = table(spark, sf, "customer").where("true" if whole else "c_custkey % 50 = 0").select(F.right("c_name", F.lit(4)).alias("seed"))
     return n.unionByName(c).unionByName(spark.range(1).select(F.lit("no such thing").alias("seed"))).distinct()
 
 
@@ -419,13 +419,13 @@ SEEDS = "seeds AS (SELECT upper(n_name) AS seed FROM nation WHERE n_nationkey %
 
 
 @query(f"WITH {NODES}, {SEEDS}, ex AS (SELECT seed, id, type, pos FROM seeds JOIN nodes ON lower(name) = lower(seed)), rest AS (SELECT seed FROM seeds WHERE seed NOT IN (SELECT seed FROM ex)), part_ AS (SELECT seed, id, type, pos, lower(name) AS low FROM rest JOIN nodes ON contains(lower(name), lower(seed))), f AS (SELECT seed, arg_min(low, pos) AS low FROM part_ GROUP BY 1), cand AS (SELECT * FROM ex UNION ALL SELECT p.seed, id, type, pos FROM part_ p JOIN f USING (seed, low)), b AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY CASE type WHEN 'Supplier' THEN 0 WHEN 'Customer' THEN 1 ELSE 2 END, pos) AS n FROM cand) SELECT seed, id, type, CASE WHEN id IS NULL THEN 'not found' ELSE 'ok' END AS status FROM seeds LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (seed)")
-def kg_resolve_seed(spark, sf):
-    return graph.resolve_seeds(seed_list(spark, sf), kg_nodes(spark, sf), ["Supplier", "Customer"]).select("seed", "id", "type", "status")
+def kg_resolve_seed(spark, sf, whole=False):
+    return graph.resolve_seeds(seed_list(spark, sf, whole), kg_nodes(spark, sf), ["Supplier", "Customer"]).select("seed", "id", "type", "status")
 
 
 @query(f"WITH {NODES}, {SEEDS}, named AS (SELECT id, type, pos, lower(name) AS low FROM nodes UNION SELECT id, type, pos, id FROM nodes UNION SELECT id, type, pos, split_part(id, ':', 2) FROM nodes), ex AS (SELECT seed, id, type, pos, 0 AS rk, 0 AS sz FROM seeds JOIN named ON low = lower(seed)), rest AS (SELECT seed FROM seeds WHERE seed NOT IN (SELECT seed FROM ex)), p AS (SELECT seed, id, type, pos, CASE WHEN contains(' ' || low || ' ', ' ' || lower(seed) || ' ') THEN 1 WHEN starts_with(low, lower(seed)) THEN 2 ELSE 3 END AS rk, length(low) AS sz FROM rest JOIN named ON contains(low, lower(seed))), cand AS (SELECT * FROM ex UNION ALL SELECT * FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY CASE type WHEN 'Part' THEN 0 WHEN 'Customer' THEN 1 ELSE 2 END, rk, sz, pos, id) AS n FROM cand) SELECT seed, id, type, CASE WHEN id IS NULL THEN 'not found' ELSE 'ok' END AS status FROM seeds LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (seed)")
-def kg_resolve_fuzzy(spark, sf):
-    return graph.resolve_seeds(seed_list(spark, sf), kg_nodes(spark, sf), ["Part", "Customer"], fuzzy_rank=True).select("seed", "id", "type", "status")
+def kg_resolve_fuzzy(spark, sf, whole=False):
+    return graph.resolve_seeds(seed_list(spark, sf, whole), kg_nodes(spark, sf), ["Part", "Customer"], fuzzy_rank=True).select("seed", "id", "type", "status")
 
 
 CAPS = {"Region": 1, "Nation": 4, "Customer": 5, "Supplier": 6, "Part": 5, "*": 2}
@@ -433,14 +433,14 @@ BONUS = {"Supplier": 2.5, "Part": 1.8, "Nation": 1.2, "Customer": 0.6}
 EDGE_BONUS = {"Nation-Supplier": 1.5, "Supplier-Part": 0.3}
 
 
-def kg_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").where("n_nationkey % 4 = 0").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
-    s = table(spark, sf, "supplier").where("s_suppkey % 20 = 1").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("seed"))
+def kg_seeds(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    n = table(spark, sf, "nation").where("true" if whole else "n_nationkey % 4 = 0").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
+    s = table(spark, sf, "supplier").where("true" if whole else "s_suppkey % 20 = 1").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("seed"))
     return n.unionByName(s).withColumn("id", F.col("seed"))
 
 
-def subgraph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return graph.expand(kg_seeds(spark, sf), kg_nodes(spark, sf), kg_edges(spark, sf), 2, 14, CAPS, BONUS, EDGE_BONUS)
+def subgraph(spark: SparkSession, sf: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    return graph.expand(kg_seeds(spark, sf, whole), kg_nodes(spark, sf), kg_edges(spark, sf), 2, 14, CAPS, BONUS, EDGE_BONUS)
 
 
 def _case(col: str, values: dict, default: float) -> str:
@@ -464,18 +464,18 @@ GRAPH = f"{NODES}, {EDGES}, k0 AS (SELECT seed, seed AS id, n.type, 0 AS hop, 1
 
 
 @query(f"WITH {GRAPH} SELECT seed, id, type, CAST(hop AS BIGINT) AS hop, ord FROM kn")
-def kg_hop_select(spark, sf):
-    return subgraph(spark, sf)[0].select("seed", "id", "type", big("hop"), big("ord"))
+def kg_hop_select(spark, sf, whole=False):
+    return subgraph(spark, sf, whole)[0].select("seed", "id", "type", big("hop"), big("ord"))
 
 
 @query(f"WITH {GRAPH} SELECT seed, src, dst, type, CAST(hop AS BIGINT) AS hop, ord FROM ke")
-def kg_subgraph(spark, sf):
-    return subgraph(spark, sf)[1].select("seed", "src", "dst", "type", big("hop"), big("ord"))
+def kg_subgraph(spark, sf, whole=False):
+    return subgraph(spark, sf, whole)[1].select("seed", "src", "dst", "type", big("hop"), big("ord"))
 
 
 @query(f"WITH {GRAPH} SELECT seed, dst AS id, round(CAST(max(score) AS DOUBLE), 6) AS score FROM new1 GROUP BY 1, 2")
-def kg_candidate_scores(spark, sf):
-    e = kg_seeds(spark, sf).join(kg_edges(spark, sf).withColumnRenamed("type", "edge_type"), F.col("id") == F.col("src")).where("dst <> seed").drop("id")
+def kg_candidate_scores(spark, sf, whole=False):
+    e = kg_seeds(spark, sf, whole).join(kg_edges(spark, sf).withColumnRenamed("type", "edge_type"), F.col("id") == F.col("src")).where("dst <> seed").drop("id")
     n = kg_nodes(spark, sf).select(F.col("id").alias("dst"), F.col("type").alias("node_type"), "desc")
     own = kg_nodes(spark, sf).select(F.col("id").alias("seed"), F.col("type").alias("_own"))
     c = e.join(n, "dst").join(own, "seed").withColumn("n_type", F.when(F.col("node_type") == F.col("_own"), 1).otherwise(0))
@@ -483,14 +483,20 @@ def kg_candidate_scores(spark, sf):
 
 
 @query(f"WITH {GRAPH}, nl AS (SELECT kn.seed, string_agg(n.name || ' [' || n.type || CASE WHEN n.descr <> '' THEN ' | ' || n.descr ELSE '' END || ']', chr(10) ORDER BY ord) AS t, count(*) AS node_count FROM kn JOIN nodes n USING (id) GROUP BY 1), el AS (SELECT ke.seed, string_agg(a.name || ' -> ' || b.name || ' (' || ke.type || ')', chr(10) ORDER BY ord) AS t, count(*) AS edge_count FROM ke JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY 1) SELECT seed, node_count, coalesce(edge_count, 0) AS edge_count, '<|HVG_subgraph|>' || chr(10) || 'NODES:' || chr(10) || nl.t || chr(10) || chr(10) || 'EDGES:' || coalesce(chr(10) || el.t, '') AS structured_text FROM nl LEFT JOIN el USING (seed)")
-def kg_render_text(spark, sf):
-    return graph.render(*subgraph(spark, sf))
+def kg_render_text(spark, sf, whole=False):
+    return graph.render(*subgraph(spark, sf, whole))
 
 
 @query(f"WITH {GRAPH} SELECT seed, count(*) FILTER (id LIKE 'customer:%' AND CAST(split_part(id, ':', 2) AS INT) IN (SELECT vec_id FROM embeddings)) AS found, count(*) FILTER (NOT (id LIKE 'customer:%' AND CAST(split_part(id, ':', 2) AS INT) IN (SELECT vec_id FROM embeddings))) AS missing FROM kn GROUP BY 1")
-def kg_embedding_attach(spark, sf):
+def kg_embedding_attach(spark, sf, whole=False):
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("customer:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vec"))
-    return graph.attach_embeddings(subgraph(spark, sf)[0], e)[1]
+    return graph.attach_embeddings(subgraph(spark, sf, whole)[0], e)[1]
+
+
+for _f in (kg_resolve_seed, kg_resolve_fuzzy):
+    also_whole(_f, (" WHERE n_nationkey % 3 = 0", ""), (" WHERE c_custkey % 50 = 0", ""))
+for _f in (kg_hop_select, kg_subgraph, kg_candidate_scores, kg_render_text, kg_embedding_attach):
+    also_whole(_f, (" WHERE n_nationkey % 4 = 0", ""), (" WHERE s_suppkey % 20 = 1", ""))
 
 
 @query(f"WITH {EDGES} SELECT src, count(*) AS degree, string_agg(dst || ' ' || type, ',' ORDER BY dst, type) AS neighbours FROM edges GROUP BY 1")

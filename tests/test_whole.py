@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from helixspark.plans import catalog
 
@@ -28,3 +29,18 @@ def test_mmd_over_all_genes(spark, sf):
     want = (mean(y, y) + mean(f, f) - 2 * mean(y, f)).mean()
     assert y.shape[1] == 64
     assert abs(catalog.QUERIES["metric_mmd_whole"](spark, sf).collect()[0]["mmd"] - want) < 2e-6
+
+
+@pytest.mark.parametrize("name", ["hop_select", "subgraph", "candidate_scores", "render_text", "embedding_attach"])
+def test_every_nation_and_supplier_is_a_seed(spark, sf, name):
+    keys = lambda t, k: {f"{t}:{r[0]}" for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k).collect()}
+    seeds = {r["seed"] for r in catalog.QUERIES[f"kg_{name}_whole"](spark, sf).select("seed").distinct().collect()}
+    assert seeds == keys("nation", "n_nationkey") | keys("supplier", "s_suppkey")
+
+
+@pytest.mark.parametrize("name", ["seed", "fuzzy"])
+def test_every_nation_and_customer_is_resolved(spark, sf, name):
+    column = lambda t, c: [r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()]
+    want = {x.upper() for x in column("nation", "n_name")} | {x[-4:] for x in column("customer", "c_name")} | {"no such thing"}
+    got = [r["seed"] for r in catalog.QUERIES[f"kg_resolve_{name}_whole"](spark, sf).collect()]
+    assert sorted(got) == sorted(want)
