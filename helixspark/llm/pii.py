@@ -161,11 +161,11 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replaces every span by its kind in angle brackets, the earlier (then longer) of overlapping ones first, and drops pii_spans. A null text stays null."""
+    """Replaces every span by its kind in angle brackets, overlapping ones together by that of the earliest (then longest), and drops pii_spans. A null text stays null."""
     text = F.col(text_col)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     order = F.array_sort(F.transform("pii_spans", lambda x: F.struct(x["s"], -x["e"], x["kind"], x["e"].alias("e"))))
     start = F.struct(F.lit(0).cast("long").alias("p"), F.lit("").alias("t"))
-    step = lambda a, x: F.when(x["s"] < a["p"], a).otherwise(F.struct(x["e"].alias("p"), F.concat(a["t"], F.substr(text, (a["p"] + 1).cast("int"), (x["s"] - a["p"]).cast("int")), F.element_at(names, x["kind"] + 1)).alias("t")))
+    step = lambda a, x: F.when(x["s"] < a["p"], F.struct(F.greatest(a["p"], x["e"]).alias("p"), a["t"].alias("t"))).otherwise(F.struct(x["e"].alias("p"), F.concat(a["t"], F.substr(text, (a["p"] + 1).cast("int"), (x["s"] - a["p"]).cast("int")), F.element_at(names, x["kind"] + 1)).alias("t")))
     new = F.aggregate(order, start, step, lambda a: F.concat(a["t"], F.substr(text, (a["p"] + 1).cast("int"))))
     return found.withColumn(text_col, F.when(text.isNull() | (F.size("pii_spans") == 0), text).otherwise(new)).drop("pii_spans")

@@ -243,6 +243,12 @@ def test_personal_data(spark, docs):
     assert pii.find_spans(docs.limit(0)).count() == 0
 
 
+def test_overlapping_spans_are_masked_whole(spark):
+    rows = [(1, "see card-no-4111 1111 1111 1111 now", [(4, 4, 16), (2, 12, 31)]), (2, "/user12345678@mail.com!", [(4, 0, 13), (0, 1, 22)]), (3, "abcdef", [(0, 0, 5), (1, 1, 3), (2, 4, 6)]), (4, "abcdef", [(0, 0, 3), (1, 3, 6)])]
+    found = spark.createDataFrame(rows, "doc_id long, text string, pii_spans array<struct<kind int, s long, e long>>")
+    assert {r.doc_id: r.text for r in pii.redact(found).collect()} == {1: "see <SECRET> now", 2: "<SECRET>!", 3: "<EMAIL>", 4: "<EMAIL><IP>"}
+
+
 def test_credentials_are_learned(spark):
     rnd = random.Random(4)
     h = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
