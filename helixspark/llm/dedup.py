@@ -15,7 +15,7 @@ from helixspark.llm.shared import Stage, staged
 from helixspark.llm.textkit import mix64, shingle_hashes
 
 #: Registers of 16 bits: six of the count of leading zeros, ten of the mantissa after the leading one. The highest value marks an empty one.
-BANDS, WIDTH, MANTISSA = 48, 8, 10
+BANDS, WIDTH, MANTISSA = 44, 6, 10
 REGISTERS = BANDS * WIDTH
 EMPTY = 0xFFFF
 #: Two different minima agree in zeros (one in three) and mantissa.
@@ -55,8 +55,8 @@ def estimate_against(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def floor_of(similarity: float) -> float:
-    """Estimates below this are 4.5 standard deviations under the similarity."""
-    return similarity - 4.5 * (similarity * (1 - similarity) / REGISTERS) ** 0.5
+    """Estimates below this are 6 standard deviations under the similarity."""
+    return similarity - 6 * (similarity * (1 - similarity) / REGISTERS) ** 0.5
 
 
 def _sketch(k: int):
@@ -104,7 +104,7 @@ def _cross(least: float, percent: int, most: int | None):
         out_a, out_b = [], []
         if few.num_rows and many.num_rows:
             ids, group, n, regs = many["id"].to_numpy(), many["component"].to_numpy(), many["n"].to_numpy(), _matrix(many["sketch"].combine_chunks())
-            halves = regs.view(np.uint64).reshape(len(regs), BANDS, WIDTH // 4)
+            bands = regs.view(np.uint32).reshape(len(regs), BANDS, WIDTH // 2)
             band = few["band1"][0].as_py()
             for i, c, m, raw in zip(few["id1"].to_pylist(), few["component1"].to_pylist(), few["n1"].to_pylist(), few["sketch1"].to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint16)
@@ -113,9 +113,8 @@ def _cross(least: float, percent: int, most: int | None):
                 for earlier in used.tolist():
                     if not len(other):
                         break
-                    mine = s.view(np.uint64)[earlier * 2 : earlier * 2 + 2]
-                    h = halves[other, earlier]
-                    other = other[(h[:, 0] != mine[0]) | (h[:, 1] != mine[1])]
+                    mine = s.view(np.uint32).reshape(BANDS, WIDTH // 2)[earlier]
+                    other = other[(bands[other, earlier] != mine).any(axis=1)]
                 e = estimate_against(s, regs[other])
                 other, e = other[e >= least], e[e >= least]
                 if most is not None and len(other) > most:
@@ -154,9 +153,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Returns one row per input row with a doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
-    Equal sets are one class from the start, by a 128-bit fingerprint, so copies never form pairs. Each class has 384
-    HyperMinHash registers in 48 bands of 8; at a similarity of 0.8 a pair misses all bands with a chance under 2e-4, at
-    0.85 under 1e-6; sparse sets share bands that no difference falls in. Members of a bucket are first paired with its
+    Equal sets are one class from the start, by a 128-bit fingerprint, so copies never form pairs. Each class has 264
+    HyperMinHash registers in 44 bands of 6; at a similarity of 0.8 a pair misses all bands with a chance under 2e-6, at
+    0.85 under 1e-9; sparse sets share bands that no difference falls in. Members of a bucket are first paired with its
     smallest class alone; estimates prune, full sets decide, and components are formed. In buckets that still hold
     several components, members outside the largest are compared with all of other components by registers in blocks of
     1000, and full sets decide again, first on each member's nearest few, which joins most, then on all the rest: no pair that shares a bucket goes untested unless its ends are linked already.

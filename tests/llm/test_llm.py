@@ -150,6 +150,12 @@ def test_near_duplicates(spark, docs, k, percent):
     assert len(rows) == every.count() and dedup.near_duplicates(docs.limit(0), k, percent).count() == 0
 
 
+def test_pairs_at_the_threshold_are_missed_rarely():
+    for x, most in ((0.8, 3e-6), (0.85, 3e-9)):
+        assert (1 - x**dedup.WIDTH) ** dedup.BANDS < most
+        assert x - dedup.floor_of(x) > 5.99 * (x * (1 - x) / dedup.REGISTERS) ** 0.5
+
+
 def test_register_estimates():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 1 << 63, 2000, np.uint64)
