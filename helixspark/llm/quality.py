@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textkit
-from helixspark.llm.shared import staged
+from helixspark.llm.shared import likely, staged
 
 #: Grams are 64-bit integers of so many characters, BITS each; EDGE stands before a text's start. Code points under 4096
 #: stand for themselves; higher ones are folded onto the upper half.
@@ -23,8 +23,6 @@ FOLD = 1 << (BITS - 1)
 BLOCK = 1 << 26
 #: Distinct grams that a worker counts before it hands them on.
 HELD = 1 << 22
-#: Bits of the filter that spares most untrusted texts a shuffle; it is sent to executors (8 MB at most).
-FILTER_BITS = 1 << 26
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,16 +136,6 @@ def _score(block: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table(out | {name: rows[name] for name in rows.column_names[2:]})
 
 
-def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is in ``ids``, and few others: a filter of FILTER_BITS bits is all that is sent to executors."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    known = rows.where("doc_id is not null").join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
-    return known.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_bucket", "_bits")
-
-
 def _prefix() -> Column:
     return F.shiftright("gram", BITS)
 
@@ -219,7 +207,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
     """
     kept = [docs[c].alias(c) for c in keep]
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *kept)
-    good = likely(slim.select("doc_id", "text"), trusted).join(trusted.hint("merge"), "doc_id", "left_semi")
+    good = likely(slim.select("doc_id", "text"), trusted, "doc_id").join(trusted.hint("merge"), "doc_id")
     counts = good.select("text").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     asked = staged(slim.mapInArrow(_asked, "block long, grams array<long>"), "asked").select("block", F.explode("grams").alias("gram"))
     grams = staged(asked.select("gram").distinct(), "grams")

@@ -25,7 +25,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_key")
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

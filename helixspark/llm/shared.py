@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bits of the filter in ``likely``; it is sent to executors (8 MB at most).
+FILTER_BITS = 1 << 26
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and Spark runs in this process (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="helixspark-")
@@ -42,7 +48,7 @@ def _clean() -> None:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
-            return
+            continue
 
 
 class Stage:
@@ -59,3 +65,13 @@ class Stage:
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return Stage(df, name, codec).df
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in ``wanted``, and few others, without a shuffle: a filter of FILTER_BITS bits is all that is sent to executors. Null keys go."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = rows.where(F.col(key).isNotNull()).join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    return known.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_bucket", "_bits")

@@ -161,11 +161,53 @@ def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], values
 
 
-def _word_hash(words: pa.Array) -> np.ndarray:
-    import xxhash
+@functools.cache
+def _bytes_table() -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are ASCII white space, and an odd 64-bit word for each byte, A-Z as a-z."""
+    code = np.arange(256)
+    space = (code == 32) | ((code >= 9) & (code <= 13))
+    lower = np.where((code >= 65) & (code <= 90), code + 32, code)
+    return space, mix64(lower + 0x9D2C) | np.uint64(1)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word between ASCII white space, A-Z in lower case, and the texts' offsets in them.
 
-    f = xxhash.xxh3_64_intdigest
-    return np.fromiter((f(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    Words are found in the texts' UTF-8 bytes and hashed by prefix sums, as in ``range_hashes``, in parts of about CHUNK
+    bytes; a longer word comes alone.
+    """
+    text = pc.fill_null(texts, "")
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    text = text.cast(pa.large_string())
+    if not len(text):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    space, mixed = _bytes_table()
+    full = np.concatenate((~space[data], [False]))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    before = np.concatenate(([False], full[:-1]))
+    starts = np.flatnonzero(full & (~before | edge))
+    ends = np.flatnonzero(before & (~full | edge))
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        z = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        part = data[starts[i] : ends[z - 1]]
+        s, e = starts[i:z] - starts[i], ends[i:z] - starts[i]
+        size = CHUNK + 1
+        while size < len(part) + 1:
+            size *= 2
+        power, inverse = _powers(size)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(mixed[part] * power[: len(part)], out=sums[1:])
+            out[i:z] = mix64((sums[e] - sums[s]) * inverse[s] ^ mix64((e - s).astype(np.uint64)))
+        i = z
+    return out, np.searchsorted(starts, at)
 
 
 def shingle_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,42 +215,26 @@ def shingle_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     Lower-cases A-Z, takes words between ASCII white space; a text of fewer words is one shingle; none without words.
     """
-    text = pc.fill_null(texts, "")
-    if isinstance(text, pa.ChunkedArray):
-        text = text.combine_chunks()
-    split = pc.ascii_split_whitespace(pc.ascii_lower(text).cast(pa.large_string()))
-    offsets, words = list_parts(split)
-    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
-    coded = words.dictionary_encode()
-    h = _word_hash(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
-    before = np.concatenate(([0], np.cumsum(full)))
-    offsets, h = before[offsets], h[full]
+    h, offsets = word_hashes(texts)
     counts = np.diff(offsets)
     made = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
-    out: list[np.ndarray] = []
+    at = np.concatenate(([0], np.cumsum(made)))
+    flat = np.zeros(at[-1], np.uint64)
     with np.errstate(over="ignore"):
-        rolled = h.copy()
         if len(h) >= k:
-            rolled = np.zeros(max(0, len(h) - k + 1), np.uint64)
+            rolled = np.zeros(len(h) - k + 1, np.uint64)
             for j in range(k):
                 rolled = mix64(rolled * _MULT + h[j : len(h) - k + 1 + j] + np.uint64(1))
-        short = np.flatnonzero((counts > 0) & (counts < k))
-        alone = {}
-        for i in short.tolist():
+            long = counts >= k
+            flat[ragged(at[:-1][long], made[long])] = rolled[ragged(offsets[:-1][long], made[long])]
+        for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
             x = np.full(1, counts[i], np.uint64)
             for w in h[offsets[i] : offsets[i + 1]]:
                 x = mix64(x * _MULT + w + np.uint64(1))
-            alone[i] = x
-    # distinct within each text: sort by (text, hash) at once
-    long = np.flatnonzero(counts >= k)
-    flat = rolled[ragged(offsets[long], made[long])] if len(long) else np.zeros(0, np.uint64)
-    owner = np.repeat(long, made[long])
-    if alone:
-        flat = np.concatenate([flat, *alone.values()])
-        owner = np.concatenate([owner, np.fromiter(alone, np.int64, len(alone))])
-    order = np.lexsort((flat, owner))
-    flat, owner = flat[order], owner[order]
+            flat[at[i]] = x[0]
+    for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        flat[a:z].sort()
     keep = np.ones(len(flat), bool)
-    keep[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-    flat, owner = flat[keep], owner[keep]
-    return flat, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(counts))))).astype(np.int64)
+    keep[1:] = flat[1:] != flat[:-1]
+    keep[at[:-1][made > 0]] = True
+    return flat[keep], np.concatenate(([0], np.cumsum(keep)))[at]

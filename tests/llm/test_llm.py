@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixspark.llm import ann, bpe, dedup, mixing, packing, pii, quality, registry, sharding, tokens, topk, warc
+from helixspark.llm import ann, bpe, dedup, mixing, packing, pii, quality, registry, sharding, shared, textkit, tokens, topk, warc
 from helixspark.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -124,6 +125,23 @@ def shingles(text, k):
     return frozenset(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
+def test_shingles_are_those_of_the_words(monkeypatch):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("aAbBé𐀀 \t\n\x0b\x0c\r\u00a0\u2003") for _ in range(rnd.randint(0, 40))) for _ in range(400)] + [None, "", " ", "x" * 5000 + " y z w"]
+    whole = textkit.shingle_hashes(pa.array(texts).slice(3), 3)
+    monkeypatch.setattr(textkit, "CHUNK", 64)
+    h, offsets = textkit.shingle_hashes(pa.array(texts).slice(3), 3)
+    assert (h == whole[0]).all() and (offsets == whole[1]).all()
+    names: dict = {}
+    for i, t in enumerate(texts[3:]):
+        want, own = shingles(t, 3), h[offsets[i] : offsets[i + 1]].tolist()
+        assert len(own) == len(want) == len(set(own)) and own == sorted(own)
+        names[want] = names.get(want, own)
+        assert names[want] == own
+    single = {next(iter(w)): o[0] for w, o in names.items() if len(w) == 1}
+    assert len(set(single.values())) == len(single)
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, docs, k, percent):
     rnd = random.Random(9)
@@ -134,20 +152,53 @@ def test_near_duplicates(spark, docs, k, percent):
         for _ in range(rnd.randint(0, 6)):
             w[rnd.randrange(len(w))] = f"v{rnd.randint(0, 10**6)}"
         near.append(document(1000 + i, " ".join(w)))
-    every = docs.where("doc_id is not null").unionByName(spark.createDataFrame(near, DOCS))
-    sets = {}
-    for i, t in texts_of(every):
-        sets.setdefault(i, shingles(t, k))
-    ids, comp = sorted(sets), {i: i for i in sets}
-    for a in ids:
-        for b in ids:
-            x, y = sets[a], sets[b]
-            if a < b and x and y and 100 * len(x & y) >= percent * len(x | y) and comp[a] != comp[b]:
-                lo, hi = sorted((comp[a], comp[b]))
-                comp = {i: lo if c == hi else c for i, c in comp.items()}
+    pair = "p q r s t u v w x y z a b c d e f g h i j k l"
+    own = [document(None, pair), document(None, pair), document(900, pair + " m"), document(7, base[0]), document(None, "quite alone here now then"), document(901, "the same"), document(902, "the  same")]
+    every = docs.unionByName(spark.createDataFrame(near + own, DOCS))
+    want = brute_components(texts_of(every), k, percent)
+    order = lambda r: tuple(-1 if x is None else x for x in r)
     rows = dedup.near_duplicates(every, k, percent).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(sets[i]), comp[i], comp[i] == i) for i in ids}
-    assert len(rows) == every.count() and dedup.near_duplicates(docs.limit(0), k, percent).count() == 0
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows), key=order) == sorted(want, key=order)
+    assert dedup.near_duplicates(docs.limit(0), k, percent).count() == 0
+
+
+def brute_components(rows, k, percent):
+    sets = [shingles(t, k) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x and y and comp[i] != comp[j] and 100 * len(x & y) >= percent * len(x | y):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    least = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp)}
+    return [(r[0], len(x), least[c], r[0] == least[c]) for r, x, c in zip(rows, sets, comp, strict=True)]
+
+
+def test_blocks_of_a_bucket_join_all_that_is_linked(spark, monkeypatch):
+    """Texts that differ from each other by up to a third: many stay apart, so buckets are open and are cut in blocks."""
+    monkeypatch.setattr(dedup, "BLOCK", 20)
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            w[rnd.randrange(len(w))] = f"v{rnd.randint(0, 30)}"
+        rows.append(document(i, " ".join(w)))
+    want = brute_components([(r[0], r[1]) for r in rows], 3, 85)
+    got = dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(7), 3, 85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == set(want) and 1 < len({r.component_id for r in got}) < 150
+
+
+def test_small_sets_share_no_band_by_one_common_shingle():
+    rnd = np.random.default_rng(4)
+    common = rnd.integers(1, 1 << 62, 1, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((common, rnd.integers(1, 1 << 62, 40, dtype=np.uint64)))) for _ in range(300)]
+    r = dedup.registers(np.concatenate(sets), np.arange(301) * 41)
+    keys = dedup.band_keys(r)
+    assert max(Counter(keys.ravel().tolist()).values()) < 5 and (dedup.filled(r) != dedup.EMPTY).all()
+    one = dedup.filled(dedup.registers(sets[0][:1], np.array([0, 1])))
+    assert len(np.unique(one)) == 1
 
 
 def test_pairs_at_the_threshold_are_missed_rarely():
@@ -168,6 +219,11 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 3), (100, 25), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
     assert {got[i] for i in [*range(10), *range(20, 30), 100]} == {0} and {got[i] for i in range(10, 20)} == {10}
+    rnd = random.Random(8)
+    places = rnd.sample(range(10**6), 700)
+    chain = spark.createDataFrame(list(zip(places, places[1:], strict=False)), "a long, b long")
+    assert {r.component for r in components(chain).collect()} == {min(places)}
+    assert components(links.limit(0)).count() == 0
 
 
 def vector_rows(n=700, d=16, seed=2):
@@ -300,7 +356,7 @@ def test_grams_of_parts_add_up():
 
 def test_filter_keeps_every_id(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
-    got = {r.doc_id for r in quality.likely(rows, rows.where("doc_id % 7 = 0").select("doc_id")).collect()}
+    got = {r.doc_id for r in shared.likely(rows, rows.where("doc_id % 7 = 0").select("doc_id"), "doc_id").collect()}
     assert got >= set(range(0, 3000, 7)) and None not in got and len(got) < 1000
 
 
