@@ -9,127 +9,161 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import vectors as V
 
+#: Greedy centres of a node's cover; points that none of them reaches go to their nearest.
+CENTRES = 64
+#: Scores that 64 bits can't hold are shown as the nearest that they can.
+TOP = (1 << 63) - 1
+
 
 class CoverTree:
-    """Nested covers: a node's points lie within its radius of its centre, and the centres of its children are further
-    apart than the radius over ``base``. Children of few points are put together in leaves around their parent's centre."""
+    """Nested covers: a node's points lie within its radius of its centre; greedy centres of its children are further apart
+    than the radius over ``base``, and points beyond their reach, or in children of few points, go to the nearest centre."""
 
-    def __init__(self, points: np.ndarray, base: float = 1.6, leaf: int = 48, small: int = 12):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int, base: float = 1.6):
+        self.points, self.squares = points, (points**2).sum(axis=1)
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.rows: list[np.ndarray] = []
-        self.children: list[list[int]] = []
+        self.children: list[np.ndarray] = []
         self._node(np.arange(len(points)), 0)
         stack = [0]
         while stack:
             node = stack.pop()
-            if len(self.rows[node]) <= leaf or self.radius[node] == 0:
+            rows = self.rows[node]
+            if len(rows) <= leaf or self.radius[node] == 0:
                 continue
-            rows, few = self._cover(self.rows[node], self.centre[node], self.radius[node] / base), []
-            for centre, own in rows:
-                if len(own) < small:
-                    few.append(own)
-                else:
-                    self.children[node].append(self._node(own, centre))
-            if few:
-                rest = np.concatenate(few)
-                for a in range(0, len(rest), leaf):
-                    part = rest[a : a + leaf]
-                    self.children[node].append(self._node(part, part[0]))
-            if len(self.children[node]) == 1 and len(self.rows[self.children[node][0]]) == len(self.rows[node]):
-                self.radius[self.children[node][0]] = min(self.radius[self.children[node][0]], self.radius[node])
-            stack += self.children[node]
+            centres, owner = self._cover(rows, self.centre[node], self.radius[node] / base)
+            sizes = np.bincount(owner, minlength=len(centres))
+            large = np.flatnonzero(sizes * 4 >= leaf)
+            if len(large) < 2:
+                large = np.arange(max(2, min(len(centres), -(-len(rows) // leaf))))
+            keep = centres[large]
+            away = ~np.isin(owner, large)
+            to = np.full(len(centres), -1)
+            to[large] = np.arange(len(large))
+            owner = to[owner]
+            owner[away] = self._distances(rows[away], keep).argmin(axis=1)
+            self.children[node] = np.array([self._node(rows[owner == c], keep[c]) for c in range(len(keep))])
+            stack += self.children[node].tolist()
+        self.radius, self.centre = np.array(self.radius), np.array(self.centre)
+        self.leaves = np.array([i for i, c in enumerate(self.children) if not len(c)])
+
+    def _distances(self, rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return self.squares[rows][:, None] - 2 * self.points[rows] @ self.points[centres].T + self.squares[centres]
 
     def _node(self, rows: np.ndarray, centre: int) -> int:
         self.centre.append(centre)
         self.radius.append(float(np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(axis=1).max())))
         self.rows.append(rows)
-        self.children.append([])
+        self.children.append(np.zeros(0, np.int64))
         return len(self.rows) - 1
 
-    def _cover(self, rows: np.ndarray, first: int, reach: float) -> list[tuple[int, np.ndarray]]:
-        """Greedy centres, the parent's own first; each takes all points left within reach."""
-        out, centre = [], first
-        while len(rows):
-            inside = ((self.points[rows] - self.points[centre]) ** 2).sum(axis=1) <= reach * reach
-            out.append((centre, rows[inside]))
-            rows = rows[~inside]
-            centre = rows[0] if len(rows) else -1
-        return out
-
-
-def dual_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best) -> None:
-    """Fill ``best`` for all queries: pairs of nodes in depth-first order, the better bound first; a pair is left out when
-    centres' product and both radii prove that no product reaches the worst kth score of the query node's group."""
-    qt, xt = CoverTree(q), CoverTree(x)
-    q_norm, x_norm = np.sqrt((q**2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
-    qc, xc = q[qt.centre], x[xt.centre]
-    qr, xr = np.array(qt.radius), np.array(xt.radius)
-    bound = qc @ xc.T + qr[:, None] * x_norm[xt.centre][None, :] + xr[None, :] * q_norm[qt.centre][:, None] + qr[:, None] * xr[None, :]
-    bound += 1e-9 * np.abs(bound) + 1e-6
-    worst = np.full(len(qt.rows), -np.inf)
+    def _cover(self, rows: np.ndarray, first: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy centres, the parent's own first, and whose each row is: the first centre's within reach, else the nearest's."""
+        centres, owner, left, centre = [], np.full(len(rows), -1), np.arange(len(rows)), first
+        while len(left) and len(centres) < CENTRES:
+            far = self.squares[rows[left]] - 2 * (self.points[rows[left]] @ self.points[centre]) + self.squares[centre]
+            far[rows[left] == centre] = 0
+            inside = far <= reach * reach
+            owner[left[inside]] = len(centres)
+            centres.append(centre)
+            left, far = left[~inside], far[~inside]
+            centre = rows[left[far.argmax()]] if len(left) else -1
+        centres = np.array(centres)
+        if len(left):
+            owner[left] = self._distances(rows[left], centres).argmin(axis=1)
+        return centres, owner
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exactly: by doubles where they are exact, else by 64-bit words, which are exact
+    unless a product leaves 64 bits; what may leave them is computed as long numbers."""
+    if max(np.abs(q.astype(np.float64)).max(initial=0), 1) * max(np.abs(x.astype(np.float64)).max(initial=0), 1) * q.shape[1] < 2.0**53:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    near = np.abs(q.astype(np.float64)) @ np.abs(x.astype(np.float64)).T
+    with np.errstate(over="ignore"):
+        out = (q[:, None, :] * x[None, :, :]).sum(axis=2)
+    for i, j in np.argwhere(near >= 2.0**62).tolist():
+        out[i, j] = max(-TOP, min(TOP, sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))))
+    return out
+
+
+def dual_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best, leaf: int = 48, query_leaf: int = 4) -> float:
+    """Fill ``best`` for all queries; returns the share of products that were computed.
+
+    Both sides have a cover tree. A leaf of queries first meets the data leaf whose centre promises most. Then a data node
+    meets the query nodes that are left of its parent's: a pair goes when centres' product and both radii prove that no product
+    reaches the worst kth score of the query node's group; query nodes wider than the data node give way to their children.
+    """
+    fq, fx = q.astype(np.float64), x.astype(np.float64)
+    qt, xt = CoverTree(fq, query_leaf), CoverTree(fx, leaf)
+    qn, xn = np.sqrt((fq[qt.centre] ** 2).sum(axis=1)), np.sqrt((fx[xt.centre] ** 2).sum(axis=1))
+    product = fq[qt.centre] @ fx[xt.centre].T
+    reach = (qn + qt.radius)[:, None] * (xn + xt.radius)[None, :]
+    bound = product + qt.radius[:, None] * xn[None, :] + xt.radius[None, :] * qn[:, None] + qt.radius[:, None] * xt.radius[None, :]
+    bound += 1e-9 * reach + 1e-6
+    limit = np.full(len(qt.rows), -np.inf)
     parent = np.full(len(qt.rows), -1)
     for node, kids in enumerate(qt.children):
         parent[kids] = node
-
-    def refresh(node: int) -> None:
-        worst[node] = best.worst()[qt.rows[node]].min()
-        node = parent[node]
-        while node >= 0:
-            new = max(worst[node], min(worst[c] for c in qt.children[node]))
-            if new == worst[node]:
-                return
-            worst[node] = new
-            node = parent[node]
-
-    def limit(node: int) -> float:
-        """The worst kth score of a group: what is known of it or of a group that holds it."""
-        most = worst[node]
-        while (node := parent[node]) >= 0:
-            most = max(most, worst[node])
-        return most
-
-    stack = [(0, 0)]
+    below = np.array([not len(c) for c in qt.children])
+    done = np.zeros((len(qt.rows), len(xt.rows)), bool)
+    computed = 0
+
+    def meet(groups: np.ndarray, node: int) -> None:
+        nonlocal computed
+        groups = groups[~done[groups, node]]
+        if not len(groups):
+            return
+        done[groups, node] = True
+        rows, data = np.concatenate([qt.rows[g] for g in groups]), xt.rows[node]
+        for a in range(0, len(rows), 256):
+            best.add(rows[a : a + 256], products(q[rows[a : a + 256]], x[data]), ids[data])
+        computed += len(rows) * len(data)
+        worst = best.worst().astype(np.float64)
+        limit[groups] = np.minimum.reduceat(worst[rows], np.concatenate(([0], np.cumsum([len(qt.rows[g]) for g in groups])[:-1])))
+        for up in np.unique(parent[groups])[::-1].tolist():
+            while up >= 0 and (new := limit[qt.children[up]].min()) > limit[up]:
+                limit[up], up = new, parent[up]
+
+    first = xt.leaves[product[np.ix_(qt.leaves, xt.leaves)].argmax(axis=1)]
+    for node in np.unique(first).tolist():
+        meet(qt.leaves[first == node], node)
+    stack = [(0, np.zeros(1, np.int64))]
     while stack:
-        a, b = stack.pop()
-        if bound[a, b] < limit(a):
+        node, groups = stack.pop()
+        while True:
+            groups = groups[bound[groups, node] >= limit[groups]]
+            wide = ~below[groups] & ((qt.radius[groups] >= xt.radius[node]) | (not len(xt.children[node])))
+            if not wide.any():
+                break
+            groups = np.concatenate([groups[~wide], *(qt.children[g] for g in groups[wide])])
+        if not len(groups):
             continue
-        qk, xk = qt.children[a], xt.children[b]
-        if not qk and not xk:
-            best.add(qt.rows[a], q[qt.rows[a]] @ x[xt.rows[b]].T, ids[xt.rows[b]])
-            refresh(a)
-        elif xk and (not qk or len(xt.rows[b]) >= len(qt.rows[a])):
-            stack += [(a, c) for c in sorted(xk, key=lambda c: bound[a, c])]
+        if len(xt.children[node]):
+            kids = xt.children[node]
+            stack += [(c, groups) for c in kids[np.argsort(bound[np.ix_(groups, kids)].max(axis=0))].tolist()]
         else:
-            stack += [(c, b) for c in sorted(qk, key=lambda c: bound[c, b])]
-
-
-def exact_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best) -> None:
-    """For components so large that doubles aren't exact: blocks of whole-number products; scores beyond 64 bits saturate at them."""
-    a, b = q.astype(object), x.astype(object)
-    for i in range(0, len(x), 256):
-        best.add(np.arange(len(q)), np.clip((a @ b[i : i + 256].T).astype(np.float64), -(2.0**63), 2.0**63), ids[i : i + 256])
+            meet(groups, node)
+    return computed / max(1, len(q) * len(x))
 
 
-def top_products(table: DataFrame, queries: Column, k: int = 5, block_rows: int = 4096, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
+def top_products(table: DataFrame, queries: Column, k: int = 5, block_rows: int = 16384, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """Each query's k highest inner products, exactly: (query_id, rank, vec_id, score) over vectors of whole numbers.
 
-    In each pair of blocks, a cover tree of the queries and one of the data are searched together. Products are exact in
-    doubles while squares of components times the length stay under 2**53; larger ones are computed as whole numbers,
-    and shown to the nearest double. Vectors that are null or empty or hold null or non-finite components take no part,
-    nor do null ids; lengths are searched apart; a query's own id is no candidate (nor are other rows with this id);
-    ties go to smaller ids; repeated rows count once; fewer than k candidates give fewer rows; an empty table gives none;
-    other columns are not read.
+    In each pair of blocks, a cover tree of the queries and one of the data are searched together. Products are whole
+    numbers; those that 64 bits can't hold are shown as the nearest that they can. Vectors that are null or empty or hold
+    null or non-finite components take no part, nor do null ids; lengths are searched apart; a query's own id is no
+    candidate (nor are other rows with this id); ties go to smaller ids; repeated rows count once; fewer than k candidates
+    give fewer rows; an empty table gives none; other columns are not read.
     """
     rows = table.select(table[id_col].cast("long").alias("id"), table[vector_col].alias("vector")).where(F.col("id").isNotNull() & V.whole(F.col("vector")))
 
     def find(asked: pa.Table, data: pa.Table) -> pa.Table:
-        qid, q = V.matrix(asked, np.float64)
-        ids, x = V.matrix(data, np.float64)
-        best = V.Best(qid, k)
-        exact = max(np.abs(q).max(), 1) * max(np.abs(x).max(), 1) * q.shape[1] < 2.0**53
-        (dual_search if exact else exact_search)(q, x, ids, best)
+        qid, q = V.matrix(asked, np.int64)
+        ids, x = V.matrix(data, np.int64)
+        best = V.Best(qid, k, np.int64)
+        dual_search(q, x, ids, best)
         return best.table()
 
     return V.search(rows, queries, k, block_rows, query_rows, find, "long")

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from helixspark.llm.textkit import list_parts
 
-RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-
 def whole(vector: Column) -> Column:
     """Not null, not empty, and without null or non-finite components."""
     bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf")))
@@ -48,41 +45,56 @@ def search(vectors: DataFrame, queries: Column, k: int, block_rows: int, query_r
     left = asked.select("id", "vector", dim, deal(groups, 3).alias("g"), every(blocks).alias("b"))
     right = data.select("id", "vector", dim, deal(blocks, 5).alias("b"), every(groups).alias("g"))
 
+    kind = pa.int64() if score_type == "long" else pa.float64()
+
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
         if not one.num_rows or not other.num_rows:
-            return RESULT.empty_table()
+            return pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", kind)]).empty_table()
         return find(one, other)
 
-    near = left.groupBy("dim", "g", "b").cogroup(right.groupBy("dim", "g", "b")).applyInArrow(run, "query_id long, vec_id long, score double")
+    near = left.groupBy("dim", "g", "b").cogroup(right.groupBy("dim", "g", "b")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast(score_type).alias("score"))
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 class Best:
-    """The k best (score, id) of each query so far: higher scores, then smaller ids."""
+    """The k best (score, id) of each query so far: higher scores, then smaller ids. Scores are doubles or whole numbers."""
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
-        self.score = np.full((len(queries), k), -np.inf)
+    def __init__(self, queries: np.ndarray, k: int, kind: type = np.float64):
+        self.queries, self.k, self.kind = queries, k, kind
+        self.none = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+        self.score = np.full((len(queries), k), self.none, kind)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
 
     def worst(self) -> np.ndarray:
+        """Each query's kth best score; minus infinity, or the least whole number, while there are fewer."""
         return self.score[:, -1]
 
+    def _down(self, score: np.ndarray) -> np.ndarray:
+        return np.argsort(-score if self.kind is np.float64 else ~score, axis=1, kind="stable")
+
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Candidates' scores for some queries; a query's own id and ids it has already are left out."""
+        """Candidates' scores for some queries (``none`` for no candidate); a query's own id and ids it has already are left out."""
+        if not score.shape[1]:
+            return
         ids = np.broadcast_to(ids, score.shape)
-        score = np.where(ids == self.queries[rows][:, None], -np.inf, score)
+        score = np.where(ids == self.queries[rows][:, None], self.none, score)
+        if score.shape[1] > 2 * self.k:
+            # all above the kth best of these, and of those equal to it the smallest ids, by way of a partition
+            part = np.argpartition(-score if self.kind is np.float64 else ~score, self.k, axis=1)
+            edge = np.take_along_axis(score, part[:, self.k : self.k + 1], 1)
+            if not (score == edge).sum(axis=1).max() > 1:
+                score, ids = np.take_along_axis(score, part[:, : self.k + 1], 1), np.take_along_axis(ids, part[:, : self.k + 1], 1)
         s = np.concatenate((self.score[rows], score), axis=1)
         i = np.concatenate((self.id[rows], ids), axis=1)
-        order = np.argsort(-s, axis=1, kind="stable")
+        order = self._down(s)
         s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         order = np.argsort(i, axis=1, kind="stable")
         s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        s[:, 1:][i[:, 1:] == i[:, :-1]] = -np.inf
-        order = np.argsort(-s, axis=1, kind="stable")[:, : self.k]
+        s[:, 1:][i[:, 1:] == i[:, :-1]] = self.none
+        order = self._down(s)[:, : self.k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
     def table(self) -> pa.Table:
-        some = self.score > -np.inf
-        return pa.table([np.repeat(self.queries, some.sum(axis=1)), self.id[some], self.score[some]], schema=RESULT)
+        some = self.score > self.none
+        return pa.table({"query_id": np.repeat(self.queries, some.sum(axis=1)), "vec_id": self.id[some], "score": self.score[some]})

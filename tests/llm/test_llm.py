@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixspark.llm import ann, bpe, dedup, mixing, packing, pii, quality, registry, sharding, shared, textkit, tokens, topk, warc
+from helixspark.llm import ann, bpe, dedup, mixing, packing, pii, quality, registry, sharding, shared, textkit, tokens, topk, vectors, warc
 from helixspark.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -268,8 +268,27 @@ def test_top_products_are_exact(spark):
         s = data @ whole[q]
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
         assert sorted(got[q]) == [(k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(order)]
-    large = spark.createDataFrame([(0, [1 << 40, 1]), (1, [1 << 20, 3]), (2, [5, 1])], "vec_id long, vector array<long>")
-    assert [(r.vec_id, r.score) for r in topk.top_products(large, F.col("id") == 0).orderBy("rank").collect()] == [(1, (1 << 60) + 3 - 3), (2, 5 * (1 << 40) + 1)]
+    large = spark.createDataFrame([(0, [1 << 40, 1]), (1, [1 << 20, 3]), (2, [5, 1]), (3, [1 << 30, 0]), (4, [-(1 << 30), 0])], "vec_id long, vector array<long>")
+    got = topk.top_products(large, F.col("id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, topk.TOP), (1, (1 << 60) + 3), (2, 5 * (1 << 40) + 1), (4, -topk.TOP)]
+
+
+def test_dual_trees_are_exact_and_prune():
+    rnd = np.random.default_rng(0)
+    centres = rnd.standard_normal((40, 64))
+    clusters = np.floor((np.repeat(centres, 100, axis=0) + rnd.standard_normal((4000, 64)) * 0.05) * 256)
+    ties = rnd.integers(-2, 3, (900, 4))
+    wide = rnd.integers(-(2**30), 2**30, (300, 3))
+    for x, most in ((clusters.astype(np.int64), 0.1), (ties, 1.01), (wide, 1.01), (np.ones((70, 5), np.int64), 1.01)):
+        ids = rnd.permutation(len(x))
+        asked = ids % 50 == 0
+        best = vectors.Best(ids[asked], 5, np.int64)
+        share = topk.dual_search(x[asked], x, ids, best)
+        assert share < most
+        for q, i, s in zip(np.flatnonzero(asked), best.id, best.score, strict=True):
+            own = sum(x[:, d].astype(object) * int(x[q, d]) for d in range(x.shape[1]))
+            order = [j for j in sorted(range(len(x)), key=lambda j: (-own[j], ids[j])) if j != q][:5]
+            assert list(zip(i.tolist(), s.tolist(), strict=True)) == [(int(ids[j]), own[j]) for j in order]
 
 
 def test_archives(spark, tmp_path):
