@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixspark.llm import vectors as V
+from helixspark.llm.shared import staged
 
 
 def chi_square(x: np.ndarray, m: int) -> np.ndarray:
@@ -18,82 +21,188 @@ def chi_square(x: np.ndarray, m: int) -> np.ndarray:
     return 1 - np.exp(-half) * sum(half**i / math.factorial(i) for i in range(m // 2))
 
 
+def reach_of(sure: float, m: int) -> float:
+    """Where ``chi_square`` reaches ``sure``, by bisection."""
+    low, high = 0.0, 1000.0 * m
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, m) < sure else (low, mid)
+    return high
+
+
+def directions(dim: int, dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((dim, dims))
+
+
 class KdTree:
-    """Leaves of a kd-tree by median splits of the widest axis, each with its bounding box."""
-
-    def __init__(self, points: np.ndarray, leaf: int):
-        self.leaves: list[np.ndarray] = []
-        stack = [np.arange(len(points))]
-        while stack:
-            rows = stack.pop()
-            if len(rows) <= leaf:
-                self.leaves.append(rows)
-                continue
-            axis = np.argmax(np.ptp(points[rows], axis=0))
-            order = np.argpartition(points[rows, axis], len(rows) // 2)
-            stack += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-        self.low = np.array([points[r].min(axis=0) for r in self.leaves])
-        self.high = np.array([points[r].max(axis=0) for r in self.leaves])
-        width = max(map(len, self.leaves))
-        self.rows = np.array([np.concatenate((r, np.full(width - len(r), r[0]))) for r in self.leaves])
+    """Median splits of the widest axis, as a heap; its leaves are cells of the whole space, so that any point has one."""
+
+    def __init__(self, points: np.ndarray, levels: int):
+        self.levels = levels
+        self.axis, self.split = np.zeros(1 << levels, np.int64), np.zeros(1 << levels)
+        rows = {1: np.arange(len(points))}
+        for node in range(1, 1 << levels):
+            own = rows.pop(node)
+            axis = int(np.argmax(np.ptp(points[own], axis=0)))
+            self.axis[node], self.split[node] = axis, np.median(points[own, axis])
+            right = points[own, axis] >= self.split[node]
+            rows[2 * node], rows[2 * node + 1] = (own[~right], own[right]) if right.any() and not right.all() else (own, own)
+
+    def cells(self, points: np.ndarray) -> np.ndarray:
+        node = np.ones(len(points), np.int64)
+        for _ in range(self.levels):
+            node = 2 * node + (points[np.arange(len(points)), self.axis[node]] >= self.split[node])
+        return node - (1 << self.levels)
 
     def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of each query to each leaf's box."""
-        out = np.zeros((len(q), len(self.leaves)))
-        for d in range(q.shape[1]):
-            gap = np.maximum(np.maximum(self.low[None, :, d] - q[:, None, d], q[:, None, d] - self.high[None, :, d]), 0)
-            out += gap * gap
+        """Squared distance of each query to each cell, from node to node: a split adds what lies between the query and it."""
+        out, gaps = np.zeros((len(q), 1)), np.zeros((len(q), 1, q.shape[1]))
+        for level in range(self.levels):
+            nodes = np.arange(1 << level, 2 << level)
+            axis, away = self.axis[nodes], q[:, self.axis[nodes]] - self.split[nodes]
+            old = np.take_along_axis(gaps, np.broadcast_to(axis[None, :, None], (*out.shape, 1)), 2)[:, :, 0]
+            sides = []
+            for gap in (np.maximum(away, 0), np.maximum(-away, 0)):
+                new = np.maximum(old, gap)
+                own = gaps.copy()
+                np.put_along_axis(own, np.broadcast_to(axis[None, :, None], (*out.shape, 1)), new[:, :, None], 2)
+                sides.append((out + new**2 - old**2, own))
+            out = np.stack([d for d, _ in sides], axis=2).reshape(len(q), -1)
+            gaps = np.stack([g for _, g in sides], axis=2).reshape(len(q), -1, q.shape[1])
         return out
 
 
-def nearest(table: DataFrame, queries: Column, k: int = 5, dims: int = 8, sure: float = 0.98, leaf: int = 32, block_rows: int = 8192, query_rows: int = 2048, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def verify(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best, dims: int, sure: float, seed: int, leaf: int = 32) -> float:
+    """Fill ``best`` with cosines of unit vectors of one block; returns the share of pairs that were verified.
+
+    Every query verifies its nearest leaf of the block's projected kd-tree. Then leaves are opened, those that most queries
+    are near to first, for the queries that the chi-square test, on their kth best so far, doesn't stop before the
+    leaf; and of an opened leaf only those points are verified that the test doesn't stop before.
+    """
+    base, far = directions(q.shape[1], dims, seed), reach_of(sure, dims)
+    pq, px = q @ base, x @ base
+    tree = KdTree(px, max(0, math.ceil(math.log2(max(1, len(x) / leaf)))))
+    cells = tree.cells(px)
+    order = np.argsort(cells, kind="stable")
+    at = np.searchsorted(cells[order], np.arange((1 << tree.levels) + 1))
+    gaps, q2, x2 = tree.distances(pq), (pq**2).sum(axis=1), (px**2).sum(axis=1)
+    gaps[:, np.diff(at) == 0] = np.inf
+    done = np.zeros(gaps.shape, bool)
+    verified = 0
+
+    def meet(rows: np.ndarray, cell: int, limit: np.ndarray) -> None:
+        nonlocal verified
+        own = order[at[cell] : at[cell + 1]]
+        a, b = np.nonzero(q2[rows][:, None] - 2 * pq[rows] @ px[own].T + x2[own] < limit[:, None] + 1e-9)
+        score = np.full((len(rows), len(own)), -np.inf)
+        score[a, b] = np.einsum("ij,ij->i", q[rows[a]], x[own[b]])
+        best.add(rows, score, ids[own])
+        done[rows, cell] = True
+        verified += len(a)
+
+    first = gaps.argmin(axis=1)
+    for cell in np.unique(first).tolist():
+        meet(rows := np.flatnonzero(first == cell), cell, np.full(len(rows), np.inf))
+    for cell in np.argsort(gaps.mean(axis=0), kind="stable").tolist():
+        kth = best.worst()
+        limit = np.where(np.isfinite(kth), far * np.maximum(2 - 2 * kth, 1e-12), np.inf)
+        rows = np.flatnonzero((gaps[:, cell] < limit) & ~done[:, cell])
+        if len(rows):
+            meet(rows, cell, limit[rows])
+    return verified / max(1, len(q) * len(x))
+
+
+def nearest(table: DataFrame, queries: Column, k: int = 5, dims: int = 16, sure: float = 0.98, cell_rows: int = 4096, block_rows: int = 8192, query_rows: int = 4096, sample_rows: int = 16384, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest by cosine: (query_id, rank, vec_id, score).
 
     Unit vectors are projected on ``dims`` (even) Gaussian directions. For unit vectors squared distance is 2 - 2 cos, and
-    squared projected over squared true distance is chi-square with ``dims`` degrees of freedom. A query verifies leaves
-    of the block's kd-tree in the order of projected distance, by exact cosine in double precision, until a point as near
-    as its kth best would with probability ``sure`` have been met (the test on the next leaf's distance) or all are met.
-
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids; lengths are
-    searched apart; a query's own id is no candidate (nor are other rows with this id); ties go to smaller ids; repeated
-    rows count once; fewer than k candidates give fewer rows; an empty table gives none; other columns are not read.
+    squared projected over squared true distance is chi-square with ``dims`` degrees of freedom: a query is done with all
+    cells whose projected distance is so large that a point as near as its kth best would be met before with probability
+    ``sure``. A kd-tree over the projections, fitted once on at most ``sample_rows`` rows, deals all rows to cells. Each query
+    searches its own cell first; that gives its kth best, and the test then tells which other cells it goes to. There, a
+    smaller kd-tree and the same test decide what is verified, by exact cosine in double precision.
+
+    Cells of more than ``block_rows`` rows are cut, as are their queries; at most two thousand cells are fitted, and what is
+    sent to executors is their splits. Vectors that are null, empty, zero, or hold null or non-finite components take no
+    part, nor do null ids; lengths are searched apart, in one cell each where the sample has less than 16 of a length;
+    a query's own id is no candidate (nor are other rows with this id); ties go to smaller ids; repeated rows count once;
+    fewer than k candidates give fewer rows; an empty table gives none; other columns are not read.
     """
     v = F.transform(table[vector_col], lambda x: x.cast("double"))
     rows = table.select(table[id_col].cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & V.whole(F.col("vector")))
     rows = rows.where(F.exists("vector", lambda x: x != 0))
-
-    def find(asked: pa.Table, data: pa.Table) -> pa.Table:
-        qid, q = V.matrix(asked, np.float64)
-        ids, x = V.matrix(data, np.float64)
-        qn, xn = _norms(q), _norms(x)
-        directions = np.random.default_rng(seed).standard_normal((x.shape[1], dims))
-        unit_q, unit_x = q / qn[:, None], x / xn[:, None]
-        tree = KdTree(unit_x @ directions, leaf)
+    data = staged(V.few_copies(rows, k), "vectors")
+    asked = V.questions(rows, queries)
+    drawn = data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).toArrow()
+    n, trees = data.count(), {}
+    for dim in sorted(set(drawn["vector"].combine_chunks().value_lengths().to_pylist())) if drawn.num_rows else []:
+        own = drawn.filter(pa.array([len(x) == dim for x in drawn["vector"].to_pylist()]))
+        levels = math.ceil(math.log2(max(1, n * own.num_rows / drawn.num_rows / cell_rows)))
+        points = _unit(V.matrix(own, np.float64)[1]) @ directions(dim, dims, seed)
+        trees[dim] = KdTree(points, max(0, min(levels, int(math.log2(own.num_rows / 8)) if own.num_rows >= 16 else 0)))
+
+    def placed(far: float | None):
+        """Rows (id, vector[, kth]) with their cell, or (far) with all cells that a query has to go to."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for at in range(0, big.num_rows, 256):
+                    b = pa.Table.from_batches([big.slice(at, 256)])
+                    cells: list[list[int]] = [[0]] * b.num_rows
+                    size = np.array(b["vector"].combine_chunks().value_lengths())
+                    for dim in np.unique(size).tolist():
+                        if dim in trees:
+                            some = np.flatnonzero(size == dim)
+                            points = _unit(V.matrix(b.take(pa.array(some)), np.float64)[1]) @ directions(dim, dims, seed)
+                            if far is None:
+                                found = trees[dim].cells(points)[:, None].tolist()
+                            else:
+                                kth = b["kth"].to_numpy()[some].astype(float)
+                                limit = np.where(np.isnan(kth), np.inf, far * np.maximum(2 - 2 * kth, 1e-12))
+                                found = [np.flatnonzero(near).tolist() for near in trees[dim].distances(points) < limit[:, None]]
+                            for i, c in zip(some.tolist(), found, strict=True):
+                                cells[i] = c
+                    yield pa.RecordBatch.from_arrays([*(b[c].combine_chunks() for c in ("id", "vector")), pa.array(size, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["id", "vector", "dim", "cells"])
+
+        return run
+
+    fields = "id long, vector array<double>, dim int, cells array<int>"
+    at_home = staged(data.mapInArrow(placed(None), fields).select("id", "vector", "dim", F.col("cells")[0].alias("cell")), "cells")
+    parts = staged(at_home.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts")), "parts")
+    deal = lambda m, s: F.pmod(F.xxhash64("id", F.lit(s)), m).cast("int")
+    blocks = at_home.join(parts, ["dim", "cell"]).withColumn("part", deal(F.col("parts"), 3)).drop("parts")
+    block = ["dim", "cell", "part"]
+
+    def find(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not one.num_rows or not other.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        qid, q = V.matrix(one, np.float64)
+        ids, x = V.matrix(other, np.float64)
         best = V.Best(qid, k)
-        for a in range(0, len(qid), 1024):
-            mine = np.arange(a, min(a + 1024, len(qid)))
-            far = tree.distances(unit_q[mine] @ directions)
-            order = np.argsort(far, axis=1)
-            live = np.arange(len(mine))
-            for step in range(order.shape[1]):
-                near = tree.rows[order[live, step]]
-                rows = mine[live]
-                cos = np.einsum("qd,qpd->qp", unit_q[rows], unit_x[near])
-                best.add(rows, cos, ids[near])
-                if step + 1 == order.shape[1]:
-                    break
-                kth = best.worst()[rows]
-                reach = np.maximum(2 - 2 * kth, 1e-300)
-                stop = np.isfinite(kth) & (chi_square(far[live, order[live, step + 1]] / reach, dims) >= sure)
-                live = live[~stop]
-                if not len(live):
-                    break
+        verify(_unit(q), _unit(x), ids, best, dims, sure, seed)
         return best.table()
 
-    return V.search(rows, queries, k, block_rows, query_rows, find, "double")
-
-
-def _norms(x: np.ndarray) -> np.ndarray:
-    """Euclidean lengths without overflow or underflow."""
-    top = np.abs(x).max(axis=1)
-    return top * np.sqrt(np.einsum("ij,ij->i", x / top[:, None], x / top[:, None]))
+    def searched(visits: DataFrame) -> DataFrame:
+        """k best of each visit (id, vector, dim, cell, part) in its block."""
+        groups = visits.groupBy(*block).agg(F.ceil(F.count("*") / query_rows).cast("int").alias("groups"))
+        left = visits.join(groups, block).withColumn("g", deal(F.col("groups"), 5))
+        right = blocks.join(groups, block).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        left = left.toDF(*(c + "1" for c in left.columns)).withColumnsRenamed({"id1": "id", "vector1": "vector"})
+        return left.groupBy(*(c + "1" for c in [*block, "g"])).cogroup(right.groupBy(*block, "g")).applyInArrow(find, "query_id long, vec_id long, score double")
+
+    home = asked.mapInArrow(placed(None), fields).select("id", "vector", "dim", F.col("cells")[0].alias("cell")).join(parts, ["dim", "cell"]).withColumn("part", deal(F.col("parts"), 7)).drop("parts")
+    home = staged(home, "home")
+    near = staged(searched(home), "near")
+    kth = near.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    away = asked.join(kth, "id", "left").mapInArrow(placed(reach_of(sure, dims)), fields).select("id", "vector", "dim", F.explode("cells").alias("cell"))
+    away = away.join(parts, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    away = staged(away.join(home.select("id", *block), ["id", *block], "left_anti"), "away")
+    every = near.unionByName(searched(away)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows over their Euclidean lengths, without overflow or underflow."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]

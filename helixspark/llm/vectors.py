@@ -25,18 +25,25 @@ def matrix(table: pa.Table, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     return ids, values.to_numpy(zero_copy_only=False).astype(dtype).reshape(len(ids), -1)
 
 
+def few_copies(vectors: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors those with the k + 1 smallest ids: ties go to smaller ids, so no others can be in a result. The limit by rank also holds before the shuffle."""
+    copies = W.partitionBy("vector").orderBy("id")
+    return vectors.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n")
+
+
+def questions(vectors: DataFrame, queries: Column) -> DataFrame:
+    """Rows that ask; of several vectors with one id, the smallest."""
+    return vectors.where(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+
+
 def search(vectors: DataFrame, queries: Column, k: int, block_rows: int, query_rows: int, find: Callable[[pa.Table, pa.Table], pa.Table], score_type: str) -> DataFrame:
     """Top k of every query among all vectors of its length: (query_id, rank, vec_id, score).
 
-    ``vectors`` has (id, vector). Of equal vectors only those with the k + 1 smallest ids can be in a result, as ties go
-    to smaller ids; a limit by rank in each group, applied before the shuffle too, leaves just these. Data and queries
-    are dealt into blocks of bounded size by hash, each pair of blocks is one task's work, and the blocks' k best are
+    ``vectors`` has (id, vector). Data and queries are dealt into blocks of bounded size by hash, each pair of blocks is one task's work, and the blocks' k best are
     merged by rank. Queries are those rows that ``queries`` is true of; of several vectors with one id, the smallest asks and
     the best answers.
     """
-    copies = W.partitionBy("vector").orderBy("id")
-    data = vectors.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n")
-    asked = vectors.where(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    data, asked = few_copies(vectors, k), questions(vectors, queries)
     n, q = vectors.count(), asked.count()
     blocks, groups = max(1, -(-n // block_rows)), max(1, -(-q // query_rows))
     dim = F.size("vector").alias("dim")

@@ -239,7 +239,7 @@ def test_nearest_vectors(spark):
     rows, x = vector_rows()
     table = spark.createDataFrame([(*r, "q") for r in rows], "vec_id long, embedding array<float>, rank string")
     got: dict = {}
-    for r in ann.nearest(table, F.col("id") % 50 == 0, block_rows=200, query_rows=5).collect():
+    for r in ann.nearest(table, F.col("id") % 50 == 0, cell_rows=100, block_rows=60, query_rows=5).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
     hit = 0
@@ -255,6 +255,31 @@ def test_nearest_vectors(spark):
     assert ann.nearest(table.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_the_stop_stops_and_finds(spark):
+    rnd = np.random.default_rng(1)
+    near = np.repeat(rnd.standard_normal((40, 64)), 100, axis=0) + rnd.standard_normal((4000, 64)) * 0.05
+    for x, most in ((near, 0.1), (rnd.standard_normal((2000, 64)), 0.9)):
+        u = ann._unit(x)
+        ids = np.arange(len(u))
+        asked = ids % 50 == 0
+        best = vectors.Best(ids[asked], 5)
+        assert ann.verify(u[asked], u, ids, best, 16, 0.98, 11) < most
+        cos = u[asked] @ u.T
+        cos[np.arange(len(cos)), ids[asked]] = -2
+        assert (best.score >= np.sort(cos, axis=1)[:, -5:-4] - 1e-12).mean() > 0.95
+
+
+def test_projected_cells_hold_their_points():
+    rnd = np.random.default_rng(3)
+    x, q = rnd.standard_normal((500, 4)), rnd.standard_normal((40, 4))
+    tree = ann.KdTree(x[:200], 4)
+    cells, gaps = tree.cells(x), tree.distances(q)
+    exact = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    assert set(cells) <= set(range(16)) and (gaps[:, cells] <= exact + 1e-9).all() and (gaps[np.arange(40), tree.cells(q)] == 0).all()
+    same = ann.KdTree(np.ones((40, 4)), 2)
+    assert set(same.cells(np.ones((5, 4)))) == {3} and abs(ann.chi_square(ann.reach_of(0.9, 8), 8) - 0.9) < 1e-9
+
+
 def test_top_products_are_exact(spark):
     rows, x = vector_rows()
     whole = np.floor(x.astype(np.float64) * 256).astype(np.int64)
