@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.llm.shared import fresh, staged
+
 #: Kinds in the order of the output. The quantifiers are possessive where what follows can't match inside, which finds
 #: the same spans without deep recursion; look-behinds skip starts that only repeat a failed attempt.
 BASE = {
@@ -21,11 +23,13 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-EXTRA = {"secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{8,}+"}
+EXTRA = {"secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,}+"}
 KINDS = [*BASE, *EXTRA]
 #: Words that announce a credential.
 GAZETTEER = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "credential", "auth"]
 FORMATS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{12,}|gh[a-z]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,})$"
+#: Characters before a candidate that labelers see.
+CONTEXT = 24
 LABELERS = 4
 FEATURES = (4, 4, 3, 3)  # sizes of the enumerations in _features
 BLOCK = 256
@@ -43,15 +47,16 @@ def running(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, starts, lambda x, p: F.aggregate(x, at(p), add)["a"]))).otherwise(none)
 
 
-def _found(df: DataFrame, kind: str, pattern: str, guard: Column) -> DataFrame:
-    """Adds column ``_<kind>``: array of (s, e, v, l, r): start, end, match, and what stands left and right of it."""
-    text = F.col("_text")
+def _found(df: DataFrame, kind: str, pattern: str, guard: Column, p: str) -> DataFrame:
+    """Adds column ``<p><kind>``: array of (s, e, v, l, r): start, end, match, and what stands left and right of it. Helper columns start with ``p``."""
+    text = F.col(f"{p}text")
+    hits, gaps, ends = (f"{p}{x}" for x in ("hits", "gaps", "ends"))
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    df = df.withColumn("_m", F.when(guard, hit).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_e", F.when(F.size("_m") > 0, running(F.zip_with("_m", F.slice("_g", 1, F.size("_m")), lambda m, g: (F.length(m) + F.length(g)).cast("long")))).otherwise(F.array().cast("array<bigint>")))
-    at = F.transform("_m", lambda m, i: F.struct((F.get("_e", i) - F.length(m)).alias("s"), F.get("_e", i).alias("e"), m.alias("v"), F.lower(F.right(F.get("_g", i), F.lit(24))).alias("l"), F.left(F.get("_g", i + 1), F.lit(2)).alias("r")))
-    return df.withColumn(f"_{kind}", at).drop("_m", "_g", "_e")
+    df = df.withColumn(hits, F.when(guard, hit).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(ends, F.when(F.size(hits) > 0, running(F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: (F.length(m) + F.length(g)).cast("long")))).otherwise(F.array().cast("array<bigint>")))
+    at = F.transform(hits, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("s"), F.get(ends, i).alias("e"), m.alias("v"), F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT))).alias("l"), F.left(F.get(gaps, i + 1), F.lit(2)).alias("r")))
+    return df.withColumn(f"{p}{kind}", at).drop(hits, gaps, ends)
 
 
 def _valid(kind: str, v: Column) -> Column:
@@ -93,11 +98,11 @@ def _features(c: Column) -> list[Column]:
     ]
 
 
-def fit(df: DataFrame, rounds: int = 40) -> list[list[float]]:
-    """Reliabilities by expectation-maximisation over counts of vote patterns, then the classifier's log odds: a bias, and one list for each feature."""
+def fit(candidates: DataFrame, rounds: int = 40) -> list[list[float]]:
+    """Reliabilities by expectation-maximisation over counts of vote patterns, then the classifier's log odds: a bias, and one list for each feature. ``candidates`` has one, as ``_found`` gives them, in column c of each row."""
     c = F.col("c")
     names = [f"v{i}" for i in range(LABELERS)] + [f"f{i}" for i in range(len(FEATURES))]
-    rows = df.select(F.explode("_secret").alias("c")).select(*(x.alias(n) for x, n in zip(_votes(c) + _features(c), names, strict=True))).groupBy(*names).count().collect()
+    rows = candidates.select(*(x.alias(n) for x, n in zip(_votes(c) + _features(c), names, strict=True))).groupBy(*names).count().collect()
     groups = sorted((tuple(r[:LABELERS]), tuple(r[LABELERS:-1]), r[-1]) for r in rows)
     votes = sorted({g[0] for g in groups})
     counts = {v: sum(g[2] for g in groups if g[0] == v) for v in votes}
@@ -138,20 +143,26 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``pii_spans``: array of (kind int, s long, e long), sorted; kind is the place in ``KINDS``, positions are code points, end exclusive.
 
     Base spans are leftmost and non-overlapping for each kind; matches that fail their check are dropped without retry.
-    Two scans of the text (counts of votes, then spans), no shuffle but that of the vote counts; no row leaves its task.
+    A candidate for a credential is a token of 8 or more letters, digits and +/_- with a digit in it; labelers see it and the
+    ``CONTEXT`` characters before it. Two scans of the text: the first writes all candidates to the shared folder, where
+    votes and features are counted; the second finds spans. No shuffle but that of the counts; no row leaves its task.
     A null or empty text has no spans; an empty table gives an empty one; every row is kept, repeated ones too; a column
-    named pii_spans is replaced.
+    named pii_spans is replaced; helper columns have names that the table doesn't.
     """
-    digit, text = F.regexp_like("_text", F.lit("[0-9]")), F.coalesce(F.col(text_col), F.lit(""))
-    some = docs.withColumn("_text", text)
-    model = fit(_found(some.select("_text"), "secret", EXTRA["secret"], digit))
+    p = fresh(docs.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digit = F.regexp_like(f"{p}text", F.lit("[0-9]"))
+    some = docs.withColumn(f"{p}text", text)
+    # an inner explode would add a filter that holds the whole expression of the array, many times
+    seen = _found(some.select(f"{p}text"), "secret", EXTRA["secret"], digit, p).select(F.explode_outer(f"{p}secret").alias("c")).where("c is not null")
+    model = fit(staged(seen, "candidates"))
     for kind, pattern in (BASE | EXTRA).items():
-        some = _found(some, kind, pattern, {"email": F.contains("_text", F.lit("@")), "phone": F.contains("_text", F.lit("+"))}.get(kind, digit))
+        some = _found(some, kind, pattern, {"email": F.contains(f"{p}text", F.lit("@")), "phone": F.contains(f"{p}text", F.lit("+"))}.get(kind, digit), p)
     span = lambda k: lambda c: F.struct(F.lit(k).alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
     valid = lambda kind: lambda c: _valid(kind, c["v"])
-    parts = [F.transform(F.filter(f"_{kind}", valid(kind)), span(k)) for k, kind in enumerate(BASE)]
-    parts += [F.transform(F.filter(f"_{kind}", lambda c: _score(c, model) > 0), span(len(BASE))) for kind in EXTRA]
-    return some.withColumn("pii_spans", F.array_sort(F.concat(*parts))).drop("_text", *(f"_{k}" for k in KINDS))
+    parts = [F.transform(F.filter(f"{p}{kind}", valid(kind)), span(k)) for k, kind in enumerate(BASE)]
+    parts += [F.transform(F.filter(f"{p}{kind}", lambda c: _score(c, model) > 0), span(len(BASE))) for kind in EXTRA]
+    return some.withColumn("pii_spans", F.array_sort(F.concat(*parts))).drop(f"{p}text", *(f"{p}{k}" for k in KINDS))
 
 
 def span_text(spans: Column) -> Column:

@@ -36,6 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix of underscores that no column's name starts with, for helper columns."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -361,6 +361,12 @@ def test_credentials_are_learned(spark):
     rows = [(i, f'the words of it token = "{h(40)}" and on' if i % 3 == 0 else f"we had password={h(12)} for it" if i % 3 == 1 else f"in room a{i}00000000 and 20{i:02}1231 there") for i in range(90)]
     got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("pii_spans").alias("n")).collect()
     assert all((r.n > 0) == (r.doc_id % 3 < 2) for r in got)
+    # the first digit may come late, and helper columns don't meet the table's own
+    late = [(i, f'token = "{"abcdefghij" * 9}{h(8)}1" x', "a", [1]) for i in range(20)] + [(100 + i, "plain words only", "b", [2]) for i in range(5)]
+    found = pii.find_spans(spark.createDataFrame(late, "doc_id long, text string, _text string, __secret array<int>"))
+    assert found.columns == ["doc_id", "text", "_text", "__secret", "pii_spans"]
+    for r in found.collect():
+        assert [(s.kind, s.s, s.e) for s in r.pii_spans] == ([(4, 9, len(r.text) - 3)] if r.doc_id < 100 else []) and r["_text"] == ("a" if r.doc_id < 100 else "b")
 
 
 def test_quality(spark):
