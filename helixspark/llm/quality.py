@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,35 +16,51 @@ from pyspark.sql import functions as F
 from helixspark.llm import textkit
 from helixspark.llm.shared import likely, staged
 
-#: Grams are 64-bit integers of so many characters, BITS each; EDGE stands before a text's start. Code points under 4096
-#: stand for themselves; higher ones are folded onto the upper half.
-ORDER, BITS, EDGE = 5, 12, 0
-FOLD = 1 << (BITS - 1)
+#: Grams are 64-bit integers of so many symbols, BITS each: EDGE stands before a text's start, UNKNOWN for all characters
+#: that aren't among the KNOWN most frequent ones of trusted text, the others for one character each.
+ORDER, BITS, EDGE, UNKNOWN = 5, 12, 0, 1
+KNOWN = (1 << BITS) - 2
 #: Characters of a block, the unit in which texts meet their grams' probabilities; a longer text is a block of its own.
-BLOCK = 1 << 26
+BLOCK = 1 << 24
 #: Distinct grams that a worker counts before it hands them on.
 HELD = 1 << 22
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Symbols:
+    """The symbol of each code point, from the known code points in order of rank."""
+
+    def __init__(self, known: list[int]):
+        self.known = known
+
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        table = np.full(0x110000, UNKNOWN, np.int64)
+        table[self.known] = np.arange(len(self.known)) + UNKNOWN + 1
+        return table
+
+    def __getstate__(self) -> dict:
+        return {"known": self.known}
+
+
+def windows(texts: list[str], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
     """The gram that ends at each character, texts end to end, and the texts' offsets."""
     cp, offsets = textkit.code_points(texts)
-    symbols = np.where(cp < 2 * FOLD, cp, cp % FOLD + FOLD).astype(np.int64)
+    own = symbols.table[cp]
     at = np.arange(len(cp)) - np.repeat(offsets[:-1], np.diff(offsets))
-    grams = symbols.copy()
+    grams = own.copy()
     for back in range(1, ORDER):
-        grams[back:] |= np.where(at[back:] < back, EDGE, symbols[:-back]) << (BITS * back)
+        grams[back:] |= np.where(at[back:] < back, EDGE, own[:-back]) << (BITS * back)
     return grams, offsets
 
 
 class Grams:
     """Distinct grams of texts that are added in parts, in order, with their counts."""
 
-    def __init__(self) -> None:
-        self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, symbols: Symbols) -> None:
+        self.symbols, self.grams, self.n = symbols, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, texts: list[str]) -> None:
-        grams, n = np.unique(windows(texts)[0], return_counts=True)
+        grams, n = np.unique(windows(texts, self.symbols)[0], return_counts=True)
         every = np.concatenate((self.grams, grams))
         order = np.argsort(every, kind="stable")
         every, n = every[order], np.concatenate((self.n, n))[order]
@@ -84,13 +101,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         yield made()
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(symbols: Symbols):
     """Blocks and their distinct grams."""
-    for block, rows in _cut(batches):
-        seen = Grams()
-        for _, texts in _parts(rows["text"].combine_chunks()):
-            seen.add(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(seen.grams)], pa.int32()), pa.array(seen.grams))], ["block", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _cut(batches):
+            seen = Grams(symbols)
+            for _, texts in _parts(rows["text"].combine_chunks()):
+                seen.add(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(seen.grams)], pa.int32()), pa.array(seen.grams))], ["block", "grams"])
+
+    return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,38 +123,56 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of texts and their counts; a gram may come more than once."""
-    seen = Grams()
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Code points of texts and their counts."""
+    total = np.zeros(0x110000, np.int64)
     for b in batches:
         for _, texts in _parts(b["text"]):
-            seen.add(texts)
-            if len(seen.grams) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.grams), pa.array(seen.n)], ["gram", "n"])
-                seen = Grams()
-    yield pa.RecordBatch.from_arrays([pa.array(seen.grams), pa.array(seen.n)], ["gram", "n"])
+            total += np.bincount(textkit.code_points(texts)[0], minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["code", "n"])
+
+
+def _counted(symbols: Symbols):
+    """Grams of texts and their counts; a gram may come more than once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Grams(symbols)
+        for b in batches:
+            for _, texts in _parts(b["text"]):
+                seen.add(texts)
+                if len(seen.grams) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(seen.grams), pa.array(seen.n)], ["gram", "n"])
+                    seen = Grams(symbols)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.grams), pa.array(seen.n)], ["gram", "n"])
 
-def _score(block: pa.Table, known: pa.Table) -> pa.Table:
+    return run
+
+
+def _score(symbols: Symbols):
     """Rows of a block with the number of characters and the perplexity in place of the text."""
-    if not block.num_rows:
-        raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
-    rows = pa.ipc.open_stream(block["rows"][0].as_buffer()).read_all().combine_chunks()
-    order = np.argsort(known["gram"].to_numpy(), kind="stable")
-    grams, log_p = known["gram"].to_numpy()[order], known["log_p"].to_numpy()[order].astype(np.float64)
-    n, mean = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
-    for a, texts in _parts(rows["text"].combine_chunks()):
-        ends, offsets = windows(texts)
-        part = slice(a, a + len(texts))
-        n[part] = np.diff(offsets)
-        if len(ends):
-            at = np.minimum(np.searchsorted(grams, ends), len(grams) - 1)
-            if not len(grams) or (grams[at] != ends).any():
-                raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
-            sums = np.concatenate(([0.0], np.cumsum(log_p[at])))
-            mean[part] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n[part], 1)
-    out = {"doc_id": rows["doc_id"], "n_chars": pa.array(n), "perplexity": pa.array(np.exp(-mean), mask=n == 0)}
-    return pa.table(out | {name: rows[name] for name in rows.column_names[2:]})
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
+        rows = pa.ipc.open_stream(block["rows"][0].as_buffer()).read_all().combine_chunks()
+        order = np.argsort(known["gram"].to_numpy(), kind="stable")
+        grams, log_p = known["gram"].to_numpy()[order], known["log_p"].to_numpy()[order].astype(np.float64)
+        n, mean = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
+        for a, texts in _parts(rows["text"].combine_chunks()):
+            ends, offsets = windows(texts, symbols)
+            part = slice(a, a + len(texts))
+            n[part] = np.diff(offsets)
+            if len(ends):
+                at = np.minimum(np.searchsorted(grams, ends), len(grams) - 1)
+                if not len(grams) or (grams[at] != ends).any():
+                    raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
+                sums = np.concatenate(([0.0], np.cumsum(log_p[at])))
+                mean[part] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n[part], 1)
+        out = {"doc_id": rows["doc_id"], "n_chars": pa.array(n), "perplexity": pa.array(np.exp(-mean), mask=n == 0)}
+        return pa.table(out | {name: rows[name] for name in rows.column_names[2:]})
+
+    return run
 
 
 def _prefix() -> Column:
@@ -198,7 +237,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """(doc_id, n_chars, perplexity) and the columns of ``keep`` of every document under the model of trusted documents.
 
-    Trusted texts alone are joined with the ids and counted. Documents are cut into blocks of 64 million characters;
+    Trusted texts alone are joined with the ids and staged; their KNOWN most frequent characters have symbols of their own.
+    Documents are cut into blocks of 16 million characters;
     every distinct gram of the corpus gets its probability by joins on grams, and a block asks for each of its own once.
     Then documents are read again, their blocks shuffled, compressed, to the answers and summed there, so that texts are on
     disk once. Counts, model and answers are sharded by gram and grow with the corpus; only a filter of fixed size is
@@ -208,31 +248,41 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
     kept = [docs[c].alias(c) for c in keep]
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *kept)
     good = likely(slim.select("doc_id", "text"), trusted, "doc_id").join(trusted.hint("merge"), "doc_id")
-    counts = good.select("text").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    asked = staged(slim.mapInArrow(_asked, "block long, grams array<long>"), "asked").select("block", F.explode("grams").alias("gram"))
+    good = staged(good.select("text"), "trusted")
+    known = good.mapInArrow(_characters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "code").limit(KNOWN).collect()
+    symbols = Symbols([r["code"] for r in known])
+    counts = good.mapInArrow(_counted(symbols), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    asked = staged(slim.mapInArrow(_asked(symbols), "block long, grams array<long>"), "asked").select("block", F.explode("grams").alias("gram"))
     grams = staged(asked.select("gram").distinct(), "grams")
     p = staged(probabilities(estimate(counts), grams), "probabilities")
     answers = asked.join(p.hint("merge"), "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
     rows = slim.mapInArrow(_packed, "block long, rows binary")
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, f"doc_id long, n_chars long, perplexity double{extra}")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(symbols), f"doc_id long, n_chars long, perplexity double{extra}")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1, folds: int = 5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1, folds: int = 5, pull: float = 200.0) -> DataFrame:
     """Keep documents whose perplexity is at most their language's threshold; (doc_id, lang, n_chars, perplexity, threshold, kept).
 
     One of ``folds`` trusted ids, by hash, is held out and the model is trained on the others. A language's threshold is
-    ``margin`` times the ``quantile`` of its held-out documents' perplexities; a language without any (null is a
-    language) takes the threshold over all of them; where none is held out at all, every document is kept. Null and empty texts have no perplexity and are kept. One row for each input row, repeated ones too; an
-    empty table gives an empty one; columns but doc_id, text, lang are not read; label rows count by doc_id.
+    ``margin`` times the ``quantile`` of its held-out documents' perplexities. With few of them that quantile is nearly
+    their maximum; so it is taken over logarithms from the language's median, and drawn to the quantile that all
+    languages have from their medians, as much as ``pull`` documents weigh. A language without any (null is a language)
+    takes the quantile over all of them; where none is held out at all, every document is kept. Null and empty texts have
+    no perplexity and are kept. One row for each input row, repeated ones too; an empty table gives an empty one;
+    columns but doc_id, text, lang are not read; label rows count by doc_id.
     """
     trusted = trusted_ids(labels)
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
     scores = staged(perplexities(docs, trusted.where(~held_out)), "scores")
-    good = scores.join(trusted.where(held_out).hint("merge"), "doc_id", "left_semi").where("perplexity is not null")
-    limit = lambda: (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
-    by_lang = good.groupBy(F.col("lang").alias("_lang")).agg(limit())
-    every = good.agg(limit()).first()[0]
+    good = scores.join(trusted.where(held_out).hint("merge"), "doc_id").where("perplexity is not null").select(F.col("lang").alias("_lang"), F.log("perplexity").alias("x"))
+    good = staged(good, "held-out")
+    at = lambda x, q: F.percentile_approx(x, q, 10_000)
+    middles = good.groupBy("_lang").agg(at("x", 0.5).alias("middle"), F.count("*").alias("n"))
+    away = good.join(middles.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l"))).withColumn("d", F.col("x") - F.col("middle"))
+    every, spread = good.agg(at("x", quantile)).first()[0], away.agg(at("d", quantile)).first()[0]
+    drawn = (F.col("n") * F.col("q") + pull * F.lit(spread).cast("double")) / (F.col("n") + pull)
+    by_lang = away.groupBy("_lang", "middle", "n").agg(at("d", quantile).alias("q")).select("_lang", F.exp(F.col("middle") + drawn).alias("threshold"))
     out = scores.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
+    out = out.withColumn("threshold", margin * F.coalesce("threshold", F.exp(F.lit(every).cast("double"))))
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).select("doc_id", "lang", "n_chars", "perplexity", "threshold", "kept")

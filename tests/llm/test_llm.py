@@ -384,7 +384,8 @@ def test_quality(spark):
 
 
 def test_model_sums_to_one(spark):
-    key = lambda s: int(quality.windows([s])[0][-1])
+    letters = quality.Symbols([ord(c) for c in "abcx"])
+    key = lambda s: int(quality.windows([s], letters)[0][-1])
     counts = spark.createDataFrame([(key(s), n) for s, n in [("abcab", 3), ("bcabc", 1), ("abcac", 2), ("xxxab", 4), ("cabca", 1)]], "gram long, n long")
     contexts = ["abca", "bcab", "zzca", "zzzz"]
     grams = spark.createDataFrame([(key(c + x),) for c in contexts for x in "abc?"], "gram long")
@@ -395,15 +396,54 @@ def test_model_sums_to_one(spark):
 
 def test_grams_of_parts_add_up():
     texts = ["", "abcabc", "é\U0001f600a", "abcabcabc"]
-    seen = quality.Grams()
+    symbols = quality.Symbols([ord("b"), 0x1F600, ord("a")])
+    seen = quality.Grams(symbols)
     for t in texts:
         seen.add([t])
-    fold = lambda c: ord(c) if ord(c) < 4096 else ord(c) % 2048 + 2048
+    code = lambda c: {"b": 2, "\U0001f600": 3, "a": 4}.get(c, 1)
     number = lambda g: sum(x << (12 * (4 - i)) for i, x in enumerate(g))
-    want = Counter(number(([0] * 4 + list(map(fold, t)))[i : i + 5]) for t in texts for i in range(len(t)))
+    want = Counter(number(([0] * 4 + list(map(code, t)))[i : i + 5]) for t in texts for i in range(len(t)))
     assert dict(zip(seen.grams.tolist(), seen.n.tolist(), strict=True)) == want
 
 
+def kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over characters by hand: the probability of the last of five."""
+    pad = lambda t: [None] * 4 + list(t)
+    level = Counter(tuple(pad(t)[i : i + 5]) for t in texts for i in range(len(t)))
+    levels = {}
+    for order in range(5, 0, -1):
+        cc = Counter(level.values())
+        n1, n2, n3, n4 = (cc[i] or 1 for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [min(max(x, 0.05), i * 0.95) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        total, free = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            free[g[:-1]] += d[min(n, 3) - 1]
+        levels[order] = (level, d, total, free)
+        level = Counter(g[1:] for g in level)
+
+    def p(g):
+        level, d, total, free = levels[len(g)]
+        n, t = level[g], total[g[:-1]]
+        own = (n - d[min(n, 3) - 1]) / t if n else 0.0
+        if len(g) == 1:
+            return own + free[()] / t / (len(level) + 1)
+        return own + (free[g[:-1]] / t if t else 1.0) * p(g[1:])
+
+    return lambda t: np.exp(-np.mean([np.log(p(tuple(pad(t)[i : i + 5]))) for i in range(len(t))]))
+
+
+def test_perplexities_are_those_of_the_model(spark):
+    rnd = random.Random(16)
+    letters = "abcde 漢字仮名交\U0001f600é"
+    texts = ["".join(rnd.choices(letters, range(len(letters), 0, -1), k=rnd.randint(1, 80))) for _ in range(40)] + ["語界语", "\U0001f601\U0001f602", "漢界", "zzzz"]
+    docs = spark.createDataFrame([document(i, t) for i, t in enumerate(texts)], DOCS)
+    want = kneser_ney(texts[:25])
+    got = quality.perplexities(docs, spark.range(25).select(F.col("id").alias("doc_id"))).collect()
+    assert len(got) == len(texts) and all(r.perplexity == pytest.approx(want(texts[r.doc_id]), rel=1e-4) for r in got)
+
+
 def test_filter_keeps_every_id(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
     got = {r.doc_id for r in shared.likely(rows, rows.where("doc_id % 7 = 0").select("doc_id"), "doc_id").collect()}
