@@ -37,8 +37,8 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixspark.llm.shared import staged
 
     docs = _table(spark, sf_dir, "documents")
-    slim = staged(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
-    return mixing.mix_sources(slim, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    slim = staged(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie")), "sizes")
+    return mixing.mix_sources(slim, size=F.col("size"), tie=F.col("tie")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {}
+#: op1 is approximate; op3, op6, op9 need a tokenizer or a trained model, op5 and op10 hashes or checks that SQL engines don't share.
+SQL: dict[str, str] = {
+    "op2_near_duplicates": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+classes AS (SELECT min(doc_id) AS c, s FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT c, len(s) AS n, unnest(s) AS x FROM classes),
+near AS (
+  SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.x = b.x AND a.c < b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.component, s.doc_id) AS component_id, coalesce(l.component, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN classes c ON c.s = s.s LEFT JOIN least l ON l.a = c.c""",
+    "op4_mix": """
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+    ('0x' || substr(md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15))::BIGINT AS key FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS n FROM docs GROUP BY source),
+caps AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(n - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM sizes),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+best AS (SELECT max(level) AS level FROM levels WHERE level * weight <= cap),
+goals AS (SELECT l.source, l.source_size, CASE WHEN b.level IS NULL THEN l.cap ELSE least(l.cap, b.level * l.weight) END AS target FROM levels l, best b),
+cut AS (
+  SELECT *, round(target)::BIGINT AS t, CASE WHEN source_size > 0 THEN floor(round(target) / source_size)::BIGINT ELSE 0 END AS whole FROM goals),
+placed AS (
+  SELECT d.*, c.source_size, c.target, c.t, c.whole,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + least(greatest(t - whole * source_size - before, 0), size))::BIGINT AS taken FROM placed""",
+    "op7_top_products": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+parts AS (SELECT vec_id, len(v) AS dim, unnest(v) AS x, unnest(range(len(v))) AS at FROM vectors),
+products AS (
+  SELECT q.vec_id AS query_id, d.vec_id, sum(q.x * d.x)::BIGINT AS score FROM parts q JOIN parts d ON q.at = d.at AND q.dim = d.dim AND q.vec_id <> d.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, d.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM products)
+SELECT * FROM ranked WHERE rank <= 5""",
+    "op8_warc": """
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts""",
+}
