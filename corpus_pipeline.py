@@ -17,9 +17,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group (five words, similarity of 0.8); those without a doc_id stay, and rows that share one share its fate."""
-    gone = dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest doc_id of each group (five words, similarity of 0.8).
+
+    Rows are told apart by doc_id and a hash of the text, so those that repeat both share one fate; rows without a doc_id go
+    if their group has one, and stay otherwise.
+    """
+    gone = dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_key").distinct()
+    key = F.xxhash64(docs["text"].cast("string"))
+    return docs.join(gone.hint("merge"), (key == gone["text_key"]) & docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
