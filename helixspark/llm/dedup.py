@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import textkit
 from helixspark.llm.components import components
-from helixspark.llm.shared import Stage, likely, staged
+from helixspark.llm.shared import Stage, likely, release, staged
 from helixspark.llm.textkit import mix64, shingle_hashes
 
 #: Registers of 16 bits: six of the count of leading zeros, ten of the mantissa after the leading one. The highest value marks an empty one.
@@ -309,6 +309,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     number = F.col("key").bitwiseAND(F.lit(BAND_MASK).cast("long"))
     alone = alike.groupBy("size", "head", "x0", "x1").agg(F.min(F.struct(number.alias("band"), "key")).alias("first"), F.count("*").alias("bands"))
     members = staged(every.join(alone.select("first.key", "bands"), "key"), "members")
+    release(docs.sparkSession)
 
     named = members.select("node").distinct().join(nodes.select("node", "text_key", "n", "p1", "p2"), "node")
     named = staged(named, "named")

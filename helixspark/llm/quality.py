@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textkit
-from helixspark.llm.shared import likely, staged
+from helixspark.llm.shared import Stage, likely, release, staged
 
 #: Grams are 64-bit integers of so many symbols, BITS each: EDGE stands before a text's start, UNKNOWN for all characters
 #: that aren't among the KNOWN most frequent ones of trusted text, the others for one character each.
 ORDER, BITS, EDGE, UNKNOWN = 5, 12, 0, 1
 KNOWN = (1 << BITS) - 2
 #: Characters of a block, the unit in which texts meet their grams' probabilities; a longer text is a block of its own.
-BLOCK = 1 << 24
+BLOCK = 1 << 25
 #: Distinct grams that a worker counts before it hands them on.
 HELD = 1 << 22
 
@@ -183,17 +183,18 @@ def _suffix(order: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1).cast("long"))
 
 
-def estimate(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def estimate(counts: DataFrame, made: list[Stage]) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (gram, w) and (context, b), weights and back-offs, from (gram, n) of the highest order.
 
     The highest order uses counts, lower ones continuation counts (in how many ways a gram is extended to the left).
     Three discounts an order come from its counts of counts, which are all that reaches the driver. Counts are joined
-    with their contexts' totals by key, in shards.
+    with their contexts' totals by key, in shards. Tables that are written are added to ``made``.
     """
     out = []
     level = counts
     for order in range(ORDER, 0, -1):
-        level = staged(level, f"order{order}")
+        made.append(Stage(level, f"order{order}"))
+        level = made[-1].df
         cc = {r["n"]: r["c"] for r in level.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
         n1, n2, n3, n4 = (cc.get(i, 0) or 1 for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
@@ -207,7 +208,7 @@ def estimate(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
-def probabilities(model: list[tuple[DataFrame, DataFrame]], grams: DataFrame) -> DataFrame:
+def probabilities(model: list[tuple[DataFrame, DataFrame]], grams: DataFrame, made: list[Stage]) -> DataFrame:
     """(gram, p) of distinct grams: the last character's probability after the others, interpolated from the lowest order up.
 
     Each order's weights, back-offs and lower probabilities meet its distinct grams in joins by key. A character that
@@ -222,7 +223,8 @@ def probabilities(model: list[tuple[DataFrame, DataFrame]], grams: DataFrame) ->
     p = asked[0].join(characters.hint("merge"), "gram", "left").select("gram", (F.coalesce("w", F.lit(0.0)) + base).alias("p"))
     for order in range(2, ORDER + 1):
         weights, backs = model[order - 1]
-        lower = staged(p, f"lower{order}").select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        made.append(Stage(p, f"lower{order}"))
+        lower = made[-1].df.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
         found = asked[order - 1].join(weights.hint("merge"), "gram", "left").withColumn("context", _prefix()).withColumn("suffix", _suffix(order))
         found = found.join(backs.hint("merge"), "context", "left").join(lower.hint("merge"), "suffix")
         p = found.select("gram", (F.coalesce("w", F.lit(0.0)) + F.coalesce("b", F.lit(1.0)) * F.col("lower")).alias("p"))
@@ -238,7 +240,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
     """(doc_id, n_chars, perplexity) and the columns of ``keep`` of every document under the model of trusted documents.
 
     Trusted texts alone are joined with the ids and staged; their KNOWN most frequent characters have symbols of their own.
-    Documents are cut into blocks of 16 million characters;
+    Documents are cut into blocks of 32 million characters;
     every distinct gram of the corpus gets its probability by joins on grams, and a block asks for each of its own once.
     Then documents are read again, their blocks shuffled, compressed, to the answers and summed there, so that texts are on
     disk once. Counts, model and answers are sharded by gram and grow with the corpus; only a filter of fixed size is
@@ -248,13 +250,18 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
     kept = [docs[c].alias(c) for c in keep]
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *kept)
     good = likely(slim.select("doc_id", "text"), trusted, "doc_id").join(trusted.hint("merge"), "doc_id")
-    good = staged(good.select("text"), "trusted")
+    made = [Stage(good.select("text"), "trusted")]
+    good = made[0].df
     known = good.mapInArrow(_characters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "code").limit(KNOWN).collect()
     symbols = Symbols([r["code"] for r in known])
     counts = good.mapInArrow(_counted(symbols), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     asked = staged(slim.mapInArrow(_asked(symbols), "block long, grams array<long>"), "asked").select("block", F.explode("grams").alias("gram"))
-    grams = staged(asked.select("gram").distinct(), "grams")
-    p = staged(probabilities(estimate(counts), grams), "probabilities")
+    grams = Stage(asked.select("gram").distinct(), "grams")
+    made.append(grams)
+    p = staged(probabilities(estimate(counts, made), grams.df, made), "probabilities")
+    for table in made:
+        table.drop()
+    release(docs.sparkSession)
     answers = asked.join(p.hint("merge"), "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
     rows = slim.mapInArrow(_packed, "block long, rows binary")
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

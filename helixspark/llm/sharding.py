@@ -90,49 +90,48 @@ def _cuts(a: int, b: int, n: int) -> list[int]:
     return sorted({k for j in range(1, n + 1) if a < (k := a + (b - a) * j // (n + 1)) < b})
 
 
-def splitters(keys: DataFrame, total: int, rows: int, shards: int, tolerance: float, group: float, fan: int, cell_bytes: int) -> tuple[Histogram, list[int]]:
-    """Refine probes until each shard boundary is within tolerance of its goal and no cell holds much more than cell_bytes.
+def splitters(keys: DataFrame, total: int, rows: int, shards: int, tolerance: float, group: float, fan: int) -> list[int]:
+    """Keys at which shards 1, 2, ... begin: probes are refined until each is within tolerance of its goal.
 
-    Each round counts exact bytes below all probes; then every interval that holds an unmet goal, or too much, gets
-    ``fan`` more probes. A goal is also met where its interval holds one row, one key, or equal texts of at most ``group``
-    of a shard.
+    Each round counts exact bytes below all probes; then every interval that holds an unmet goal gets ``fan`` more probes,
+    and all others lose theirs, so that there are as many as shards and ``fan`` allow, whatever the size of the table. A
+    goal is also met where its interval holds one row, one key, or equal texts of at most ``group`` of a shard.
     """
     h = Histogram(total, rows)
     goals = [total * k // shards for k in range(1, shards)]
     slack = max(1, int(tolerance * total / shards))
-    first = max(shards * fan, min(1 << 20, -(-total // cell_bytes)))
-    probes = [((1 << 64) * i // first) << 64 for i in range(1, first)]
+    probes = [((1 << 64) * i // (shards * fan)) << 64 for i in range(1, shards * fan)]
     while probes:
         h.add(keys, probes)
-        todo: dict[int, int] = {}
+        todo = set()
         for g in goals:
             i = bisect.bisect_left(h.size, g)
-            if i and min(h.size[i] - g, g - h.size[i - 1]) > slack:
+            if i and min(h.size[i] - g, g - h.size[i - 1]) > slack and h.rows[i] - h.rows[i - 1] > 1:
                 a, b = h.keys[i - 1], h.keys[i]
-                whole = a & (_TOP - 1) == 0 and (b - 1 >> 64) == (a >> 64)
-                if not (whole and h.size[i] - h.size[i - 1] <= group * total / shards):
-                    todo[i - 1] = fan
-        for i in range(len(h.keys) - 1):
-            inside = h.size[i + 1] - h.size[i]
-            if inside > 2 * cell_bytes:
-                todo[i] = max(todo.get(i, 0), min(4096, -(-inside // cell_bytes)), 2)
-        probes = [p for i, n in todo.items() if h.rows[i + 1] - h.rows[i] > 1 for p in _cuts(h.keys[i], h.keys[i + 1], n)]
+                if not (a & (_TOP - 1) == 0 and (b - 1 >> 64) == (a >> 64) and h.size[i] - h.size[i - 1] <= group * total / shards):
+                    todo.add(i - 1)
+        probes = [p for i in sorted(todo) for p in _cuts(h.keys[i], h.keys[i + 1], fan)]
+        if probes:
+            ends = {0, len(h.keys) - 1, *(j for g in goals if (i := bisect.bisect_left(h.size, g)) for j in (i - 1, i))}
+            h.keys, h.size, h.rows = ([x[j] for j in sorted(ends)] for x in (h.keys, h.size, h.rows))
     chosen = [0]
     for g in goals:
         i = bisect.bisect_left(h.size, g)
         i = i if i == 0 or h.size[i] - g <= g - h.size[i - 1] else i - 1
         chosen.append(max(chosen[-1], i))
-    return h, [*chosen, len(h.keys) - 1]
+    return [h.keys[i] for i in chosen[1:]]
 
 
-def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, group: float = 0.1, fan: int = 16, cell_bytes: int = 32 << 20, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, group: float = 0.1, fan: int = 16, cell_rows: int = 50_000, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Put every row in one of ``shards`` shards of nearly equal bytes; equal texts stay together where they are at most ``group`` of a shard.
 
     A row weighs the UTF-8 bytes of its text and 16 more. The sort key is a hash of the text and then one of doc_id, so
-    any number of equal texts can still be cut. Keys and sizes are written once; histogram rounds read only them, and send
-    one row for each task and cell. The probes' exact counts give each cell's first slot, and one exchange by cell places
-    all rows. Shard edges are within ``tolerance`` of a shard's bytes from their goals, or half of such a group, or one row where rows are
-    larger; larger groups of equal texts are neighbours and are cut where they must.
+    any number of equal texts can still be cut: copies that hold a third of all bytes can't stay in one of 40 shards of
+    near equal sizes, so beyond ``group`` of a shard it is sizes that hold. Keys and sizes are written once; histogram
+    rounds read only them, and send one row for each task and cell between probes. A shard's rows are dealt to cells of
+    about ``cell_rows`` by hash; counts of cells, summed up in Spark, give each cell's first slot, and one exchange by cell
+    places all rows. Shard edges are within ``tolerance`` of a shard's bytes from their goals, or half of such a group, or
+    one row where rows are larger.
 
     Returns doc_id, size, text_crc32 (null for a null text), law ("bytes"), shard, slot (from 0 in each shard, without
     gaps), grown_shard (null), and the columns of ``keep``. Null texts weigh 16 and are one group; null ids are allowed;
@@ -147,26 +146,22 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, group: fl
     # signed words in the order of unsigned ones aren't needed: any fixed order will do, and numpy reads them unsigned
     keys = slim.select("hi", "lo", "size")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("size")).first()
-    if rows:
-        h, edges = splitters(keys, total, rows, shards, tolerance, group, fan, cell_bytes)
-    else:
-        h, edges = Histogram(0, 0), [0] * shards + [1]
-    of_cell, first, k = [], [], 0
-    for i in range(len(h.keys) - 1):
-        while k + 1 < shards and i >= edges[k + 1]:
-            k += 1
-        of_cell.append(k)
-        first.append(h.rows[i] - h.rows[edges[k]])
-    assign = _assign(h.keys[1:-1])
-    shard_of, first_of = np.array(of_cell, np.int32), np.array(first, np.int64)
+    edges = splitters(keys, total, rows, shards, tolerance, group, fan) if rows else []
+    unique = sorted(set(edges))
+    assign = _assign(unique)
+    # equal edges leave the shards between them empty
+    shard_of = np.array([0, *(bisect.bisect_right(edges, e) for e in unique)], np.int32)
+    cells = max(1, -(-rows // (shards * cell_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in assign(batches):
-            cell = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard_of[cell]), pa.array(first_of[cell])], [*b.schema.names, "shard", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of[b.column(0).to_numpy()]), *b.columns[1:]], ["shard", *b.schema.names[1:]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    placed = slim.mapInArrow(run, f"cell long, {fields}, shard int, first long")
-    order = W.partitionBy("cell").orderBy("hi", "lo", "doc_id", "text_crc32", "size")
+    placed = slim.mapInArrow(run, f"shard int, {fields}").withColumn("cell", F.pmod(F.xxhash64("hi", "lo"), F.lit(cells)))
+    placed = staged(placed, "placed")
+    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    first = counts.select("shard", "cell", (F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("first"))
+    order = W.partitionBy("shard", "cell").orderBy("hi", "lo", "doc_id", "text_crc32", "size")
     slot = F.col("first") + F.row_number().over(order) - 1
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(c for c in keep if c not in ("doc_id", "size", "text_crc32")))
+    return placed.join(first, ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(c for c in keep if c not in ("doc_id", "size", "text_crc32")))

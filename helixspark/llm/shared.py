@@ -83,3 +83,8 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     known = rows.where(F.col(key).isNotNull()).join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
     return known.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_bucket", "_bits")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage: Spark removes shuffle files once nothing refers to them, and else they stay until it happens to."""
+    spark.sparkContext._jvm.System.gc()

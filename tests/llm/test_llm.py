@@ -109,13 +109,17 @@ def test_mixing(docs):
 
 
 def test_sharding(spark, docs):
-    rows = sharding.shard(docs, shards=5, cell_bytes=2000, keep=("kept",)).collect()
+    rows = sharding.shard(docs, shards=5, cell_rows=7, keep=("kept",)).collect()
     want = sorted((i or -1, len(x.encode()) + 16) for i, x in texts_of(docs))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.size) for r in rows) == sorted((i if i is not None else -1, len(x.encode()) + 16) for i, x in texts_of(docs)) and len(want) == len(rows)
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     same = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("text"))
-    sizes = [r[1] for r in sharding.shard(same, shards=8, cell_bytes=4000).groupBy("shard").agg(F.sum("size")).collect()]
+    sizes = [r[1] for r in sharding.shard(same, shards=8, cell_rows=50).groupBy("shard").agg(F.sum("size")).collect()]
+    crc = {(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in rows}
+    assert crc == {(r.doc_id, len((r.text or "").encode()) + 16, None if r.text is None else zlib.crc32(r.text.encode()), "bytes", None) for r in docs.collect()}
+    few = sharding.shard(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), shards=8).collect()
+    assert sorted(r.doc_id for r in few) == [0, 1, 2] and len({(r.shard, r.slot) for r in few}) == 3
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8 + 40
     assert sharding.shard(docs.limit(0)).count() == 0
 
@@ -389,7 +393,7 @@ def test_model_sums_to_one(spark):
     counts = spark.createDataFrame([(key(s), n) for s, n in [("abcab", 3), ("bcabc", 1), ("abcac", 2), ("xxxab", 4), ("cabca", 1)]], "gram long, n long")
     contexts = ["abca", "bcab", "zzca", "zzzz"]
     grams = spark.createDataFrame([(key(c + x),) for c in contexts for x in "abc?"], "gram long")
-    p = {r.gram: r.p for r in quality.probabilities(quality.estimate(counts), grams).collect()}
+    p = {r.gram: r.p for r in quality.probabilities(quality.estimate(counts, []), grams, []).collect()}
     assert all(abs(sum(p[key(c + x)] for x in "abc?") - 1) < 1e-9 for c in contexts)
     assert p[key("abcab")] > p[key("abcaa")] > 0 and p[key("zzzz?")] > 0
 
