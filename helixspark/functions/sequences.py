@@ -32,10 +32,15 @@ def attention_mask(tokens: Column, pad: int = 0, low: float = -10000.0) -> Colum
     return F.transform(tokens, lambda x: F.when(x == pad, F.lit(low)).otherwise(F.lit(0.0)))
 
 
-def pool(vectors: Column, how: str = "mean") -> Column:
-    """One vector for an array of token vectors: the first ("cls") or the mean."""
+def pool(vectors: Column, how: str = "mean", scores: Column | None = None) -> Column:
+    """One vector for an array of token vectors: the first ("cls"), the mean, or by "attention" the mean weighted by the softmax of the tokens' scores."""
     if how == "cls":
         return F.get(vectors, F.lit(0))
+    if how == "attention":
+        raised = F.transform(scores, lambda s: F.exp(s.cast("double") - F.array_max(scores)))
+        total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+        weighted = F.zip_with(vectors, raised, lambda v, w: F.transform(v, lambda x: x.cast("double") * w / total))
+        return F.aggregate(weighted, F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double") * 0), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     n = F.size(vectors)
     zero = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double") * 0)
     total = F.aggregate(vectors, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))

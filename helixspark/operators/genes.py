@@ -21,14 +21,10 @@ def aliases(hgnc: DataFrame, position: str, by_row: bool = False) -> DataFrame:
     base = hgnc.select(F.col(position).alias("_row"), after_colon(F.col("hgnc_id")).alias("hgnc_num"), "symbol", "alias_symbol", "prev_symbol").where("hgnc_num <> ''")
     listed = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), r"\|")
     stages = [F.array("symbol"), listed("alias_symbol"), listed("prev_symbol")]
-    parts = []
-    for i, names in enumerate(stages):
-        named = base.select("_row", "hgnc_num", F.posexplode(names).alias("_pos", "name")).withColumn("name", present(F.trim("name"))).where("name is not null")
-        for upper in (0, 1):
-            parts.append(named.select(F.upper("name").alias("name") if upper else F.col("name"), "hgnc_num", F.lit(i).alias("_stage"), "_row", "_pos", F.lit(upper).alias("_upper")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    placed = lambda i: lambda x, p: F.struct(F.lit(i).alias("_stage"), p.alias("_pos"), present(F.trim(x)).alias("name"))
+    named = F.concat(*(F.transform(names, placed(i)) for i, names in enumerate(stages)))
+    every = base.select("_row", "hgnc_num", F.explode(named).alias("x")).where("x.name is not null")
+    every = every.select("_row", "hgnc_num", "x._stage", "x._pos", F.posexplode(F.array("x.name", F.upper("x.name"))).alias("_upper", "name"))
     order = F.struct("_row", "_stage", "_pos", "_upper") if by_row else F.struct("_stage", "_row", "_pos", "_upper")
     return every.groupBy("name").agg(F.max_by("hgnc_num", order).alias("hgnc_num"))
 

@@ -94,8 +94,9 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
     Every hop joins the frontier with the edges. Of the new nodes, each type gets a quota: what its cap leaves, spread
     over the hops left. The best of each type with room come first, rarer types and higher bonuses before others; then
     all others by score; both until the budget of nodes is used up. Edges to known nodes are recorded, and edges to
-    nodes that this hop selects. Neighbours are met in the order of the frontier, then of dst and type. Plans are cut by
-    persisting each hop's small tables; a lost one is computed again from its inputs.
+    nodes that this hop selects. Neighbours are met in the order of the frontier, then of dst and type. The edge table is
+    only joined with the frontier; repeated edges are merged after that. Each hop's nodes and edges so far, which the
+    budget bounds, are persisted and those of the hop before released; a lost one is computed again from its inputs.
     """
     limits = dict(caps if caps is not None else type_caps(max_nodes))
     default_cap = limits.get("*", max_nodes)
@@ -104,14 +105,19 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
     def described(df: DataFrame, id_: str) -> DataFrame:
         return df.join(about, F.col(id_) == F.col("_id"), "left").withColumns({"name": F.coalesce("name", id_), "node_type": F.coalesce("_type", F.lit("Unknown")), "desc": F.coalesce("desc", F.lit(""))}).drop("_id", "_type")
 
-    known = described(seeds.select("seed", "id").distinct(), "id").select("seed", "id", "name", F.col("node_type").alias("type"), "desc", F.lit(0).alias("hop"), F.row_number().over(W.partitionBy("seed").orderBy("id")).alias("ord"))
+    def keep(df: DataFrame) -> DataFrame:
+        """Persisted and computed, so that what it was made of can be released."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df.count()
+        return df
+
+    known = keep(described(seeds.select("seed", "id").distinct(), "id").select("seed", "id", "name", F.col("node_type").alias("type"), "desc", F.lit(0).alias("hop"), F.row_number().over(W.partitionBy("seed").orderBy("id")).alias("ord")))
     recorded = None
     for hop in range(1, max_hops + 1):
-        known = known.persist(StorageLevel.MEMORY_AND_DISK)
         frontier = known.where(F.col("hop") == hop - 1).select("seed", F.col("id").alias("src"), F.col("ord").alias("f"))
         totals = known.groupBy("seed").agg(F.count("*").alias("n_nodes"))
         counts = known.groupBy("seed", F.col("type").alias("node_type")).agg(F.count("*").alias("n_type"))
-        met = frontier.join(edges.select("src", "dst", F.col("type").alias("edge_type")).distinct(), "src").join(totals.where(F.col("n_nodes") < max_nodes), "seed")
+        met = edges.select("src", "dst", F.col("type").alias("edge_type")).join(frontier, "src").distinct().join(totals.where(F.col("n_nodes") < max_nodes), "seed")
         here = known.select("seed", F.col("id").alias("dst"), F.lit(1).alias("_here"))
         met = met.join(here, ["seed", "dst"], "left").persist(StorageLevel.MEMORY_AND_DISK)
         old = met.where("_here = 1").select("seed", "src", "dst", F.col("edge_type").alias("type"), F.lit(hop).alias("hop"), F.lit(0).alias("group"), F.lit(0).alias("s"), "f")
@@ -128,8 +134,12 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
         picked = ranked.withColumn("s", F.row_number().over(W.partitionBy("seed").orderBy(*key))).where(F.col("s") <= F.lit(max_nodes) - F.col("n_nodes"))
         picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
         fresh = met.where("_here is null").join(picked.select("seed", F.col("id").alias("dst"), "s"), ["seed", "dst"]).select("seed", "src", "dst", F.col("edge_type").alias("type"), F.lit(hop).alias("hop"), F.lit(1).alias("group"), "s", "f")
-        recorded = old.unionByName(fresh) if recorded is None else recorded.unionByName(old).unionByName(fresh)
-        known = known.unionByName(picked.select("seed", "id", "name", F.col("node_type").alias("type"), "desc", F.lit(hop).alias("hop"), F.col("s").alias("ord")))
+        parts = old.unionByName(fresh)
+        parts = keep(parts if recorded is None else recorded.unionByName(parts))
+        more = keep(known.unionByName(picked.select("seed", "id", "name", F.col("node_type").alias("type"), "desc", F.lit(hop).alias("hop"), F.col("s").alias("ord"))))
+        for done in (met, picked, known, *([] if recorded is None else [recorded])):
+            done.unpersist()
+        known, recorded = more, parts
     order = W.partitionBy("seed").orderBy("hop", "group", "s", "f", "dst", "src", "type")
     once = recorded.withColumn("_n", F.row_number().over(W.partitionBy("seed", "src", "dst", "type").orderBy("hop", "group", "s", "f"))).where("_n = 1")
     out_edges = once.withColumn("ord", F.row_number().over(order)).select("seed", "src", "dst", "type", "hop", "ord")
@@ -155,5 +165,11 @@ def attach_embeddings(nodes: DataFrame, embeddings: DataFrame) -> tuple[DataFram
     return joined, joined.groupBy("seed").agg(F.count("vec").alias("found"), F.count_if(F.col("vec").isNull()).alias("missing"))
 
 
+def counts(edges: DataFrame) -> DataFrame:
+    """Edges and distinct nodes of each edge type."""
+    ends = edges.select("type", F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("type").agg(F.count("*").alias("n_nodes"))
+    return edges.groupBy("type").agg(F.count("*").alias("n_edges")).join(ends, "type")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "type"))).alias("neighbours"), F.count("*").alias("degree"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,20 +61,31 @@ def precision_at_k(df: DataFrame, k: int, n: int = 100) -> DataFrame:
     return hits.agg(F.avg("neg").alias("precision_neg"), F.avg("pos").alias("precision_pos"))
 
 
-def mmd(df: DataFrame, gamma: float = 1.0) -> DataFrame:
+def mmd(df: DataFrame, gamma: float = 1.0, block: int = 4096) -> DataFrame:
     """Mean over genes of the squared maximum mean discrepancy with a Gaussian kernel, the diagonal included.
 
-    The kernel needs all pairs of a gene's samples: an equi-join on the gene of its distinct values with their counts,
-    which is as many pairs as the metric is defined on; give it the sample of cells that the metric is wanted for.
+    The kernel is defined on all pairs of a gene's samples. Equal values are one, with what y has more than f; they are dealt
+    to blocks of about ``block``, and each pair of blocks is one small matrix, so no table holds pairs of values.
     """
-    both = df.select("gene_idx", F.col("y").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(df.select("gene_idx", F.col("f").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    values = both.groupBy("gene_idx", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    other = values.select("gene_idx", F.col("v").alias("v2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    k = F.exp(-gamma * (F.col("v") - F.col("v2")) ** 2)
+    both = df.select("gene_idx", F.col("y").alias("v"), F.lit(1).alias("w")).unionByName(df.select("gene_idx", F.col("f").alias("v"), F.lit(-1).alias("w")))
+    values = both.groupBy("gene_idx", "v").agg(F.sum("w").alias("w")).where("w <> 0")
+    blocks = values.groupBy("gene_idx").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = values.join(blocks, "gene_idx").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    left = dealt.select("gene_idx", "v", "w", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("gene_idx", "v", "w", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
+    right = right.select(*(F.col(c).alias(c + "2") for c in ("gene_idx", "v", "w", "i", "j")))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"gene_idx": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+        x, y = a["v"].to_numpy(), b["v2"].to_numpy()
+        wx, wy = a["w"].to_numpy().astype(float), b["w2"].to_numpy().astype(float)
+        total = sum(float(wx[k : k + 512] @ np.exp(-gamma * (x[k : k + 512, None] - y) ** 2) @ wy) for k in range(0, len(x), 512))
+        return pa.table({"gene_idx": pa.array([a["gene_idx"][0].as_py()], pa.int64()), "s": pa.array([total * (1 if a["i"][0] == a["j"][0] else 2)])})
+
+    sums = left.groupBy("gene_idx", "i", "j").cogroup(right.groupBy("gene_idx2", "i2", "j2")).applyInArrow(run, "gene_idx long, s double").groupBy("gene_idx").agg(F.sum("s").alias("s"))
     n = df.groupBy("gene_idx").agg(F.count("*").alias("n"))
-    weight = F.col("a") * F.col("a2") + F.col("b") * F.col("b2") - F.col("a") * F.col("b2") - F.col("b") * F.col("a2")
-    sums = values.join(other, "gene_idx").groupBy("gene_idx").agg(F.sum(k * weight).alias("s"))
-    return sums.join(n, "gene_idx").agg(F.avg(F.col("s") / F.col("n") / F.col("n")).alias("mmd"))
+    return n.join(sums, "gene_idx", "left").agg(F.avg(F.coalesce("s", F.lit(0.0)) / F.col("n") / F.col("n")).alias("mmd"))
 
 
 def wasserstein(df: DataFrame) -> DataFrame:

@@ -19,14 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def also_whole(f: Callable[..., DataFrame], *swaps: tuple[str, str]) -> None:
-    """Registers ``f`` over its whole input as name_whole; its SQL is that of the cut form with each cut swapped for the whole."""
-    QUERIES[f"{f.__name__}_whole"] = functools.partial(f, whole=True)
-    sql = SQL[f.__name__]
-    for cut, whole in swaps:
-        assert cut in sql, cut
-        sql = sql.replace(cut, whole)
-    SQL[f"{f.__name__}_whole"] = sql
+def whole(f: Callable[..., DataFrame], *swaps: tuple[str, str]) -> None:
+    """Registers ``f`` over its whole input; each cut in its SQL is swapped for the whole."""
+    QUERIES[f.__name__] = functools.partial(f, whole=True)
+    for cut, all_ in swaps:
+        assert cut in SQL[f.__name__], cut
+        SQL[f.__name__] = SQL[f.__name__].replace(cut, all_)
 
 
 def query(sql: str | None = None):
@@ -276,7 +274,7 @@ def desc_clean(spark, sf, whole=False):
     return table(spark, sf, "documents").select("doc_id", text.shorten(F.col("text")).alias("short"), text.clean_description(told).alias("clean"))
 
 
-also_whole(desc_clean, ("substr(text, 1, 150)", "text"))
+whole(desc_clean, ("substr(text, 1, 150)", "text"))
 
 
 ATAC_CELLS = "SELECT o_orderkey AS cell_id, o_totalprice / 40000 AS tss_enrichment, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 100) / 200.0 END AS frip, o_totalprice AS n_fragments FROM orders"
@@ -359,7 +357,7 @@ def metric_mmd(spark, sf, whole=False):
     return metrics.mmd(predictions(spark, sf, 64 if whole else 4)).select(r6("mmd"))
 
 
-also_whole(metric_mmd, (_pairs(4), _pairs()))
+whole(metric_mmd, (_pairs(4), _pairs()))
 
 
 @query(f"WITH {_pairs()}, a AS (SELECT gene_idx, y, row_number() OVER (PARTITION BY gene_idx ORDER BY y) AS r FROM p), b AS (SELECT gene_idx, f, row_number() OVER (PARTITION BY gene_idx ORDER BY f) AS r FROM p), w AS (SELECT avg(abs(y - f)) AS w FROM a JOIN b USING (gene_idx, r) GROUP BY gene_idx) SELECT round(avg(w), 6) AS wasserstein FROM w")
@@ -494,9 +492,9 @@ def kg_embedding_attach(spark, sf, whole=False):
 
 
 for _f in (kg_resolve_seed, kg_resolve_fuzzy):
-    also_whole(_f, (" WHERE n_nationkey % 3 = 0", ""), (" WHERE c_custkey % 50 = 0", ""))
+    whole(_f, (" WHERE n_nationkey % 3 = 0", ""), (" WHERE c_custkey % 50 = 0", ""))
 for _f in (kg_hop_select, kg_subgraph, kg_candidate_scores, kg_render_text, kg_embedding_attach):
-    also_whole(_f, (" WHERE n_nationkey % 4 = 0", ""), (" WHERE s_suppkey % 20 = 1", ""))
+    whole(_f, (" WHERE n_nationkey % 4 = 0", ""), (" WHERE s_suppkey % 20 = 1", ""))
 
 
 @query(f"WITH {EDGES} SELECT src, count(*) AS degree, string_agg(dst || ' ' || type, ',' ORDER BY dst, type) AS neighbours FROM edges GROUP BY 1")
@@ -526,8 +524,49 @@ def attention_mask(spark, sf):
 
 @query("WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) SELECT CAST(label AS BIGINT) AS label, CAST(i AS BIGINT) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM e GROUP BY ALL")
 def token_pooling(spark, sf):
-    g = table(spark, sf, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("v"))
-    return g.select(big("label"), F.posexplode(sequences.pool(F.col("v"))).alias("i", "x")).select("label", big("i"), r6("x"))
+    parts = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).select(big("label"), big("i"), r6("x"))
+
+
+@query(f"WITH {METRICS} SELECT cell_id, n_genes, n_counts FROM m WHERE n_genes >= 2 AND n_genes <= 6 AND n_counts >= 40 AND n_counts <= 200 AND pct_mt < 50")
+def cell_qc_strict(spark, sf):
+    kept = expression.filter_cells(with_metrics(spark, sf), min_genes=2, max_genes=6, min_counts=40, max_counts=200, max_pct_mt=50, strict_mt=True)
+    return kept.select("cell_id", big("n_genes"), "n_counts")
+
+
+@query(f"WITH {OPEN} SELECT l_orderkey * 10 + l_linenumber AS link, round(coalesce(openness, 0), 6) AS openness FROM lineitem LEFT JOIN o ON peak_id = l_suppkey * 10 + l_linenumber")
+def atac_link_openness(spark, sf):
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("source_index"), F.lit(None).cast("double").alias("openness"))
+    return atac.with_openness(li, atac.peak_openness(peaks(spark, sf), atac_cells(spark, sf))).select(big("link"), r6("openness"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS tissue, CAST(c_nationkey AS VARCHAR) AS disease, c_mktsegment = 'BUILDING' AS qc_pass, c_mktsegment || '|none|none|none|none|none|none|none|none|none|none|none|' || c_nationkey || '|none|none|none' AS texts FROM customer")
+def meta_standard(spark, sf):
+    c = columns.qc_flag(columns.standardize(table(spark, sf, "customer"), {"tissue": "C-MktSegment", "disease": "c nationkey"}), "C_MKTSEGMENT", "BUILDING")
+    return c.select("c_custkey", "tissue", "disease", "qc_pass", F.array_join(columns.text_columns(c), "|").alias("texts"))
+
+
+@query("SELECT o_orderkey, CAST(NULL AS DOUBLE) AS n_genes, o_totalprice AS n_counts, CAST(NULL AS DOUBLE) AS pct_mt FROM orders")
+def meta_metrics(spark, sf):
+    o = columns.detect_metrics(table(spark, sf, "orders").withColumnRenamed("o_totalprice", "Total_Counts"))
+    return o.select("o_orderkey", "n_genes", "n_counts", "pct_mt")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
+def row_numbers(spark, sf):
+    return columns.number_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", F.floor(F.col("o_orderkey") / 1000), "pos")
+
+
+@query(f"WITH {EDGES} SELECT type, n_edges, n_nodes FROM (SELECT type, count(*) AS n_edges FROM edges GROUP BY 1) JOIN (SELECT type, count(DISTINCT id) AS n_nodes FROM (SELECT type, src AS id FROM edges UNION ALL SELECT type, dst FROM edges) GROUP BY 1) USING (type)")
+def kg_type_counts(spark, sf):
+    return graph.counts(kg_edges(spark, sf))
+
+
+@query(f"WITH {TOP}, t AS (SELECT cell_id, gene_idx + 1 AS token, rank - 1 AS i FROM binned) SELECT cell_id, CAST(sum(CASE WHEN i > 0 AND ((((cell_id * 4099 + i) * 1103515245 + 42 * 12345) % 2147483647) * 48271) % 2147483647 < 1073741823 THEN -1 ELSE token END) AS BIGINT) AS total FROM t GROUP BY 1")
+def mask_apply(spark, sf):
+    rows = token_table(spark, sf)
+    hidden = sequences.masked(F.col("gene_ids"), sequences.mask_positions(F.col("gene_ids"), F.col("cell_id"), 0.5), -1)
+    return rows.select("cell_id", F.aggregate(hidden, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.sources.tables import Source
+from helixspark.sources.tables import Source, exists
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -34,6 +34,23 @@ def vocabulary(vocab: DataFrame, path: str) -> None:
     vocab.coalesce(1).write.mode("overwrite").json(path)
 
 
+def json_map(df: DataFrame, key: str, value: str, path: str) -> None:
+    """One JSON object of keys and values, for maps of genes, labels or domains, which are small; of equal keys the last value by order counts."""
+    once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.max(value).alias("v"))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v"))))
+    once.agg(F.to_json(entries, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def gene_maps(genes: DataFrame, folder: str) -> None:
+    """The maps that go with a set of genes: original id to vocabulary key, and how each gene was mapped."""
+    json_map(genes.where("hgnc_num <> ''"), "orig_id", "hgnc_num", f"{folder}/id_map.json")
+    genes.select("orig_id", "gene_symbol", "ensembl_id", "hgnc_num", "hgnc_token").coalesce(1).write.mode("overwrite").json(f"{folder}/gene_mapping_info.json")
+
+
+def domain_map(rows: DataFrame, label: str, id_: str, path: str) -> None:
+    json_map(rows.select(label, id_).distinct(), label, id_, path)
+
+
 def tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
@@ -60,6 +77,19 @@ def index(df: DataFrame, path: str, buckets: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def cached_index(spark: SparkSession, make: Callable[[], DataFrame], path: str, version: str) -> DataFrame:
+    """The index table under ``path`` if it was written with this version, else a new one, which replaces it.
+
+    The table's folder is named by the version and the note that names it is written last, so a job that dies leaves the old one in force.
+    """
+    note, table = f"{path}/version", f"{path}/{version}"
+    if exists(spark, f"{note}/_SUCCESS") and [r[0] for r in spark.read.text(note).collect()] == [version]:
+        return spark.read.parquet(table)
+    make().write.mode("overwrite").parquet(table)
+    write_text(spark, note, version)
+    return spark.read.parquet(table)
+
+
 def gene_list(genes: DataFrame, column: str, path: str) -> None:
     genes.select(F.col(column).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixspark.functions.text import after_colon
+from helixspark.operators.atac import links
 from helixspark.operators.columns import guess
 
+#: Relations of the small graph.
+EDGE_TYPES = ["drug_targets", "gene_encodes_protein", "gene_in_pathway", "has_go_bp", "has_go_cc", "has_go_mf", "in_complex_with", "ligand_receptor", "protein_interacts", "tf_regulates"]
+#: The folders of a chromatin bundle.
+BUNDLE_FOLDERS = ["peak_bc", "gene_scores", "ChromVar", "LSI_embedding", "markerpeak_target"]
+
 #: Names of columns in accessibility tables, the likeliest first.
 GENE_COLUMNS = ["nearestGene", "gene", "gene_symbol", "gene_name", "symbol", "geneName"]
 DISTANCE_COLUMNS = ["distToTSS", "distance", "distance_to_tss", "dist", "distToGeneStart"]
@@ -74,20 +82,65 @@ def matrix_header(spark: SparkSession, path: str) -> tuple[int, int, int | None]
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value) of a MatrixMarket coordinate file, counted from 0; the size line is left out by its place in the text."""
-    r, c, n = matrix_header(spark, path)
-    if n is None:
-        raise ValueError("a coordinate matrix is wanted")
-    parts = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).where("not startswith(value, '%') and trim(value) <> ''")
-    triples = lines.select((F.get(parts, F.lit(0)).cast("long") - 1).alias("row"), (F.get(parts, F.lit(1)).cast("long") - 1).alias("col"), F.get(parts, F.lit(2)).cast("double").alias("value"), "value")
-    size = f"{r} {c} {n}"
-    plain = F.array_join(parts, " ")
-    # an entry can look like the size line only at the last row and column; then one of the two equal lines is it
-    same = triples.where(plain == size)
-    rest = triples.where(plain != size)
-    extra = same.limit(max(0, same.count() - 1))
-    return rest.unionByName(extra).select("row", "col", "value")
+    """(row, col, value) of a MatrixMarket coordinate file, counted from 0; the size line is left out by its place in the file."""
+    text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = text.where("not startswith(line, '%') and trim(line) <> ''")
+    size = lines.agg(F.min(F.struct("block", "at", "line"))).first()[0]
+    if size is None or len(size["line"].split()) != 3:
+        raise ValueError(f"no size of a coordinate matrix in {path}")
+    part = lambda i: F.get(F.split(F.trim("line"), r"\s+"), F.lit(i))
+    return lines.where(F.col("at") != size["at"]).select((part(0).cast("long") - 1).alias("row"), (part(1).cast("long") - 1).alias("col"), part(2).cast("double").alias("value"))
+
+
+def in_file_order(scan: DataFrame, out: str = "pos") -> DataFrame:
+    """Adds row numbers from 0 in the order of files and of places in them, to a DataFrame as the reader gave it.
+
+    Rows of a block of a file follow each other in a task; counts of blocks, a small table, give each block's first number.
+    """
+    own = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = own.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_at").alias("_low"))
+    first = blocks.withColumn("_first", F.sum("_rows").over(W.orderBy("_file", "_block")) - F.col("_rows")).drop("_rows")
+    return own.join(first, ["_file", "_block"]).withColumn(out, F.col("_first") + F.col("_at") - F.col("_low")).drop("_file", "_block", "_at", "_low", "_first")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def inspect_atac_bundle(spark: SparkSession, folder: str) -> dict:
+    """Of each of a bundle's folders that is there: the matrix's shape, columns and rows of obs and var; and the columns that fit for reading."""
+    if not exists(spark, folder):
+        raise FileNotFoundError(folder)
+    parts: dict[str, dict] = {}
+    for name in BUNDLE_FOLDERS:
+        at = f"{folder}/{name}"
+        if not exists(spark, at):
+            continue
+        parts[name] = {"shape": matrix_header(spark, f"{at}/counts.mtx.gz") if exists(spark, f"{at}/counts.mtx.gz") else None}
+        for side in ("obs", "var"):
+            if exists(spark, f"{at}/{side}.csv"):
+                table = read_delimited(spark, f"{at}/{side}.csv", ",")
+                parts[name][side] = {"columns": table.columns, "n_rows": table.count()}
+    out: dict = {"folder": folder, "parts": parts}
+    if "var" in parts.get("peak_bc", {}):
+        columns = parts["peak_bc"]["var"]["columns"]
+        out["gene_column"] = guess(columns, ["nearestGene", "gene", "gene_symbol", "nearest_gene"])
+        out["distance_column"] = guess(columns, ["distToTSS", "distance", "dist_to_tss"])
+    return out
+
+
+def read_atac_table(spark: SparkSession, path: str, gene: str | None = None, distance: str | None = None, openness: str | None = None) -> DataFrame:
+    """The peak-gene links of a flat table, one a row in file order from 0; columns that aren't named are guessed. Empty tables are an error."""
+    table = in_file_order(read_table(spark, path), "_row")
+    if table.isEmpty():
+        raise ValueError(f"{path} has no rows")
+    names = [c for c in table.columns if c != "_row"]
+    gene, distance = gene or guess(names, GENE_COLUMNS), distance or guess(names, DISTANCE_COLUMNS)
+    if gene is None or distance is None:
+        raise ValueError(f"{path} has no column of {'genes' if gene is None else 'distances'}")
+    require(table, [gene, distance], path)
+    return links(table, gene, distance, openness or guess(names, OPENNESS_COLUMNS), "_row")
 
 
 def require(df: DataFrame, columns: Sequence[str], what: str = "table") -> DataFrame:
@@ -99,14 +152,22 @@ def require(df: DataFrame, columns: Sequence[str], what: str = "table") -> DataF
 
 def read_atac_bundle(spark: SparkSession, folder: str, gene: str = "nearestGene", distance: str = "distToTSS") -> tuple[DataFrame, DataFrame]:
     """(cells, peaks) of a bundle's peak_bc folder; the matrix is left for the aggregation."""
-    cells = read_delimited(spark, f"{folder}/peak_bc/obs.csv", ",")
-    peaks = require(read_delimited(spark, f"{folder}/peak_bc/var.csv", ","), [gene, distance, "peak_index"], "var.csv")
+    cells = in_file_order(read_delimited(spark, f"{folder}/peak_bc/obs.csv", ","), "cell_row")
+    peaks = in_file_order(read_delimited(spark, f"{folder}/peak_bc/var.csv", ","), "peak_row")
+    peaks = require(peaks, [gene, distance, "peak_index"], "var.csv")
     barcode = guess(cells.columns, ["cell_id", "cell_barcode", "barcode"])
     if barcode is None:
         raise ValueError("obs.csv has no barcode column")
     return cells.withColumn("cell_id", F.col(barcode)), peaks
 
 
+def read_atac_counts(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+    """(cell_id, peak_id, value) of a bundle's peak matrix: its rows are cells in the order of obs, its columns peaks in that of var."""
+    entries = read_matrix(spark, f"{folder}/peak_bc/counts.mtx.gz")
+    named = cells.select("cell_id", F.col("cell_row").alias("row"))
+    return entries.join(named, "row").select("cell_id", F.col("col").alias("peak_id"), "value")
+
+
 def read_edges(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The first of the paths that can be read: Parquet with source, target, edge_type, or source, type, target lines without a header."""
     for path in paths:
@@ -120,25 +181,44 @@ def read_edges(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     raise FileNotFoundError(f"none of {', '.join(paths)}")
 
 
+def known_relations(spark: SparkSession, path: str | None = None, default: Sequence[str] = tuple(EDGE_TYPES)) -> list[str]:
+    """Names of relations: the keys of a JSON object if there is such a file, else the default."""
+    if path is None or not exists(spark, path):
+        return list(default)
+    told = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return list(told) if isinstance(told, dict) else list(default)
+
+
 def read_relations(spark: SparkSession, path: str, src: str, dst: str, kind: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(kind).alias("type"))
 
 
 def read_entities(spark: SparkSession, files: Mapping[str, tuple[str, str, str]], descriptions: Mapping[str, tuple[str, str, str]] | None = None) -> DataFrame:
-    """nodes(id, name, type, desc, pos) from one CSV a type, (path, id column, name column), and descriptions likewise."""
+    """nodes(id, name, type, desc, pos) from one CSV a type, (path, id column, name column), and descriptions likewise.
+
+    pos is in the order of types, then of the file. A missing file is left out with a warning.
+    """
     from helixspark.functions.text import clean_description
 
-    out = None
+    def there(path: str) -> bool:
+        if not exists(spark, path):
+            warnings.warn(f"{path} is missing", stacklevel=3)
+            return False
+        return True
+
+    out = spark.createDataFrame([], "id string, name string, type string, desc string, pos long")
     for i, (kind, (path, id_col, name_col)) in enumerate(files.items()):
-        one = spark.read.option("header", True).csv(path).select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.lit(kind).alias("type"))
-        if descriptions and kind in descriptions:
+        if not there(path):
+            continue
+        rows = in_file_order(spark.read.option("header", True).csv(path), "_pos")
+        one = rows.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.lit(kind).alias("type"), (F.col("_pos") + (i << 40)).alias("pos"))
+        if descriptions and kind in descriptions and there(descriptions[kind][0]):
             p, a, b = descriptions[kind]
             told = spark.read.option("header", True).csv(p).groupBy(F.col(a).alias("_d")).agg(F.min(b).alias("_t"))
             one = one.join(told, F.col("id") == F.col("_d"), "left").withColumn("desc", clean_description(F.col("_t"))).drop("_d", "_t")
         else:
             one = one.withColumn("desc", F.lit(""))
-        one = one.withColumn("pos", F.lit(i).cast("long") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40))
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(one)
     return out
 
 
