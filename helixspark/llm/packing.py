@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm import bpe
+from helixspark.llm import bpe, textkit
 from helixspark.llm.shared import staged
 
 COLUMNS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
@@ -80,7 +80,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, open_windows: int
     A document is its token ids and then ``end_id``. In each partition, full windows of a long document go out at once;
     what remains is placed best-fit among ``open_windows`` open windows, and the fullest goes out when none fits. Windows
     still open at the end are merged best-fit-decreasing in groups of about ``group`` windows. Pieces, with their ids as
-    little-endian unsigned 32-bit binary, are written once to the shared folder: lost executors cost no second
+    little-endian unsigned 32-bit binary, are made for parts of a batch of bounded size and written once to the shared folder: lost executors cost no second
     tokenization, and only lengths of open windows are shuffled. Returns per piece doc_id, start, length, ids,
     doc_tokens, sequence_id, offset. A null text is empty and still yields its end id; a null doc_id stays null; repeated
     rows are packed each; an empty table gives no piece; other columns are not read. Ties in room go to the older window.
@@ -89,20 +89,23 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, open_windows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.byte_encoder(vocabulary)
         windows = _Windows(window, open_windows, TaskContext.get().partitionId() << 36)
-        for b in batches:
-            ids, offsets = encoder.encode(pc.fill_null(b.column(1), "").to_pylist())
-            done: list[tuple] = []
-            for doc, a, z in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = np.append(ids[a:z], np.uint32(end_id)).astype("<u4")
-                n = len(own)
-                for start in range(0, n, window):
-                    length = min(window, n - start)
-                    done += windows.place((doc, start, length, own[start : start + length].tobytes(), n), length)
-                if len(done) >= 4096:
+        for big in batches:
+            sizes = pc.fill_null(pc.binary_length(big.column(1)), 0).to_numpy(zero_copy_only=False)
+            for first, last in textkit.chunks(sizes, 2 * textkit.CHUNK):
+                b = big.slice(first, last - first)
+                ids, offsets = encoder.encode(pc.fill_null(b.column(1), "").to_pylist())
+                done: list[tuple] = []
+                for doc, a, z in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    own = np.append(ids[a:z], np.uint32(end_id)).astype("<u4")
+                    n = len(own)
+                    for start in range(0, n, window):
+                        length = min(window, n - start)
+                        done += windows.place((doc, start, length, own[start : start + length].tobytes(), n), length)
+                    if len(done) >= 4096:
+                        yield _batch(done)
+                        done = []
+                if done:
                     yield _batch(done)
-                    done = []
-            if done:
-                yield _batch(done)
         rest = windows.rest()
         if rest:
             yield _batch(rest)

@@ -34,7 +34,7 @@ class Symbols:
 
     @functools.cached_property
     def table(self) -> np.ndarray:
-        table = np.full(0x110000, UNKNOWN, np.int64)
+        table = np.full(0x110000, UNKNOWN, np.uint16)
         table[self.known] = np.arange(len(self.known)) + UNKNOWN + 1
         return table
 
@@ -45,7 +45,7 @@ class Symbols:
 def windows(texts: list[str], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
     """The gram that ends at each character, texts end to end, and the texts' offsets."""
     cp, offsets = textkit.code_points(texts)
-    own = symbols.table[cp]
+    own = symbols.table[cp].astype(np.int64)
     at = np.arange(len(cp)) - np.repeat(offsets[:-1], np.diff(offsets))
     grams = own.copy()
     for back in range(1, ORDER):

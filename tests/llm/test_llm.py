@@ -83,6 +83,16 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0), BYTE).count() == 0
 
 
+def test_pieces_have_the_crc_of_their_ids(spark, sf):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE)
+    ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = registry.QUERIES["op3_pack"](spark, sf).collect()
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id]) for r in rows)
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+
+
 def test_mixing(docs):
     rows = mixing.mix_sources(docs, cell_rows=7).collect()
     sizes: dict = {}
@@ -473,5 +483,3 @@ def test_pipeline_and_registry(spark, sf):
     assert 200 > sizes[0] > sizes[1] == sizes[2] and sizes[3] > 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
-    row = registry.QUERIES["op3_pack"](spark, sf).first()
-    assert 0 <= row.ids_crc32 < 1 << 32 and zlib.crc32(b"") == 0
