@@ -53,7 +53,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the classifier, the banding or the tokenizer; tests compare the stages with brute force.
+#: SQL can't express the classifier, the banding or the tokenizer; tests compare the operators that they call with brute force.
 ORACLE_SQL = None
 
 
