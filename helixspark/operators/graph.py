@@ -51,12 +51,38 @@ def _literal_map(values: Mapping[str, float], key: Column, default: float) -> Co
     return F.coalesce(F.try_element_at(table, key), F.lit(float(default))) if table is not None else F.lit(float(default))
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct pieces of ``size`` characters of a text; none of a shorter one."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, size)))
+
+
+def holding(names: DataFrame, seeds: DataFrame, size: int = 3) -> DataFrame:
+    """Pairs of a name (low) and a seed (key) that it holds.
+
+    A name that holds a seed has all of the seed's pieces of ``size`` characters, so a seed only meets the names with the
+    piece that fewest names have: an equi-join, then the test itself. A seed shorter than ``size`` is its own piece, and names
+    are cut in that size as well where there is such a seed. Nothing is broadcast and no two tables are crossed.
+    """
+    low, key = F.col("low"), F.col("key")
+    asked = seeds.withColumn("_size", F.least(F.length(key), F.lit(size)))
+    sizes = [r[0] for r in asked.select("_size").distinct().collect()]  # ``size`` rows at most
+    cut = F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(low, F.lit(n)), F.array().cast("array<string>")) for n in sizes)))) if sizes else F.array().cast("array<string>")
+    pieces = asked.select("key", F.explode(_grams(key, F.col("_size"))).alias("_gram")).distinct()
+    # names repeat for ids that share them: each is cut once
+    had = names.select("low").distinct().select("low", F.explode(cut).alias("_gram"))
+    rare = had.join(pieces.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    best = pieces.join(rare, "_gram").groupBy("key").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    met = had.join(best, "_gram").where(F.contains(low, key)).select("low", "key")
+    return names.join(met, "low").join(seeds, "key")
+
+
 def resolve_seeds(seeds: DataFrame, nodes: DataFrame, type_order: Sequence[str] = TYPE_ORDER, fuzzy_rank: bool = False) -> DataFrame:
     """(seed, id, name, type, status): exact names before names that hold the seed, then types in order, then position.
 
     ``fuzzy_rank`` orders partial matches by whole word, prefix, anywhere, then shorter names, also matches ids, and falls
     back to the raw id; else the first entity by position with a name that holds the seed decides the candidates. Exact
-    matches are an equi-join; only seeds without one meet the names, of which seeds are few (a broadcast of their list).
+    matches are an equi-join; seeds without one meet the names by ``holding``.
     """
     asked = seeds.select("seed", F.lower(F.trim("seed")).alias("key")).where("key <> ''").distinct()
     entity = nodes.select("id", "name", "type", "pos", F.lower("name").alias("low"))
@@ -65,7 +91,7 @@ def resolve_seeds(seeds: DataFrame, nodes: DataFrame, type_order: Sequence[str]
         names = names.unionByName(entity.withColumn("low", F.lower("id"))).unionByName(entity.withColumn("low", F.lower(F.substring_index("id", ":", -1)))).distinct()
     exact = asked.join(names, F.col("key") == F.col("low")).select("seed", "id", "name", "type", "pos", F.lit(0).alias("rank"), F.lit(0).alias("size"))
     rest = asked.join(exact.select("seed").distinct(), "seed", "left_anti")
-    part = names.join(F.broadcast(rest), F.contains("low", F.col("key")))
+    part = holding(names, rest)
     if fuzzy_rank:
         rank = F.when(F.contains(F.concat(F.lit(" "), F.col("low"), F.lit(" ")), F.concat(F.lit(" "), F.col("key"), F.lit(" "))), 1).when(F.col("low").startswith(F.col("key")), 2).otherwise(3)
         part = part.select("seed", "id", "name", "type", "pos", rank.alias("rank"), F.length("low").alias("size"))
@@ -171,5 +197,12 @@ def counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count("*").alias("n_edges")).join(ends, "type")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "type"))).alias("neighbours"), F.count("*").alias("degree"))
+def adjacency(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(src, degree, part, neighbours): sorted neighbours of each node; a node with more than ``most`` has several rows.
+
+    Neighbours of such a hub are dealt to parts of about ``most`` by the hash of their id, so no task holds a whole hub.
+    """
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    place = F.conv(F.substr(F.md5("dst"), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    dealt = edges.join(degree, "src").withColumn("part", place % F.ceil(F.col("degree") / most))
+    return dealt.groupBy("src", "degree", "part").agg(F.sort_array(F.collect_list(F.struct("dst", "type"))).alias("neighbours"))

@@ -497,10 +497,10 @@ for _f in (kg_hop_select, kg_subgraph, kg_candidate_scores, kg_render_text, kg_e
     whole(_f, (" WHERE n_nationkey % 4 = 0", ""), (" WHERE s_suppkey % 20 = 1", ""))
 
 
-@query(f"WITH {EDGES} SELECT src, count(*) AS degree, string_agg(dst || ' ' || type, ',' ORDER BY dst, type) AS neighbours FROM edges GROUP BY 1")
+@query(f"WITH {EDGES}, d AS (SELECT src, dst, type, count(*) OVER (PARTITION BY src) AS degree FROM edges) SELECT src, degree, CAST(CAST('0x' || substr(md5(dst), 1, 8) AS BIGINT) % CAST(ceil(degree / 20.0) AS BIGINT) AS BIGINT) AS part, string_agg(dst || ' ' || type, ',' ORDER BY dst, type) AS neighbours FROM d GROUP BY ALL")
 def kg_adjacency(spark, sf):
-    a = graph.adjacency(kg_edges(spark, sf))
-    return a.select("src", "degree", F.array_join(F.transform("neighbours", lambda x: F.concat_ws(" ", x["dst"], x["type"])), ",").alias("neighbours"))
+    a = graph.adjacency(kg_edges(spark, sf), 20)
+    return a.select("src", "degree", "part", F.array_join(F.transform("neighbours", lambda x: F.concat_ws(" ", x["dst"], x["type"])), ",").alias("neighbours"))
 
 
 def token_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -569,6 +569,47 @@ def mask_apply(spark, sf):
     return rows.select("cell_id", F.aggregate(hidden, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query(f"WITH {_pairs()}, g AS (SELECT sum((y - f) * (y - f)) AS res, sum(y * y) - sum(y) * sum(y) / count(*) AS tot FROM p GROUP BY gene_idx), c AS (SELECT corr(y, f) AS r FROM p GROUP BY sample_id) SELECT round_even(avg((y - f) * (y - f)), 3) AS mse, round_even(sqrt(avg((y - f) * (y - f))), 3) AS rmse, round_even(avg(abs(y - f)), 3) AS mae, (SELECT round_even(avg(1 - res / tot), 3) FROM g) AS r2, (SELECT round_even(avg(r), 3) FROM c) AS pearson FROM p")
+def metric_bundle(spark, sf):
+    return metrics.bundle(predictions(spark, sf)).select("mse", "rmse", "mae", "r2", "pearson")
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_linenumber = 5 OR l_quantity >= 20")
+def atac_supported_peaks(spark, sf):
+    p = table(spark, sf, "lineitem").withColumn("ncells", F.when(F.col("l_linenumber") != 5, F.col("l_quantity")))
+    return atac.supported(p, 20).select("l_orderkey", big("l_linenumber"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment WHEN n_name IS NOT NULL THEN n_name ELSE 'none' END AS drug FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2")
+def drug_fallback(spark, sf):
+    c = table(spark, sf, "customer").withColumn("cmap", F.when(F.col("c_custkey") % 3 == 0, " NA ").otherwise(F.col("c_mktsegment")))
+    out = columns.lookup(c, table(spark, sf, "nation").where("n_regionkey <> 2").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey", "n_name", "pert")
+    return out.select("c_custkey", columns.fallback(F.col("cmap"), F.col("pert")).alias("drug"))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(range(0, 8)) AS t, embedding FROM embeddings), s AS (SELECT vec_id, t, CAST(embedding[t * 8 + 1] AS DOUBLE) AS s, embedding FROM e), w AS (SELECT vec_id, t, exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id) AS w, embedding FROM s), x AS (SELECT vec_id, t, w, unnest(range(0, 8)) AS i, embedding FROM w) SELECT vec_id, i, round(sum(w * CAST(embedding[t * 8 + i + 1] AS DOUBLE)), 6) AS x FROM x GROUP BY 1, 2")
+def attention_pooling(spark, sf):
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("embedding", t * 8 + 1, F.lit(8)))
+    e = table(spark, sf, "embeddings").withColumn("tokens", tokens)
+    pooled = sequences.pool(F.col("tokens"), "attention", F.transform("tokens", lambda v: F.get(v, F.lit(0))))
+    return e.select("vec_id", F.posexplode(pooled).alias("i", "x")).select("vec_id", big("i"), r6("x"))
+
+
+@query("WITH r AS (SELECT vec_id AS cell_id, count(*) AS n_genes, round(sum(CAST(x AS DOUBLE)), 6) AS n_counts FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1) SELECT vec_id AS cell_id, coalesce(n_genes, 0) AS n_genes, coalesce(n_counts, 0) AS n_counts FROM embeddings LEFT JOIN r ON vec_id = cell_id")
+def cell_qc_ragged(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("genes", F.sequence(F.lit(0), F.size("embedding") - 1)).withColumn("values", F.col("embedding").cast("array<double>"))
+    long = expression.to_long(e, "vec_id", "values", "genes")
+    c = e.select(F.col("vec_id").alias("cell_id"))
+    return expression.cell_metrics(long, c, spark.range(0).select(F.col("id").alias("gene_idx")), count_zeros=True).select("cell_id", big("n_genes"), r6("n_counts"))
+
+
+@query(f"WITH {TOP}, t AS (SELECT cell_id, count(*) AS n FROM binned WHERE gene_idx % 3 = 0 GROUP BY 1) SELECT o_orderkey AS cell_id, coalesce(n, 0) AS length FROM orders LEFT JOIN t ON cell_id = o_orderkey")
+def tok_keep_empty(spark, sf):
+    top = expression.top_genes(expr(spark, sf), 4, 32).where("gene_idx % 3 = 0")
+    rows = expression.token_rows(top, 4, "gene_idx", cells(spark, sf))
+    return rows.select("cell_id", F.col("lengths").cast("long").alias("length"))
+
+
 @query()
 def hvg_seurat_style(spark, sf):
     long = expression.to_long(table(spark, sf, "embeddings"), "vec_id", "embedding").withColumn("value", F.exp("value"))
