@@ -121,7 +121,7 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
     over the hops left. The best of each type with room come first, rarer types and higher bonuses before others; then
     all others by score; both until the budget of nodes is used up. Edges to known nodes are recorded, and edges to
     nodes that this hop selects. Neighbours are met in the order of the frontier, then of dst and type. The edge table is
-    only joined with the frontier; repeated edges are merged after that. Each hop's nodes and edges so far, which the
+    only joined with the frontier; repeated edges are merged by the aggregates and by the last numbering. Each hop's nodes and edges so far, which the
     budget bounds, are persisted and those of the hop before released; a lost one is computed again from its inputs.
     """
     limits = dict(caps if caps is not None else type_caps(max_nodes))
@@ -143,7 +143,7 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
         frontier = known.where(F.col("hop") == hop - 1).select("seed", F.col("id").alias("src"), F.col("ord").alias("f"))
         totals = known.groupBy("seed").agg(F.count("*").alias("n_nodes"))
         counts = known.groupBy("seed", F.col("type").alias("node_type")).agg(F.count("*").alias("n_type"))
-        met = edges.select("src", "dst", F.col("type").alias("edge_type")).join(frontier, "src").distinct().join(totals.where(F.col("n_nodes") < max_nodes), "seed")
+        met = edges.select("src", "dst", F.col("type").alias("edge_type")).join(frontier, "src").join(totals.where(F.col("n_nodes") < max_nodes), "seed")
         here = known.select("seed", F.col("id").alias("dst"), F.lit(1).alias("_here"))
         met = met.join(here, ["seed", "dst"], "left").persist(StorageLevel.MEMORY_AND_DISK)
         old = met.where("_here = 1").select("seed", "src", "dst", F.col("edge_type").alias("type"), F.lit(hop).alias("hop"), F.lit(0).alias("group"), F.lit(0).alias("s"), "f")

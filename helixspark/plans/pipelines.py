@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -22,17 +23,26 @@ class TokenOptions:
     bounds: Mapping[str, float] = field(default_factory=lambda: {"min_genes": 500, "max_genes": 8000, "min_counts": 1000, "max_counts": 100_000, "max_pct_mt": 20})
     domain: str | None = None
     keep_empty: bool = False
+    mito: str = "MT-"
+    seed: int = 42
+    stage: str | None = None
 
 
 def tokenize(expr: DataFrame, cells: DataFrame, gene_table: DataFrame, hgnc: DataFrame, options: TokenOptions, cell_block: Column, position: str = "pos") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(token rows, genes with tokens, vocabulary) from long-form expression, cells and genes (with gene_idx).
 
     Metrics and filter, variable genes on a uniform sample, mapping, then the strongest genes of each cell. The cell side
-    shuffles by cell_id alone; gene tables are small. The vocabulary is fixed before tokens are made.
+    shuffles by cell_id alone; gene tables are small. The vocabulary is fixed before tokens are made. The cells that pass
+    are asked for four times: with ``stage``, a folder that all executors share, they are written there once, and the
+    expression table is scanned for variance and tokens only.
     """
-    mito = gene_table.where(F.col("gene_symbol").startswith("MT-")).select("gene_idx")
+    mito = gene_table.where(F.col("gene_symbol").startswith(options.mito)).select("gene_idx")
     kept = expression.filter_cells(expression.drop_doublets(expression.cell_metrics(expr, cells, mito)), **options.bounds)
-    sampled = expression.uniform_sample(kept.select("cell_id", F.xxhash64("cell_id").alias("_h")).withColumn("_h", F.pmod("_h", F.lit(1 << 31))), "_h", options.sample)
+    if options.stage:
+        path = f"{options.stage.rstrip('/')}/cells-{uuid.uuid4().hex}"
+        kept.write.parquet(path)
+        kept = kept.sparkSession.read.parquet(path)
+    sampled = expression.uniform_sample(kept.select("cell_id", F.xxhash64("cell_id").alias("_h")).withColumn("_h", F.pmod("_h", F.lit(1 << 31))), "_h", options.sample, options.seed)
     variance = expression.gene_variance(expression.keep_cells(expr, sampled), max(1, sampled.count()))
     hvg = expression.top_variable(variance, options.n_hvg)
     table = genes.map_genes(gene_table.drop("is_hvg", "hgnc_num", "hgnc_token").join(hvg.select("gene_idx", "is_hvg", "variance"), "gene_idx", "left").withColumn("is_hvg", F.coalesce("is_hvg", F.lit(False))), hgnc, position)

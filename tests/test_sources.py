@@ -58,3 +58,16 @@ def test_pipeline(spark):
     assert max(r.shard_id for r in got) == (len(got) - 1) // 6 and {r.domain_id for r in got} <= {0, 1}
     assert all(r.text_data[0] == "lung" and r.text_data[1] == "none" for r in got)
     assert vocab.count() <= 6
+
+
+def test_tokens_from_staged_cells_are_the_same(spark, tmp_path):
+    cells = spark.createDataFrame([(f"c{i}", False) for i in range(6)], "cell_id string, predicted_doublet boolean")
+    genes = spark.createDataFrame([(i, f"ENSG{i}", f"S{i}" if i else "mt-1") for i in range(6)], "gene_idx long, ensembl_id string, gene_symbol string")
+    hgnc = spark.createDataFrame([(i, f"HGNC:{i + 1}", f"S{i}", "", "", f"ENSG{i}") for i in range(6)], "pos long, hgnc_id string, symbol string, alias_symbol string, prev_symbol string, ensembl_gene_id string")
+    expr = spark.createDataFrame([(f"c{i}", g, float(1 + (i * g) % 5)) for i in range(6) for g in range(6)], "cell_id string, gene_idx long, value double")
+    made = lambda **o: pipelines.tokenize(expr, cells, genes, hgnc, pipelines.TokenOptions(top_k=4, shard_size=4, n_hvg=6, sample=4, bounds={"max_pct_mt": 10}, mito="mt-", **o), F.substring("cell_id", 1, 1))
+    plain, staged = made(), made(stage=str(tmp_path))
+    for a, b in zip(plain, staged, strict=True):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert {r.cell_id for r in plain[0].collect()} == {"c1", "c2", "c3", "c4"}  # mt- genes are a sixth of c0 and c5, less of the others
+    assert len(list(tmp_path.iterdir())) == 1
