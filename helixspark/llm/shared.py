@@ -88,3 +88,15 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM collect its garbage: Spark removes shuffle files once nothing refers to them, and else they stay until it happens to."""
     spark.sparkContext._jvm.System.gc()
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, often: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row at most for each value of ``key``.
+
+    ``often`` has the values that so many rows hold that they'd fill a task, in a column of that name; there must be a bound to
+    their number, as for values with more than a thousandth of all rows. Their rows of ``table`` are broadcast; only other rows
+    are shuffled. Rows with a null key meet nothing.
+    """
+    few = F.broadcast(often.select(key))
+    hot = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
+    return hot.unionByName(rows.join(few, key, "left_anti").join(table.hint("merge"), key, how))
