@@ -9,7 +9,7 @@ registry = pytest.importorskip("helixspark.llm.registry")
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df, got = registry.QUERIES[name](spark, sf), c.sql(registry.SQL[name])
     columns = sorted(df.columns)
