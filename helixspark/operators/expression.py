@@ -137,6 +137,50 @@ def top_genes_in_row(df: DataFrame, genes: str, values: str, k: int, use_abs: bo
     return F.slice(F.array_sort(F.filter(both, lambda z: z["s"] != 0)), 1, k)
 
 
+def top_genes_dense(rows: DataFrame, cell: str, values: str, tokens: DataFrame, k: int, n_bins: int, over: int = 128, use_abs: bool = False) -> DataFrame:
+    """(cell, gene_ids, bin_ids, lengths) of dense rows, each an array by position: the k + over strongest, of these the first k with a token.
+
+    Works inside the chunk of rows that a task has read, so no value is exploded or shuffled. Zeros count; null and NaN values are
+    zeros; ties go to the smaller position. ``tokens`` (gene_idx, token) is a row a position and so as small as one row of the
+    matrix; positions that it lacks have no token.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    known = {int(r[0]): int(r[1]) for r in tokens.where("token > 0").select("gene_idx", "token").collect()}
+    width = max(known, default=-1) + 1
+    lookup = np.zeros(width, np.int64)
+    lookup[list(known)] = list(known.values())
+
+    def one(score: np.ndarray) -> np.ndarray:
+        """Positions of the strongest, in order."""
+        n = min(len(score), k + over)
+        if n < len(score):
+            edge = np.partition(score, len(score) - n)[len(score) - n]
+            at = np.flatnonzero(score >= edge)
+        else:
+            at = np.arange(len(score))
+        return at[np.argsort(-score[at], kind="stable")][:n]
+
+    def run(batches):
+        for b in batches:
+            genes, bins, lengths = [], [], []
+            for row in b.column(1):
+                v = np.zeros(0) if not row.is_valid else np.nan_to_num(row.values.to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0)
+                at = one(np.abs(v) if use_abs else v)
+                token = np.where(at < width, lookup[np.minimum(at, width - 1)], 0) if width else np.zeros(len(at), np.int64)
+                token = token[token > 0][:k]
+                n = len(token)
+                genes.append(np.pad(token, (0, k - n)))
+                bins.append(np.pad(n_bins - (np.arange(n) * n_bins) // max(1, n), (0, k - n)))
+                lengths.append(n)
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, int), kind))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(genes, pa.int32()), lists(bins, pa.int32()), pa.array(lengths, pa.int16())], names=[cell, "gene_ids", "bin_ids", "lengths"])
+
+    kind = rows.schema[cell].dataType.simpleString()
+    return rows.select(cell, values).mapInArrow(run, f"`{cell}` {kind}, gene_ids array<int>, bin_ids array<int>, lengths short")
+
+
 def with_shards(rows: DataFrame, shard_size: int, cell: Column) -> DataFrame:
     """shard_id of fixed-size shards in the order of cell_id."""
     return number_rows(rows, "cell_id", cell, "_row").withColumn("shard_id", F.floor(F.col("_row") / shard_size).cast("long")).drop("_row")

@@ -87,6 +87,14 @@ def tok_overselect(spark, sf):
     return expression.top_genes(long, 8, 16, use_abs=True, over=4, tokens=tokens).select("cell_id", "token", "rank", "bin")
 
 
+@query(SQL["tok_overselect"])
+def tok_overselect_dense(spark, sf):
+    tokens = spark.range(64).select(F.col("id").cast("int").alias("gene_idx"), F.when(F.col("id") % 3 != 0, F.col("id") + 1).otherwise(0).alias("token"))
+    top = expression.top_genes_dense(table(spark, sf, "embeddings"), "vec_id", "embedding", tokens, 8, 16, 4, use_abs=True)
+    both = F.posexplode(F.arrays_zip(F.slice("gene_ids", 1, F.col("lengths").cast("int")).alias("t"), F.slice("bin_ids", 1, F.col("lengths").cast("int")).alias("b")))
+    return top.select(F.col("vec_id").alias("cell_id"), both.alias("i", "x")).select("cell_id", F.col("x.t").cast("long").alias("token"), (F.col("i") + 1).cast("long").alias("rank"), F.col("x.b").cast("long").alias("bin"))
+
+
 @query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY abs(value) DESC, gene_idx) AS rank FROM dense WHERE value <> 0) SELECT cell_id, string_agg(CAST(gene_idx AS VARCHAR), ',' ORDER BY rank) AS gene_ids FROM r WHERE rank <= 8 GROUP BY cell_id")
 def tok_in_row(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("genes", F.sequence(F.lit(0), F.size("embedding") - 1))

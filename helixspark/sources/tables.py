@@ -267,11 +267,11 @@ def read_embeddings(spark: SparkSession, paths: Sequence[str], n_entities: int |
     raise FileNotFoundError(f"none of {', '.join(paths)} fits")
 
 
-def gene_meta(df: DataFrame, orig_id: str, symbol: str | None = None, ensembl: str | None = None, index: str | None = None, token: str | None = None) -> DataFrame:
-    """The fixed columns of gene tables."""
+def gene_meta(df: DataFrame, orig_id: str, symbol: str | None = None, ensembl: str | None = None, index: str | None = None, token: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The fixed columns of gene tables, and those to keep."""
     text = lambda c: F.col(c).cast("string") if c else F.lit("")
     number = lambda c: F.col(c).cast("int") if c else F.lit(-1)
-    return df.select(F.col(orig_id).cast("string").alias("orig_id"), text(symbol).alias("gene_symbol"), text(ensembl).alias("ensembl_id"), number(index).alias("gctx_index"), number(token).alias("orig_token_id"), F.lit(True).alias("is_hvg"), F.lit("").alias("hgnc_num"), F.lit(0).alias("hgnc_token"))
+    return df.select(F.col(orig_id).cast("string").alias("orig_id"), text(symbol).alias("gene_symbol"), text(ensembl).alias("ensembl_id"), number(index).alias("gctx_index"), number(token).alias("orig_token_id"), F.lit(True).alias("is_hvg"), F.lit("").alias("hgnc_num"), F.lit(0).alias("hgnc_token"), *keep)
 
 
 def hgnc_numbers(hgnc: DataFrame) -> DataFrame:
