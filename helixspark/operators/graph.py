@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixspark.functions.text import reversed_type
+from helixspark.sources.staging import Grown
 
 #: Share, least and most nodes by type.
 BUDGETS = {"Transcript": (0.10, 3, 12), "Protein": (0.30, 10, 40), "Drug": (0.16, 4, 24), "Disease": (0.14, 4, 20), "Pathway": (0.10, 3, 15), "Phenotype": (0.10, 3, 15), "Metabolite": (0.10, 3, 15), "Exposure": (0.06, 2, 10), "Gene": (0.12, 3, 20), "Microbiota": (0.06, 2, 10), "Promoter": (0.05, 2, 8), "*": (0.08, 2, 12)}
@@ -109,67 +109,82 @@ def resolve_seeds(seeds: DataFrame, nodes: DataFrame, type_order: Sequence[str]
 
 
 def scores(candidates: DataFrame, type_bonus: Mapping[str, float] = TYPE_BONUS, edge_bonus: Mapping[str, float] = EDGE_BONUS) -> Column:
-    """Of rows (node_type, edge_type, desc, n_type): bonuses, 0.8 with a description, and more while the type is rare."""
-    described = F.when(F.trim(F.coalesce("desc", F.lit(""))) != "", 0.8).otherwise(0.0)
+    """Of rows (node_type, edge_type, n_type, and desc or told): bonuses, 0.8 with a description, and more while the type is rare."""
+    told = F.col("told") if "told" in candidates.columns else _told(F.col("desc"))
+    described = F.when(told, 0.8).otherwise(0.0)
     return F.round(_literal_map(type_bonus, F.col("node_type"), 0.4) + _literal_map(edge_bonus, F.col("edge_type"), 0.0) + described + F.greatest(F.lit(0.0), 1.8 - 0.35 * F.col("n_type")), 9)
 
 
+def _told(desc: Column) -> Column:
+    return F.trim(F.coalesce(desc, F.lit(""))) != ""
+
+
+def frontier_edges(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, src, dst, edge_type, f) of the edges that leave a frontier (seed, src, f). Edges bucketed by src stay where they are."""
+    return edges.select("src", "dst", F.col("type").alias("edge_type")).join(frontier, "src").select("seed", "src", "dst", "edge_type", "f")
+
+
 def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2, max_nodes: int = 60, caps: Mapping[str, int] | None = None, type_bonus: Mapping[str, float] = TYPE_BONUS, edge_bonus: Mapping[str, float] = EDGE_BONUS) -> tuple[DataFrame, DataFrame]:
     """Budgeted expansion of all seeds at once: (seed, id, name, type, desc, hop, ord) and (seed, src, dst, type, hop, ord).
 
     Every hop joins the frontier with the edges. Of the new nodes, each type gets a quota: what its cap leaves, spread
     over the hops left. The best of each type with room come first, rarer types and higher bonuses before others; then
     all others by score; both until the budget of nodes is used up. Edges to known nodes are recorded, and edges to
-    nodes that this hop selects. Neighbours are met in the order of the frontier, then of dst and type. The edge table is
-    only joined with the frontier; repeated edges are merged by the aggregates and by the last numbering. Each hop's nodes and edges so far, which the
-    budget bounds, are persisted and those of the hop before released; a lost one is computed again from its inputs.
+    nodes that this hop selects. Neighbours are met in the order of the frontier, then of dst and type; repeated edges count once.
+
+    A hop writes two tables to the shared folder, the edges that it met and the nodes that it selected, and reads those of the
+    hops before; so a hop's plan is as large as the first one's. Only ids, types and whether there is a description take part in
+    the selection; names and descriptions are joined with the selected nodes at the end. Candidates are ranked after they are
+    cut to the largest cap of a (seed, type), within each task first.
     """
     limits = dict(caps if caps is not None else type_caps(max_nodes))
     default_cap = limits.get("*", max_nodes)
-    about = nodes.select(F.col("id").alias("_id"), "name", F.col("type").alias("_type"), "desc")
+    most = max(0, *limits.values(), default_cap)
+    about = nodes.select(F.col("id").alias("dst"), F.coalesce("type", F.lit("Unknown")).alias("node_type"), _told(F.col("desc")).alias("told"))
+    typed = lambda df: df.join(about, "dst", "left").withColumns({"node_type": F.coalesce("node_type", F.lit("Unknown")), "told": F.coalesce("told", F.lit(False))})
 
-    def described(df: DataFrame, id_: str) -> DataFrame:
-        return df.join(about, F.col(id_) == F.col("_id"), "left").withColumns({"name": F.coalesce("name", id_), "node_type": F.coalesce("_type", F.lit("Unknown")), "desc": F.coalesce("desc", F.lit(""))}).drop("_id", "_type")
-
-    def keep(df: DataFrame) -> DataFrame:
-        """Persisted and computed, so that what it was made of can be released."""
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        df.count()
-        return df
-
-    known = keep(described(seeds.select("seed", "id").distinct(), "id").select("seed", "id", "name", F.col("node_type").alias("type"), "desc", F.lit(0).alias("hop"), F.row_number().over(W.partitionBy("seed").orderBy("id")).alias("ord")))
-    recorded = None
+    start = typed(seeds.select("seed", F.col("id").alias("dst")).distinct()).select("seed", F.col("dst").alias("id"), F.col("node_type").alias("type"), F.lit(0).alias("hop"), F.row_number().over(W.partitionBy("seed").orderBy("dst")).alias("ord"))
+    known, met_all = Grown(start, "nodes"), None
+    frontier = known.df
     for hop in range(1, max_hops + 1):
-        frontier = known.where(F.col("hop") == hop - 1).select("seed", F.col("id").alias("src"), F.col("ord").alias("f"))
-        totals = known.groupBy("seed").agg(F.count("*").alias("n_nodes"))
-        counts = known.groupBy("seed", F.col("type").alias("node_type")).agg(F.count("*").alias("n_type"))
-        met = edges.select("src", "dst", F.col("type").alias("edge_type")).join(frontier, "src").join(totals.where(F.col("n_nodes") < max_nodes), "seed")
-        here = known.select("seed", F.col("id").alias("dst"), F.lit(1).alias("_here"))
-        met = met.join(here, ["seed", "dst"], "left").persist(StorageLevel.MEMORY_AND_DISK)
-        old = met.where("_here = 1").select("seed", "src", "dst", F.col("edge_type").alias("type"), F.lit(hop).alias("hop"), F.lit(0).alias("group"), F.lit(0).alias("s"), "f")
-        new = described(met.where("_here is null"), "dst").join(counts, ["seed", "node_type"], "left").withColumn("n_type", F.coalesce("n_type", F.lit(0)))
-        new = new.withColumn("score", scores(new, type_bonus, edge_bonus))
-        one = new.groupBy("seed", F.col("dst").alias("id")).agg(F.max("score").alias("score"), F.min(F.struct("f", "dst", "edge_type")).alias("met"), *(F.first(c).alias(c) for c in ("name", "node_type", "desc", "n_type", "n_nodes")))
+        so_far = known.df
+        totals = so_far.groupBy("seed").agg(F.count("*").alias("n_nodes"))
+        counts = so_far.groupBy("seed", F.col("type").alias("node_type")).agg(F.count("*").alias("n_type"))
+        from_ = frontier.join(totals.where(F.col("n_nodes") < max_nodes), "seed").select("seed", F.col("id").alias("src"), F.col("ord").alias("f"))
+        met = frontier_edges(from_, edges).withColumn("hop", F.lit(hop))
+        if met_all is None:
+            met_all = Grown(met, "met")
+            met = met_all.df
+        else:
+            met = met_all.add(met)
+        # one row a candidate before anything is joined to it; the score takes the best of its edges
+        one = met.groupBy("seed", "dst").agg(F.max_by("edge_type", _literal_map(edge_bonus, F.col("edge_type"), 0.0)).alias("edge_type"), F.min(F.struct("f", "dst", "edge_type")).alias("met"))
+        new = one.join(so_far.select("seed", F.col("id").alias("dst")), ["seed", "dst"], "left_anti")
+        new = typed(new).join(counts, ["seed", "node_type"], "left").withColumn("n_type", F.coalesce("n_type", F.lit(0)))
+        new = new.withColumn("score", scores(new, type_bonus, edge_bonus)).select("seed", F.col("dst").alias("id"), "node_type", "n_type", "score", "met")
+        in_type = W.partitionBy("seed", "node_type")
         cap = _literal_map({k: v for k, v in limits.items() if k != "*"}, F.col("node_type"), default_cap)
         room = cap - F.col("n_type")
         quota = F.when(room > 0, F.least(room, F.greatest(F.lit(1.0), F.ceil(room / (max_hops - hop + 1)).cast("double")))).otherwise(F.lit(0.0))
-        in_type = W.partitionBy("seed", "node_type")
-        ranked = one.withColumn("r", F.row_number().over(in_type.orderBy(F.col("score").desc(), "met"))).withColumn("type_met", F.min("met").over(in_type)).where(F.col("r") <= quota)
+        ranked = new.withColumn("r", F.row_number().over(in_type.orderBy(F.col("score").desc(), "met"))).where(F.col("r") <= most).where(F.col("r") <= quota)
+        ranked = ranked.join(new.groupBy("seed", "node_type").agg(F.min("met").alias("type_met")), ["seed", "node_type"]).join(totals, "seed")
         first = F.col("r") == 1
         key = [F.when(first, 0).otherwise(1), F.when(first, F.col("n_type")), F.when(first, -_literal_map(type_bonus, F.col("node_type"), 0.0)), F.when(first, F.col("type_met")), F.col("score").desc(), F.col("met")]
         picked = ranked.withColumn("s", F.row_number().over(W.partitionBy("seed").orderBy(*key))).where(F.col("s") <= F.lit(max_nodes) - F.col("n_nodes"))
-        picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
-        fresh = met.where("_here is null").join(picked.select("seed", F.col("id").alias("dst"), "s"), ["seed", "dst"]).select("seed", "src", "dst", F.col("edge_type").alias("type"), F.lit(hop).alias("hop"), F.lit(1).alias("group"), "s", "f")
-        parts = old.unionByName(fresh)
-        parts = keep(parts if recorded is None else recorded.unionByName(parts))
-        more = keep(known.unionByName(picked.select("seed", "id", "name", F.col("node_type").alias("type"), "desc", F.lit(hop).alias("hop"), F.col("s").alias("ord"))))
-        for done in (met, picked, known, *([] if recorded is None else [recorded])):
-            done.unpersist()
-        known, recorded = more, parts
-    order = W.partitionBy("seed").orderBy("hop", "group", "s", "f", "dst", "src", "type")
-    once = recorded.withColumn("_n", F.row_number().over(W.partitionBy("seed", "src", "dst", "type").orderBy("hop", "group", "s", "f"))).where("_n = 1")
-    out_edges = once.withColumn("ord", F.row_number().over(order)).select("seed", "src", "dst", "type", "hop", "ord")
-    out_nodes = known.withColumn("ord", F.row_number().over(W.partitionBy("seed").orderBy("hop", "ord"))).select("seed", "id", "name", "type", "desc", "hop", "ord")
+        frontier = known.add(picked.select("seed", "id", F.col("node_type").alias("type"), F.lit(hop).alias("hop"), F.col("s").alias("ord")))
+    names = nodes.select(F.col("id").alias("_id"), "name", "desc")
+    out_nodes = known.df.withColumn("ord", F.row_number().over(W.partitionBy("seed").orderBy("hop", "ord"))).join(names, F.col("id") == F.col("_id"), "left")
+    out_nodes = out_nodes.select("seed", "id", F.coalesce("name", "id").alias("name"), "type", F.coalesce("desc", F.lit("")).alias("desc"), "hop", "ord")
+    if met_all is None:
+        none = seeds.select("seed", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("").alias("type"), F.lit(0).alias("hop"), F.lit(0).alias("ord"))
+        return out_nodes, none.where("false")
+    at = known.df.select("seed", F.col("id").alias("dst"), F.col("hop").alias("_hop"), F.col("ord").alias("_s"))
+    held = met_all.df.join(at, ["seed", "dst"]).where("_hop <= hop")
+    fresh = F.col("_hop") == F.col("hop")
+    # an edge counts where it is met first: to a node known before, or to one that the hop selects
+    where = F.min(F.struct("hop", F.when(fresh, 1).otherwise(0).alias("group"), F.when(fresh, F.col("_s")).otherwise(0).alias("s"), "f")).alias("at")
+    once = held.groupBy("seed", "src", "dst", F.col("edge_type").alias("type")).agg(where)
+    out_edges = once.select("seed", "src", "dst", "type", F.col("at.hop").alias("hop"), F.row_number().over(W.partitionBy("seed").orderBy("at", "dst", "src", "type")).alias("ord"))
     return out_nodes, out_edges
 
 

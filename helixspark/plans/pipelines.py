@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.operators import atac, columns, expression, genes, graph
+from helixspark.sources import sinks
+from helixspark.sources.staging import staged
 
 
 @dataclass
@@ -72,3 +74,39 @@ def subgraphs(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings:
     for more in (graph.render(n, e), raw_nodes, raw_edges):
         out = out.join(more, "seed", "left")
     return out.join(graph.attach_embeddings(n, embeddings)[1], "seed", "left") if embeddings is not None else out
+
+
+def subgraph_batches(seeds: DataFrame, out: str, make: Callable[[DataFrame], DataFrame], batches: int = 1, salt: int = 0) -> DataFrame:
+    """Records of all seeds as lines of JSON under ``out``, batch by batch; a run that died is continued by running it again.
+
+    ``make`` gives one record a seed, as ``subgraphs`` does. Seeds with a record are left out by an anti-join, so none gets two. A
+    batch that fails is halved until the seed at fault is alone; that one's record has status failed and what was raised.
+    """
+    spark = seeds.sparkSession
+    once = seeds.select("seed").where("seed is not null").distinct()
+    for k in range(batches):
+        part = once.where(F.pmod(F.xxhash64("seed"), F.lit(batches)) == k)
+        done = sinks.appended(spark, out, "seed string")
+        todo = part if done is None else part.join(done, "seed", "left_anti")
+        if not todo.isEmpty():
+            _attempt(todo, out, make, salt)
+    return sinks.appended(spark, out)
+
+
+def _attempt(todo: DataFrame, out: str, make: Callable[[DataFrame], DataFrame], level: int) -> None:
+    todo = staged(todo, "seeds")
+    try:
+        sinks.append_json(make(todo), out, uuid.uuid4().hex)
+        return
+    except Exception as e:  # noqa: BLE001  whatever a seed raises is its record's
+        told = f"{type(e).__name__}: {e}"[:500]
+    if todo.limit(2).count() < 2:
+        sinks.append_json(todo.select("seed", F.lit("failed").alias("status"), F.lit(told).alias("error")), out, uuid.uuid4().hex)
+        return
+    while True:  # another hash until both halves have seeds
+        half = F.pmod(F.xxhash64("seed", F.lit(level)), F.lit(2))
+        if todo.select(half.alias("h")).distinct().count() == 2:
+            break
+        level += 1
+    for h in range(2):
+        _attempt(todo.where(half == h), out, make, level + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ def shards(rows: DataFrame, path: str, compression: str = "zstd") -> None:
 
 
 def vocabulary(vocab: DataFrame, path: str) -> None:
-    """{"token_key": token_id} objects, one a line."""
-    vocab.coalesce(1).write.mode("overwrite").json(path)
+    """One JSON object of token_key and token_id."""
+    json_map(vocab, "token_key", "token_id", path)
 
 
 def json_map(df: DataFrame, key: str, value: str, path: str) -> None:
@@ -66,15 +67,30 @@ def gene_scores(scores: DataFrame, folder: str, top_n: int = 50) -> None:
     scores.orderBy("rank").limit(max(1, top_n)).coalesce(1).write.mode("overwrite").json(f"{folder}/summary.json")
 
 
-def append_json(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_json(df: DataFrame, path: str, attempt: str | None = None) -> bool:
+    """Appends rows as lines of JSON, in a folder named by the attempt; false if that attempt is there already, whole.
 
-
-def index(df: DataFrame, path: str, buckets: Sequence[str] = ()) -> DataFrame:
-    """A materialised index table, read back."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*buckets) if buckets else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    An attempt that died before its end is written again, so no line stands twice. Without a name, rows are always added.
+    """
+    if attempt is None:
+        df.write.mode("append").json(f"{path}/attempt={uuid.uuid4().hex}")
+        return True
+    at = f"{path}/attempt={attempt}"
+    if exists(df.sparkSession, f"{at}/_SUCCESS"):
+        return False
+    df.write.mode("overwrite").json(at)
+    return True
+
+
+def appended(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The lines of all whole attempts, None if there are none."""
+    if not exists(spark, path):
+        return None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = [str(f.getPath()) for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    whole = [f for f in sorted(found) if exists(spark, f"{f}/_SUCCESS")]
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(whole) if whole else None
 
 
 def cached_index(spark: SparkSession, make: Callable[[], DataFrame], path: str, version: str) -> DataFrame:
@@ -90,6 +106,25 @@ def cached_index(spark: SparkSession, make: Callable[[], DataFrame], path: str,
     return spark.read.parquet(table)
 
 
+def edge_index(spark: SparkSession, make: Callable[[], DataFrame], name: str, path: str, version: str, buckets: int = 200) -> DataFrame:
+    """Edges (src, dst, type) as a table bucketed and sorted by src under ``path``, made once for a version and number of buckets.
+
+    A join on src doesn't shuffle it, nor sort it in sessions with spark.sql.legacy.bucketedTableScan.outputOrdering: one file a bucket. The note that names a version is written last, so a job
+    that dies leaves the old one in force. The catalogue's entry is made anew where a session doesn't have it.
+    """
+    key = f"{version}/{buckets}"
+    note, table = f"{path}/version", f"{path}/{version}-{buckets}"
+    known = exists(spark, f"{note}/_SUCCESS") and [r[0] for r in spark.read.text(note).collect()] == [key]
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if known:
+        spark.sql(f"CREATE TABLE {name} (src STRING, dst STRING, type STRING) USING parquet CLUSTERED BY (src) SORTED BY (src, dst, type) INTO {buckets} BUCKETS LOCATION '{table}'")
+    else:
+        edges = make().select("src", "dst", "type")
+        edges.repartition(buckets, "src").write.mode("overwrite").format("parquet").bucketBy(buckets, "src").sortBy("src", "dst", "type").option("path", table).saveAsTable(name)
+        write_text(spark, note, key)
+    return spark.table(name)
+
+
 def gene_list(genes: DataFrame, column: str, path: str) -> None:
     genes.select(F.col(column).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
