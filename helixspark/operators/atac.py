@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixspark.functions.text import present, to_number
+from helixspark.operators.order import quantiles
 
 #: Default thresholds.
 AT_LEAST = {"tss_enrichment": 4.0, "frip": 0.15, "n_fragments": 3000.0}
@@ -61,7 +62,8 @@ def gene_scores(link: DataFrame, min_peaks: int = 1, use_abs: bool = True, digit
     x = F.abs(d) if use_abs else d
     w = F.coalesce("openness", F.lit(0.0))
     weighted = F.when(F.sum(w) > 0, F.sum(w * x) / F.sum(w)).otherwise(F.avg(x))
-    genes = link.where("is_valid_link").groupBy(F.col("gene_symbol").alias("gene")).agg(F.count("*").alias("n_peaks"), F.avg(d).alias("mean_distance"), F.median(d).alias("median_distance"), F.avg(F.abs(d)).alias("mean_abs_distance"), F.avg(x).alias("composite_score"), weighted.alias("weighted_composite_score"), F.sum(w).alias("openness_sum_qc"))
-    kept = genes.where(F.col("n_peaks") >= max(1, min_peaks))
+    genes = link.where("is_valid_link").groupBy(F.col("gene_symbol").alias("gene")).agg(F.count("*").alias("n_peaks"), F.avg(d).alias("mean_distance"), F.avg(F.abs(d)).alias("mean_abs_distance"), F.avg(x).alias("composite_score"), weighted.alias("weighted_composite_score"), F.sum(w).alias("openness_sum_qc"))
+    medians = quantiles(link.where("is_valid_link").select(F.col("gene_symbol").alias("gene"), d.alias("d")), "d", {"median_distance": 0.5}, "gene")
+    kept = genes.where(F.col("n_peaks") >= max(1, min_peaks)).join(medians, "gene", "left")
     # one row a gene: the global order is over a table of bounded size
     return kept.withColumn("rank", F.row_number().over(W.orderBy(F.round("composite_score", digits), F.col("n_peaks").desc(), "gene")).cast("long"))

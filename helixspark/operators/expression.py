@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from helixspark.functions.sequences import padded, rank_bin
 from helixspark.functions.text import shuffle_key, to_number
 from helixspark.operators.columns import number_rows
+from helixspark.operators.order import quantiles
+from helixspark.sources.staging import staged
 
 
 def to_long(df: DataFrame, cell: str, values: str, genes: str | None = None) -> DataFrame:
@@ -39,6 +43,14 @@ def cell_metrics(expr: DataFrame, cells: DataFrame, mito: DataFrame, count_zeros
     return out.withColumns({"n_genes": F.coalesce("n_genes", F.lit(0)), "n_counts": F.coalesce("n_counts", F.lit(0.0))}).drop("_mt")
 
 
+def medians(cells: DataFrame, names: Sequence[str] = ("n_genes", "n_counts", "pct_mt")) -> DataFrame:
+    """One row with the exact median of each column over all cells; null where a column has no values."""
+    each = staged(cells.select(*(F.col(c).cast("double").alias(c) for c in names)), "metrics")
+    long = each.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in names))).alias("x")).select("x.*")
+    found = quantiles(long, "v", {"median": 0.5}, "name")
+    return found.agg(*(F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in names))
+
+
 def drop_doublets(cells: DataFrame, flag: str = "predicted_doublet") -> DataFrame:
     return cells.where(~F.coalesce(F.col(flag).cast("boolean"), F.lit(False))) if flag in cells.columns else cells
 

@@ -121,7 +121,8 @@ def cell_qc_metrics(spark, sf):
 
 @query(f"WITH {METRICS} SELECT median(n_genes) AS n_genes, median(n_counts) AS n_counts, round(median(pct_mt), 6) AS pct_mt FROM m")
 def cell_qc_medians(spark, sf):
-    return with_metrics(spark, sf).agg(F.median("n_genes").alias("n_genes"), F.median("n_counts").alias("n_counts"), r6(F.median("pct_mt"), "pct_mt"))
+    names = ["n_genes", "n_counts", "pct_mt"]
+    return expression.medians(with_metrics(spark, sf), names).withColumn("pct_mt", F.round("pct_mt", 6))
 
 
 @query(f"WITH {METRICS} SELECT cell_id, n_genes, n_counts FROM m WHERE NOT predicted_doublet AND n_genes >= 2 AND n_genes <= 6 AND n_counts >= 40 AND pct_mt <= 50")
