@@ -57,24 +57,25 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, size)))
 
 
-def holding(names: DataFrame, seeds: DataFrame, size: int = 3) -> DataFrame:
-    """Pairs of a name (low) and a seed (key) that it holds.
+def holding(names: DataFrame, seeds: DataFrame, best: Column, size: int = 3) -> DataFrame:
+    """(key, best): of all names that hold a seed, the least ``best``, a struct made of a name's columns (low first among them) and key.
 
     A name that holds a seed has all of the seed's pieces of ``size`` characters, so a seed only meets the names with the
-    piece that fewest names have: an equi-join, then the test itself. A seed shorter than ``size`` is its own piece, and names
-    are cut in that size as well where there is such a seed. Nothing is broadcast and no two tables are crossed.
+    piece that fewest names have: an equi-join, then the test itself. A shorter seed is its own piece: names are cut in its size,
+    and each piece keeps its best name before anything is shuffled, so no pairs are made for it. The best of a longer seed is taken within
+    each task first as well: what is shuffled is bounded by seeds, not by the names that hold them. Nothing is broadcast and no two tables are crossed.
     """
     low, key = F.col("low"), F.col("key")
     asked = seeds.withColumn("_size", F.least(F.length(key), F.lit(size)))
-    sizes = [r[0] for r in asked.select("_size").distinct().collect()]  # ``size`` rows at most
-    cut = F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(low, F.lit(n)), F.array().cast("array<string>")) for n in sizes)))) if sizes else F.array().cast("array<string>")
-    pieces = asked.select("key", F.explode(_grams(key, F.col("_size"))).alias("_gram")).distinct()
-    # names repeat for ids that share them: each is cut once
-    had = names.select("low").distinct().select("low", F.explode(cut).alias("_gram"))
+    sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())  # ``size`` rows at most
+    cut = lambda some: F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(low, F.lit(n)), F.array().cast("array<string>")) for n in some)))) if some else F.array().cast("array<string>")
+    short = seeds.where(F.length(key) < size)
+    own = names.withColumn("key", F.explode(cut([n for n in sizes if n < size]))).join(short.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(best).alias("best"))
+    pieces = asked.where(F.length(key) >= size).select("key", F.explode(_grams(key, F.col("_size"))).alias("_gram")).distinct()
+    had = names.withColumn("_gram", F.explode(cut([n for n in sizes if n == size])))
     rare = had.join(pieces.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
-    best = pieces.join(rare, "_gram").groupBy("key").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    met = had.join(best, "_gram").where(F.contains(low, key)).select("low", "key")
-    return names.join(met, "low").join(seeds, "key")
+    rarest = pieces.join(rare, "_gram").groupBy("key").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    return own.unionByName(had.join(rarest, "_gram").where(F.contains(low, key)).groupBy("key").agg(F.min(best).alias("best")))
 
 
 def resolve_seeds(seeds: DataFrame, nodes: DataFrame, type_order: Sequence[str] = TYPE_ORDER, fuzzy_rank: bool = False) -> DataFrame:
@@ -82,25 +83,29 @@ def resolve_seeds(seeds: DataFrame, nodes: DataFrame, type_order: Sequence[str]
 
     ``fuzzy_rank`` orders partial matches by whole word, prefix, anywhere, then shorter names, also matches ids, and falls
     back to the raw id; else the first entity by position with a name that holds the seed decides the candidates. Exact
-    matches are an equi-join; seeds without one meet the names by ``holding``.
+    matches are an equi-join; seeds without one meet the names by ``holding``, a name once however many entities share it.
     """
     asked = seeds.select("seed", F.lower(F.trim("seed")).alias("key")).where("key <> ''").distinct()
     entity = nodes.select("id", "name", "type", "pos", F.lower("name").alias("low"))
     names = entity.select("id", "name", "type", "pos", "low")
     if fuzzy_rank:
         names = names.unionByName(entity.withColumn("low", F.lower("id"))).unionByName(entity.withColumn("low", F.lower(F.substring_index("id", ":", -1)))).distinct()
-    exact = asked.join(names, F.col("key") == F.col("low")).select("seed", "id", "name", "type", "pos", F.lit(0).alias("rank"), F.lit(0).alias("size"))
-    rest = asked.join(exact.select("seed").distinct(), "seed", "left_anti")
-    part = holding(names, rest)
+    order = F.coalesce(*(F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(type_order)), F.lit(len(type_order)))
+    names = names.where("low is not null").withColumn("order", order)
+    told = [F.col(c) for c in ("pos", "id", "name", "type")]
+    exact = asked.join(names, F.col("key") == F.col("low")).groupBy("seed").agg(F.min(F.struct("order", *told)).alias("x")).select("seed", "x.id", "x.name", "x.type")
+    rest = asked.join(exact.select("seed"), "seed", "left_anti")
     if fuzzy_rank:
-        rank = F.when(F.contains(F.concat(F.lit(" "), F.col("low"), F.lit(" ")), F.concat(F.lit(" "), F.col("key"), F.lit(" "))), 1).when(F.col("low").startswith(F.col("key")), 2).otherwise(3)
-        part = part.select("seed", "id", "name", "type", "pos", rank.alias("rank"), F.length("low").alias("size"))
+        # of entities with one name and one place in the order of types, none but the first can be chosen
+        once = names.groupBy("low", "order").agg(F.min(F.struct(*told)).alias("e"))
+        low, key = F.concat(F.lit(" "), F.col("low"), F.lit(" ")), F.concat(F.lit(" "), F.col("key"), F.lit(" "))
+        rank = F.when(F.contains(low, key), 1).when(F.col("low").startswith(F.col("key")), 2).otherwise(3)
+        best = F.struct("order", rank.alias("rank"), F.length("low").alias("size"), "e", "low")
     else:
-        first = part.groupBy("seed").agg(F.min_by("low", "pos").alias("first"))
-        part = part.join(first, "seed").where("low = first").select("seed", "id", "name", "type", "pos", F.lit(1).alias("rank"), F.lit(0).alias("size"))
-    order = F.coalesce(*(F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(type_order)), F.lit(len(type_order)))
-    best = W.partitionBy("seed").orderBy(order, "rank", "size", "pos", "id")
-    chosen = exact.unionByName(part).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("seed", "id", F.coalesce("name", "id").alias("name"), F.coalesce("type", F.lit("Unknown")).alias("type"))
+        once = names.groupBy("low").agg(F.min("pos").alias("first"), F.min(F.struct("order", *told)).alias("e"))
+        best = F.struct("first", "low", "e")
+    part = rest.join(holding(once, rest.select("key").distinct(), best), "key").select("seed", "best.e.id", "best.e.name", "best.e.type")
+    chosen = exact.unionByName(part).select("seed", "id", F.coalesce("name", "id").alias("name"), F.coalesce("type", F.lit("Unknown")).alias("type"))
     out = seeds.select("seed").distinct().join(chosen, "seed", "left")
     if fuzzy_rank:
         raw = nodes.select(F.col("id").alias("_raw"), F.col("name").alias("_rn"), F.col("type").alias("_rt"))

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helixspark.operators import graph
 from helixspark.sources import files
@@ -47,11 +48,21 @@ def test_names_that_hold_seeds(spark):
     names = [(str(i), n) for i, n in enumerate(["alpha", "alphabet", "b", "xy", "", None, "aaa", "beta xyz", "al"])]
     seeds = ["alpha", "pha", "a", "xy", "zzz", "aa", "b", "ta x", "alphabets"]
     n = spark.createDataFrame(names, "id string, low string")
-    s = spark.createDataFrame([(x, x) for x in seeds], "seed string, key string")
-    got = {(r["id"], r["seed"]) for r in graph.holding(n, s).collect()}
-    assert got == {(i, x) for i, low in names if low for x in seeds if x in low}
-    assert graph.holding(n, s).count() == len(got)
-    assert graph.holding(n, s.limit(0)).count() == 0
+    s = spark.createDataFrame([(x,) for x in seeds], "key string")
+    best = F.struct(F.length("low").alias("n"), "low", "id")
+    got = {r["key"]: tuple(r["best"]) for r in graph.holding(n, s, best).collect()}
+    assert got == {x: min((len(low), low, i) for i, low in names if low and x in low) for x in seeds if any(low and x in low for _, low in names)}
+    assert graph.holding(n, s.limit(0), best).count() == 0
+
+
+def test_what_seeds_shuffle_is_bounded_by_seeds(spark):
+    """Two thousand names hold a seed of one letter and one of four: each task sends one row for each."""
+    nodes = spark.range(2000).select(F.concat(F.lit("x:"), "id").alias("id"), F.concat(F.lit("name "), "id").alias("name"), F.lit("Gene").alias("type"), F.col("id").alias("pos"))
+    seeds = spark.createDataFrame([("n",), ("name",)], "seed string")
+    df = graph.resolve_seeds(seeds, nodes)
+    assert [(r.seed, r.id) for r in df.orderBy("seed").collect()] == [("n", "x:0"), ("name", "x:0")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
 
 
 def test_neighbours_of_a_hub_are_dealt_to_parts(spark):
