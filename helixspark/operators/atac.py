@@ -67,3 +67,8 @@ def gene_scores(link: DataFrame, min_peaks: int = 1, use_abs: bool = True, digit
     kept = genes.where(F.col("n_peaks") >= max(1, min_peaks)).join(medians, "gene", "left")
     # one row a gene: the global order is over a table of bounded size
     return kept.withColumn("rank", F.row_number().over(W.orderBy(F.round("composite_score", digits), F.col("n_peaks").desc(), "gene")).cast("long"))
+
+
+def preview(scores: DataFrame, top_n: int = 50) -> DataFrame:
+    """The first genes by rank, at least one."""
+    return scores.where(F.col("rank") <= max(1, top_n))

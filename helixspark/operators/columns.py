@@ -50,6 +50,12 @@ def standardize(df: DataFrame, column_map: Mapping[str, str], fill: str = "") ->
     return df.withColumns(new)
 
 
+def with_literals(df: DataFrame, literals: Mapping[str, str], column_map: Mapping[str, str] = {}, fill: str = "") -> DataFrame:
+    """``standardize``, with literals where neither the map nor the table has values of its own."""
+    new = {c: F.lit(v) for c, v in literals.items() if c not in column_map and c not in df.columns}
+    return standardize(df.withColumns(new) if new else df, column_map, fill)
+
+
 def qc_flag(df: DataFrame, column: str | None, value: object) -> DataFrame:
     """qc_pass: the column's text equals the value; true without a column, false for NULL."""
     found = resolve(df.columns, column) if column else None

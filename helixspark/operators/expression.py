@@ -43,6 +43,11 @@ def cell_metrics(expr: DataFrame, cells: DataFrame, mito: DataFrame, count_zeros
     return out.withColumns({"n_genes": F.coalesce("n_genes", F.lit(0)), "n_counts": F.coalesce("n_counts", F.lit(0.0))}).drop("_mt")
 
 
+def mito_genes(genes: DataFrame, prefix: str = "MT-", column: str = "gene_symbol") -> DataFrame:
+    """The genes whose name starts with the prefix of mitochondrial ones."""
+    return genes.where(F.col(column).startswith(prefix))
+
+
 def medians(cells: DataFrame, names: Sequence[str] = ("n_genes", "n_counts", "pct_mt")) -> DataFrame:
     """One row with the exact median of each column over all cells; null where a column has no values."""
     each = staged(cells.select(*(F.col(c).cast("double").alias(c) for c in names)), "metrics")

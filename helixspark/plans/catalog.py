@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.functions import celltypes, sequences, text
-from helixspark.operators import atac, columns, expression, genes, graph, metrics
+from helixspark.operators import atac, columns, expression, genes, graph, metrics, order
+from helixspark.sources import datasets, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -619,8 +620,111 @@ def tok_keep_empty(spark, sf):
     return rows.select("cell_id", F.col("lengths").cast("long").alias("length"))
 
 
-@query()
+SEURAT = """WITH v AS (SELECT label, g AS gene_idx, exp(embedding[g + 1]) AS v FROM embeddings, range(64) AS r(g)),
+stats AS (SELECT label, gene_idx, count(*)::DOUBLE AS n, sum(v) / count(*) AS mean, greatest((sum(v * v) - sum(v) * sum(v) / count(*)) / (count(*) - 1), 0) AS var FROM v GROUP BY ALL HAVING count(*) > 1),
+points AS (SELECT label, gene_idx, log10(mean) AS x, log10(var) AS y, least(count(*) OVER (PARTITION BY label), greatest(3, ceil(0.3 * count(*) OVER (PARTITION BY label)))) AS k FROM stats WHERE mean > 0 AND var > 0),
+near AS (SELECT a.label, a.gene_idx, b.x - a.x AS d, b.y, max(abs(b.x - a.x)) OVER (PARTITION BY a.label, a.gene_idx ORDER BY abs(b.x - a.x), b.x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach, row_number() OVER (PARTITION BY a.label, a.gene_idx ORDER BY abs(b.x - a.x), b.x) AS r, a.k FROM points a JOIN points b ON a.label = b.label),
+kept AS (SELECT *, max(reach) OVER (PARTITION BY label, gene_idx) AS far FROM near WHERE r <= k),
+weighed AS (SELECT *, power(1 - power(abs(d) / far, 3), 3) AS w FROM kept),
+sums AS (SELECT label, gene_idx, sum(w) AS a, sum(w * d) AS b, sum(w * d * d) AS c, sum(w * d * d * d) AS e, sum(w * d * d * d * d) AS f, sum(w * y) AS t, sum(w * d * y) AS u, sum(w * d * d * y) AS v FROM weighed GROUP BY ALL),
+fitted AS (SELECT label, gene_idx, sqrt(power(10, (t * (c * f - e * e) - b * (u * f - e * v) + c * (u * e - c * v)) / (a * (c * f - e * e) - b * (b * f - e * c) + c * (b * e - c * c)))) AS spread FROM sums),
+z AS (SELECT label, gene_idx, n, least((v.v - mean) / spread, sqrt(n)) AS z FROM v JOIN stats USING (label, gene_idx) JOIN fitted USING (label, gene_idx)),
+scored AS (SELECT label, gene_idx, (sum(z * z) - sum(z) * sum(z) / any_value(n)) / (any_value(n) - 1) AS score FROM z GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, gene_idx) AS r FROM scored),
+genes AS (SELECT gene_idx, count(*) FILTER (r <= 20) AS n_batches, median(r) FILTER (r <= 20) AS median_rank, avg(score) AS score FROM ranked GROUP BY 1)
+SELECT gene_idx, n_batches, median_rank, round(score, 6) AS score, row_number() OVER (ORDER BY median_rank NULLS LAST, n_batches DESC, gene_idx) <= 20 AS is_hvg FROM genes"""
+
+
+@query(SEURAT)
 def hvg_seurat_style(spark, sf):
     long = expression.to_long(table(spark, sf, "embeddings"), "vec_id", "embedding").withColumn("value", F.exp("value"))
     c = table(spark, sf, "embeddings").select(F.col("vec_id").alias("cell_id"), "label")
     return expression.seurat_variable(long, c, "label", 20).select(big("gene_idx"), big("n_batches"), "median_rank", r6("score"), "is_hvg")
+
+
+@query("SELECT name, CAST(quantile_cont(v, 0.1) AS DOUBLE) AS low, CAST(quantile_cont(v, 0.5) AS DOUBLE) AS median, CAST(quantile_cont(v, 0.9) AS DOUBLE) AS high FROM (SELECT l_returnflag AS name, l_extendedprice AS v FROM lineitem) GROUP BY 1")
+def order_quantiles(spark, sf):
+    prices = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("name"), "l_extendedprice")
+    return order.quantiles(prices, "l_extendedprice", {"low": 0.1, "median": 0.5, "high": 0.9}, "name")
+
+
+@query("WITH d AS (SELECT l_returnflag, l_shipdate, CAST(sum(l_linenumber) AS BIGINT) AS amount FROM lineitem GROUP BY ALL) SELECT l_returnflag, CAST(l_shipdate AS VARCHAR) AS day, amount, CAST(sum(amount) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS BIGINT) AS total FROM d")
+def order_running(spark, sf):
+    days = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_shipdate").agg(F.sum("l_linenumber").alias("amount"))
+    return order.running(days, "l_returnflag", ["l_shipdate"], "amount").select("l_returnflag", F.col("l_shipdate").cast("string").alias("day"), "amount", "total")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS sample, o_orderpriority AS drug FROM orders WHERE o_orderstatus = 'F'")
+def meta_observation_qc(spark, sf):
+    o = columns.qc_flag(columns.standardize(table(spark, sf, "orders"), {"drug": "O OrderPriority"}), "o-orderstatus", "F")
+    return o.where("qc_pass").select("o_orderkey", F.col("o_custkey").cast("string").alias("sample"), "drug")
+
+
+@query("SELECT o_orderkey, c_mktsegment AS tissue, n_name AS drug FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O'")
+def meta_signature_qc(spark, sf):
+    """Signatures with the cell line and the compound of their keys, those that pass."""
+    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    o = columns.enrich(o, table(spark, sf, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), "c_custkey", ["c_name"])
+    o = columns.enrich(o, table(spark, sf, "nation"), "n_nationkey", ["n_name"])
+    return columns.qc_flag(columns.standardize(o, {"tissue": "c_mktsegment", "drug": "n_name"}), "o_orderstatus", "O").where("qc_pass").select("o_orderkey", "tissue", "drug")
+
+
+@query("SELECT c_custkey, c_mktsegment AS tissue, 'none' AS region, 'drug' AS \"perturbType\", CAST(c_nationkey AS VARCHAR) AS age, '' AS \"cellType1\" FROM customer")
+def meta_literals(spark, sf):
+    """What a set doesn't say is filled by its literals; what the map or the table says stays."""
+    c = columns.with_literals(table(spark, sf, "customer"), datasets.SET_LITERALS, {"tissue": "c_mktsegment", "age": "c_nationkey"})
+    return c.select("c_custkey", "tissue", "region", "perturbType", "age", "cellType1")
+
+
+@query(f"WITH {TOP}, r AS (SELECT cell_id, string_agg(CAST(gene_idx AS VARCHAR), ',' ORDER BY rank) || repeat(',0', CAST(4 - count(*) AS INT)) AS gene_ids FROM binned GROUP BY 1) SELECT cell_id, gene_ids, '|none|none|none|none|none|none|none|none|none|none|none|none|' || o_orderpriority || '|none|none' AS texts FROM r JOIN (SELECT o_orderkey AS cell_id, o_orderpriority FROM orders) USING (cell_id)".replace("'|none|none", "'none|none|none", 1))
+def tok_with_metadata(spark, sf):
+    """Token rows with the text columns of their cells."""
+    rows = expression.token_rows(expression.top_genes(expr(spark, sf), 4, 32), 4)
+    meta = columns.standardize(table(spark, sf, "orders"), {"drug": "o_orderpriority"})
+    texts = meta.select(F.col("o_orderkey").alias("cell_id"), F.array_join(columns.text_columns(meta), "|").alias("texts"))
+    return rows.join(texts, "cell_id").select("cell_id", F.array_join("gene_ids", ",").alias("gene_ids"), "texts")
+
+
+@query("SELECT p_partkey AS gene_idx, p_name AS gene_symbol FROM part WHERE starts_with(p_type, 'PROMO')")
+def gene_mito(spark, sf):
+    named = table(spark, sf, "part").select(F.col("p_partkey").alias("gene_idx"), F.col("p_name").alias("gene_symbol"), "p_type")
+    return expression.mito_genes(named, "PROMO", "p_type").select("gene_idx", "gene_symbol")
+
+
+@query(SQL["atac_gene_scores"] + " QUALIFY rank <= 50")
+def atac_preview(spark, sf):
+    """The best genes, as the preview beside the table of scores has them."""
+    return atac.preview(atac_gene_scores(spark, sf), 50)
+
+
+@query(f"WITH {NODES} SELECT type, count(*) AS n_nodes, CAST(CASE type " + " ".join(f"WHEN '{t}' THEN least(greatest(round_even(40 * {s}, 0), {a}), {b}, 40)" for t, (s, a, b) in {"Region": (0.10, 3, 12), "Part": (0.30, 10, 40), "Nation": (0.16, 4, 24), "*": (0.08, 2, 12)}.items() if t != "*") + " ELSE least(greatest(round_even(40 * 0.08, 0), 2), 12, 40) END AS BIGINT) AS cap FROM nodes GROUP BY 1")
+def kg_type_caps(spark, sf):
+    caps = graph.type_caps(40, {"Region": (0.10, 3, 12), "Part": (0.30, 10, 40), "Nation": (0.16, 4, 24), "*": (0.08, 2, 12)})
+    cap = F.coalesce(*(F.when(F.col("type") == t, F.lit(n)) for t, n in caps.items() if t != "*"), F.lit(caps["*"]))
+    return kg_nodes(spark, sf).groupBy("type").agg(F.count("*").alias("n_nodes")).select("type", "n_nodes", cap.cast("long").alias("cap"))
+
+
+@query(f"WITH {EDGES} SELECT src, dst, type FROM base WHERE type IN ('Nation-Region', 'Part-Supplier')")
+def kg_edges_of_types(spark, sf):
+    """The union of some types' edges."""
+    return graph.allowed_edges(kg_base_edges(spark, sf), ["Nation-Region", "Part-Supplier"])
+
+
+@query(f"WITH {MAPPED} SELECT gene_idx AS gctx_gene_index, CAST(gene_idx AS VARCHAR) AS entrez_id, e AS ensembl_norm, s AS gene_symbol, hgnc_num, CAST(CASE WHEN hgnc_num <> '' THEN hgnc_num ELSE '0' END AS BIGINT) AS hgnctoken FROM mapped JOIN (SELECT gene_idx, e, s FROM g) USING (gene_idx)")
+def gene_debug_table(spark, sf):
+    info = table(spark, sf, "part").select(F.col("p_partkey").alias("gctx_index"), F.col("p_partkey").cast("string").alias("entrez_id"))
+    mapped = genes.map_genes(gene_table(spark, sf), hgnc(spark, sf), "pos")
+    told = mapped.select(F.col("gene_idx").cast("string").alias("entrez_id"), text.ensembl_id(F.col("ensembl_id")).alias("ensembl_norm"), "gene_symbol", "hgnc_num", F.coalesce(F.nullif(F.col("hgnc_num"), F.lit("")).cast("long"), F.lit(0)).alias("hgnc_token"))
+    return datasets.gene_debug_table(info, told)
+
+
+@query("WITH s AS (SELECT DISTINCT c_mktsegment AS k, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS v FROM customer) SELECT '{' || string_agg('\"' || k || '\":' || v, ',' ORDER BY k) || '}' AS value FROM s")
+def json_object(spark, sf):
+    """A map of labels and ids as one JSON object."""
+    return sinks.json_object(columns.encode_sorted(table(spark, sf, "customer"), "c_mktsegment", "id").select("c_mktsegment", "id").distinct(), "c_mktsegment", "id")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS n FROM customer")
+def list_or_empty(spark, sf):
+    found = F.when(F.col("c_acctbal") > 0, F.array("c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", F.size(text.as_list(found)).cast("long").alias("n"))

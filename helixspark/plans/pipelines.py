@@ -38,7 +38,7 @@ def tokenize(expr: DataFrame, cells: DataFrame, gene_table: DataFrame, hgnc: Dat
     are asked for four times: with ``stage``, a folder that all executors share, they are written there once, and the
     expression table is scanned for variance and tokens only.
     """
-    mito = gene_table.where(F.col("gene_symbol").startswith(options.mito)).select("gene_idx")
+    mito = expression.mito_genes(gene_table, options.mito).select("gene_idx")
     kept = expression.filter_cells(expression.drop_doublets(expression.cell_metrics(expr, cells, mito)), **options.bounds)
     if options.stage:
         path = f"{options.stage.rstrip('/')}/cells-{uuid.uuid4().hex}"

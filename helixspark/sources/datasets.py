@@ -59,8 +59,7 @@ def _standard(df: DataFrame, column_map: Mapping[str, str], qc_col: str | None,
         df = columns.detect_metrics(df)
     else:
         df = df.withColumns({c: F.lit(None).cast("double") for c in METRIC_CANDIDATES})
-    # a literal stands where neither the map nor the table has values of its own
-    return columns.standardize(df.withColumns({c: F.lit(v) for c, v in literals.items() if c not in column_map and c not in df.columns}), dict(column_map))
+    return columns.with_literals(df, literals, dict(column_map))
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixspark.operators.atac import preview
 from helixspark.sources.tables import Source, exists
 
 
@@ -35,11 +36,15 @@ def vocabulary(vocab: DataFrame, path: str) -> None:
     json_map(vocab, "token_key", "token_id", path)
 
 
-def json_map(df: DataFrame, key: str, value: str, path: str) -> None:
-    """One JSON object of keys and values, for maps of genes, labels or domains, which are small; of equal keys the last value by order counts."""
+def json_object(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row with a JSON object of keys and values, for maps of genes, labels or domains, which are small; of equal keys the last value by order counts."""
     once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.max(value).alias("v"))
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v"))))
-    once.agg(F.to_json(entries, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return once.agg(F.to_json(entries, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def json_map(df: DataFrame, key: str, value: str, path: str) -> None:
+    json_object(df, key, value).coalesce(1).write.mode("overwrite").text(path)
 
 
 def gene_maps(genes: DataFrame, folder: str) -> None:
@@ -64,7 +69,7 @@ def gene_scores(scores: DataFrame, folder: str, top_n: int = 50) -> None:
     """Tab-separated text, Parquet, and a preview of the best as JSON."""
     tsv(scores, f"{folder}/gene_scores.tsv")
     scores.write.mode("overwrite").parquet(f"{folder}/gene_scores.parquet")
-    scores.orderBy("rank").limit(max(1, top_n)).coalesce(1).write.mode("overwrite").json(f"{folder}/summary.json")
+    preview(scores, top_n).orderBy("rank").coalesce(1).write.mode("overwrite").json(f"{folder}/summary.json")
 
 
 def append_json(df: DataFrame, path: str, attempt: str | None = None) -> bool:
