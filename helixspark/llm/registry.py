@@ -58,7 +58,8 @@ def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.write(_table(spark, sf_dir, "pages")).records().drop("payload", "url_key")
+    pages = _table(spark, sf_dir, "pages")
+    return warc.write(pages).lookup(pages).drop("payload", "url_key")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.llm.shared import new_path, staged
+from helixspark.operators.order import running
 
 #: Payloads shorter than this are always written whole.
 LEAST_SHARED = 100
@@ -28,7 +29,11 @@ _DATE = "2024-01-01T00:00:00Z"
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed and comma-joined, a bracket, then port, path and query, in lower case; "" for null. What can't be parsed is its own key."""
+    """Host labels reversed and comma-joined, a bracket, then port, path and query, in lower case; "" for null. What can't be parsed is its own key. Tabs, line ends and backslashes are escaped, so that keys sort as the index has them."""
+    return _url_key(url).replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n")
+
+
+def _url_key(url: str | None) -> str:
     if not url:
         return ""
     try:
@@ -99,12 +104,31 @@ class Archive:
         return self.directory.select("file", "offset", "length").repartition(n, "file", "offset").mapInArrow(_read_blocks, schema)
 
     def lookup(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
-        """Records of the given URLs. The keys' range decides which directory rows are joined; blocks are searched by bisection, then only matching records are read."""
-        wanted = urls.select(F.udf(url_key)(urls[url_col]).alias("want")).where("want <> ''").distinct()
-        d = self.directory
-        near = wanted.join(d, (F.col("want") >= F.col("first_key")) & (F.col("want") <= F.col("last_key"))).groupBy("file", "offset", "length").agg(F.sort_array(F.collect_set("want")).alias("want"))
+        """Records of the given URLs, a null one's too: every record of a key once, however often it is asked for.
+
+        Keys and the directory's first and last keys are put in one order by range; counts of blocks that begin and end before a key
+        give the blocks that can hold it, an equi-join by block number. Rows that ask for a block are dealt by (block, key) range, so
+        that many keys of one block are several tasks' work; a block is searched by bisection, then only matching records are read.
+        """
+        wanted = urls.select(urls[url_col].cast("string").alias("url")).mapInArrow(_keys, "want string").distinct()
+        point = lambda df, key, tie, *more: df.select(F.lit(0).alias("g"), F.col(key).alias("key"), F.lit(tie).alias("tie"), *more)
+        place = [F.col(c) for c in ("last_key", "file", "offset", "length")]
+        none = [F.lit("").alias("last_key"), F.lit("").alias("file"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length")]
+        first, last, asked = point(self.directory, "first_key", 0, *place), point(self.directory, "last_key", 2, *place), point(wanted, "want", 1, *none)
+        # begun blocks are counted in the lower half of a number, ended ones in the upper half
+        amount = F.when(F.col("tie") == 0, F.lit(1)).when(F.col("tie") == 2, F.lit(1 << 31)).otherwise(F.lit(0)).cast("long")
+        counted = running(first.unionByName(last).unionByName(asked).withColumn("n", amount), "g", ["key", "tie", "last_key", "file", "offset"], "n")
+        counted = staged(counted.select("key", "tie", "file", "offset", "length", F.col("total").bitwiseAND(F.lit((1 << 31) - 1)).alias("begun"), F.shiftright("total", 31).alias("ended")), "places")
+        blocks = counted.where("tie = 0").select((F.col("begun") - 1).alias("block"), "file", "offset", "length")
+        near = counted.where("tie = 1 and begun > ended").select(F.col("key").alias("want"), F.explode(F.sequence(F.col("ended"), F.col("begun") - 1)).alias("block"))
+        rows = near.join(blocks, "block").repartitionByRange("file", "offset", "want").sortWithinPartitions("file", "offset", "want")
         schema = "url_key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-        return near.mapInArrow(_read_blocks, schema)
+        return rows.select("file", "offset", "length", "want").mapInArrow(_read_blocks, schema)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], ["want"])
 
 
 _READ = pa.schema([("url_key", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -132,13 +156,13 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f.seek(offset)
         return f.read(length)
 
+    rows, held, block, whole = [], 0, None, []
     for b in batches:
         wanted = b.column("want").to_pylist() if "want" in b.schema.names else [None] * b.num_rows
-        for path, offset, length, keys in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length")), wanted, strict=True):
-            lines = zlib.decompress(get(path, offset, length), 31).split(b"\n")[:-1]
-            if keys is not None:
-                lines = [lines[i] for k in keys for i in search(lines, k)]
-            rows, held = [], 0
+        for path, offset, length, want in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length")), wanted, strict=True):
+            if block != (path, offset):  # rows that ask for one block stand together
+                block, whole = (path, offset), zlib.decompress(get(path, offset, length), 31).split(b"\n")[:-1]
+            lines = whole if want is None else [whole[i] for i in search(whole, want)]
             for key, rest in (line.split(b"\t", 1) for line in lines):
                 at = json.loads(rest)
                 r = parse(get(at["f"], at["o"], at["n"]))
@@ -146,11 +170,11 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise OSError(f"a record of {at['f']} at {at['o']} doesn't match its digest")
                 rows.append((key.decode(), r["page"], r["bytes"], r["digest"], r["type"], r["refers"], r["payload"]))
                 held += len(r["payload"] or b"")
-                if held > 8 << 20:
+                if held > 8 << 20 or len(rows) >= 4096:
                     yield _rows(rows)
                     rows, held = [], 0
-            if rows:
-                yield _rows(rows)
+    if rows:
+        yield _rows(rows)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -209,8 +233,7 @@ def write(pages: DataFrame, path: str | None = None, block_lines: int = 3000, le
                 fs, p = _open(name)
                 stream = fs.open_output_stream(p, compression=None)
             for key, file, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key = key.replace("\t", "%09").replace("\n", "%0a")
-                lines.append((key, key.encode("utf-8", "replace") + b"\t" + json.dumps({"f": file, "o": offset, "n": length}).encode()))
+                lines.append((key, key.encode() + b"\t" + json.dumps({"f": file, "o": offset, "n": length}).encode()))
                 if len(lines) == block_lines:
                     end()
         if lines:
