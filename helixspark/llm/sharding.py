@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -90,17 +92,40 @@ def _cuts(a: int, b: int, n: int) -> list[int]:
     return sorted({k for j in range(1, n + 1) if a < (k := a + (b - a) * j // (n + 1)) < b})
 
 
-def splitters(keys: DataFrame, total: int, rows: int, shards: int, tolerance: float, group: float, fan: int) -> list[int]:
-    """Keys at which shards 1, 2, ... begin: probes are refined until each is within tolerance of its goal.
+def fill(sizes: list[int], atoms: list[tuple[int, int]], total: int) -> tuple[dict[int, int], list[int]]:
+    """Shards of groups that stay whole (key, size), and the bytes of all others that each shard takes, so that shards come out level.
+
+    The largest group goes first, each to the shard with the fewest bytes, ties to the lower number; ``sizes`` are the shards' bytes so far.
+    """
+    loads, where = [(s, k) for k, s in enumerate(sizes)], {}
+    heapq.heapify(loads)
+    for key, size in sorted(atoms, key=lambda x: (-x[1], x[0])):
+        load, k = heapq.heappop(loads)
+        where[key] = k
+        heapq.heappush(loads, (load + size, k))
+    own = [load for load, _ in sorted(loads, key=lambda x: x[1])]
+    rest, order = total - sum(s for _, s in atoms), sorted(own)
+    level, n = 0.0, len(order)
+    for i in range(1, n + 1):  # the level of the i lowest, if it stays below the next one
+        level = (rest + sum(order[:i])) / i
+        if i == n or level <= order[i]:
+            break
+    want = [max(0.0, level - s) for s in own]
+    cuts = [round(sum(want[: k + 1])) for k in range(n)]
+    cuts[-1] = rest
+    return where, [y - x for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
+def splitters(keys: DataFrame, total: int, rows: int, goals: list[int], slack: int, group: int, fan: int) -> list[int]:
+    """Keys at which the bytes below reach the goals: probes are refined until each is within ``slack`` of its goal.
 
     Each round counts exact bytes below all probes; then every interval that holds an unmet goal gets ``fan`` more probes,
-    and all others lose theirs, so that there are as many as shards and ``fan`` allow, whatever the size of the table. A
-    goal is also met where its interval holds one row, one key, or equal texts of at most ``group`` of a shard.
+    and all others lose theirs, so that there are as many as goals and ``fan`` allow, whatever the size of the table. A
+    goal is also met where its interval holds one row, one key, or equal texts of at most ``group`` bytes.
     """
     h = Histogram(total, rows)
-    goals = [total * k // shards for k in range(1, shards)]
-    slack = max(1, int(tolerance * total / shards))
-    probes = [((1 << 64) * i // (shards * fan)) << 64 for i in range(1, shards * fan)]
+    n = (len(goals) + 1) * fan
+    probes = [((1 << 64) * i // n) << 64 for i in range(1, n)]
     while probes:
         h.add(keys, probes)
         todo = set()
@@ -108,7 +133,7 @@ def splitters(keys: DataFrame, total: int, rows: int, shards: int, tolerance: fl
             i = bisect.bisect_left(h.size, g)
             if i and min(h.size[i] - g, g - h.size[i - 1]) > slack and h.rows[i] - h.rows[i - 1] > 1:
                 a, b = h.keys[i - 1], h.keys[i]
-                if not (a & (_TOP - 1) == 0 and (b - 1 >> 64) == (a >> 64) and h.size[i] - h.size[i - 1] <= group * total / shards):
+                if not (a & (_TOP - 1) == 0 and (b - 1 >> 64) == (a >> 64) and h.size[i] - h.size[i - 1] <= group):
                     todo.add(i - 1)
         probes = [p for i in sorted(todo) for p in _cuts(h.keys[i], h.keys[i + 1], fan)]
         if probes:
@@ -122,20 +147,21 @@ def splitters(keys: DataFrame, total: int, rows: int, shards: int, tolerance: fl
     return [h.keys[i] for i in chosen[1:]]
 
 
-def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, group: float = 0.1, fan: int = 16, cell_rows: int = 50_000, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Put every row in one of ``shards`` shards of nearly equal bytes; equal texts stay together where they are at most ``group`` of a shard.
+def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, atom: float = 0.05, fan: int = 16, cell_rows: int = 50_000, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Put every row in one of ``shards`` shards of nearly equal bytes; equal texts stay together where they fit a shard.
 
-    A row weighs the UTF-8 bytes of its text and 16 more. The sort key is a hash of the text and then one of doc_id, so
-    any number of equal texts can still be cut: copies that hold a third of all bytes can't stay in one of 40 shards of
-    near equal sizes, so beyond ``group`` of a shard it is sizes that hold. Keys and sizes are written once; histogram
+    A row weighs the UTF-8 bytes of its text and 16 more. Groups of equal texts (a text that occurs once among them) above
+    ``atom`` of a shard, at most ``shards`` / ``atom`` of them, are placed whole, the largest first; all other rows are sorted by a hash of the text and then one of doc_id
+    and cut where shards come out level. Only a group larger than a shard is cut itself: it can't stay in one of
+    near equal sizes. Keys and sizes are written once; histogram
     rounds read only them, and send one row for each task and cell between probes. A shard's rows are dealt to cells of
     about ``cell_rows`` by hash; counts of cells, summed up in Spark, give each cell's first slot, and one exchange by cell
-    places all rows. Shard edges are within ``tolerance`` of a shard's bytes from their goals, or half of such a group, or
-    one row where rows are larger.
+    places all rows. Edges are within ``tolerance`` of a shard's bytes from their goals, or half of a group below ``atom``; shards
+    are level but for that, unless whole groups, or texts larger than a shard, fill some beyond the level.
 
     Returns doc_id, size, text_crc32 (null for a null text), law ("bytes"), shard, slot (from 0 in each shard, without
     gaps), grown_shard (null), and the columns of ``keep``. Null texts weigh 16 and are one group; null ids are allowed;
-    rows with equal id and text get neighbouring slots; an empty table gives an empty one.
+    rows with equal id and text get neighbouring slots where their group isn't cut; an empty table gives an empty one.
     """
     text = docs[text_col]
     hi = F.xxhash64(F.lit(seed), text)
@@ -146,16 +172,33 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, group: fl
     # signed words in the order of unsigned ones aren't needed: any fixed order will do, and numpy reads them unsigned
     keys = slim.select("hi", "lo", "size")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("size")).first()
-    edges = splitters(keys, total, rows, shards, tolerance, group, fan) if rows else []
+    slack = max(1, int(tolerance * total / shards))
+    limit = max(slack, int(atom * total / shards))
+    groups = slim.groupBy("hi").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(f"bytes > {limit} and (bytes * {shards} <= {total} or n = 1)")
+    atoms = [(r[0], r[1]) for r in groups.select("hi", "bytes").collect()]  # at most shards / atom
+    whole, share = fill([0] * shards, atoms, total)
+    if whole:
+        keys = keys.join(F.broadcast(groups.select("hi")), "hi", "left_anti")
+    left, cut_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("size")).first() if whole else (total, rows)
+    goals = list(accumulate(share))[:-1]
+    edges = splitters(keys, left, cut_rows, goals, slack, limit, fan) if cut_rows else [0] * (shards - 1)
     unique = sorted(set(edges))
     assign = _assign(unique)
     # equal edges leave the shards between them empty
     shard_of = np.array([0, *(bisect.bisect_right(edges, e) for e in unique)], np.int32)
     cells = max(1, -(-rows // (shards * cell_rows)))
 
+    atom_keys = np.array(sorted(whole), np.int64)
+    atom_shards = np.array([whole[k] for k in sorted(whole)], np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in assign(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of[b.column(0).to_numpy()]), *b.columns[1:]], ["shard", *b.schema.names[1:]])
+            own = shard_of[b.column(0).to_numpy()]
+            if len(atom_keys):
+                hi = b.column(1).to_numpy()
+                at = np.minimum(np.searchsorted(atom_keys, hi), len(atom_keys) - 1)
+                own = np.where(atom_keys[at] == hi, atom_shards[at], own)
+            yield pa.RecordBatch.from_arrays([pa.array(own), *b.columns[1:]], ["shard", *b.schema.names[1:]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
     placed = slim.mapInArrow(run, f"shard int, {fields}").withColumn("cell", F.pmod(F.xxhash64("hi", "lo"), F.lit(cells)))
