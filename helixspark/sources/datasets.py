@@ -102,6 +102,17 @@ def _shared(left: DataFrame, right: DataFrame) -> str | None:
     return next((c for c in left.columns[1:] if c in right.columns), None)
 
 
+def inspect_gctx(spark: SparkSession, matrix: str, geneinfo: str | None = None, siginfo: str | None = None, first: int = 10) -> dict:
+    """Shape and type of a signature set's matrix from its header, and columns and first ids of its tables."""
+    array = ranges.stored(matrix)
+    out: dict = {"shape": list(array.shape), "value_type": str(array.dtype)}
+    for name, path in (("genes", geneinfo), ("signatures", siginfo)):
+        if path:
+            table = tables.read_delimited(spark, path, "\t")
+            out[name] = {"columns": table.columns, "first": [r[0] for r in table.select(table.columns[0]).limit(first).collect()]}
+    return out
+
+
 def read_gctx(spark: SparkSession, matrix: str, siginfo: str, cellinfo: str, compoundinfo: str, geneinfo: str, out: str, version: str, column_map: Mapping[str, str] = {}, sig_id_col: str | None = None, qc_col: str | None = None, qc_val: object = "", cell_key: str | None = None, compound_key: str | None = None, literals: Mapping[str, str] = {}) -> Read:
     """A signature set's intermediates: signatures with the first cell line and compound of their keys, genes with their place in a row of the matrix.
 

@@ -85,22 +85,27 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of a MatrixMarket coordinate file, counted from 0; the size line is left out by its place in the file."""
     text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     lines = text.where("not startswith(line, '%') and trim(line) <> ''")
-    size = lines.agg(F.min(F.struct("block", "at", "line"))).first()[0]
+    first = lines.agg(F.min("block")).first()[0]
+    # the size line is the first one of its block; only that block's lines are put in order, within the scan that gives them
+    own = lines.where(F.col("block") == first).withColumn("n", F.row_number().over(W.partitionBy("block").orderBy("at")))
+    size = own.where("n = 1").select("line").first()
     if size is None or len(size["line"].split()) != 3:
         raise ValueError(f"no size of a coordinate matrix in {path}")
     part = lambda i: F.get(F.split(F.trim("line"), r"\s+"), F.lit(i))
-    return lines.where(F.col("at") != size["at"]).select((part(0).cast("long") - 1).alias("row"), (part(1).cast("long") - 1).alias("col"), part(2).cast("double").alias("value"))
+    entries = lines.where(F.col("block") != first).select("line").unionByName(own.where("n > 1").select("line"))
+    return entries.select((part(0).cast("long") - 1).alias("row"), (part(1).cast("long") - 1).alias("col"), part(2).cast("double").alias("value"))
 
 
 def in_file_order(scan: DataFrame, out: str = "pos") -> DataFrame:
     """Adds row numbers from 0 in the order of files and of places in them, to a DataFrame as the reader gave it.
 
-    Rows of a block of a file follow each other in a task; counts of blocks, a small table, give each block's first number.
+    Rows are numbered in each block of a file, as large as a split at most; counts of blocks, a small table, give each block's first number.
     """
     own = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    blocks = own.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_at").alias("_low"))
+    blocks = own.groupBy("_file", "_block").agg(F.count("*").alias("_rows"))
     first = blocks.withColumn("_first", F.sum("_rows").over(W.orderBy("_file", "_block")) - F.col("_rows")).drop("_rows")
-    return own.join(first, ["_file", "_block"]).withColumn(out, F.col("_first") + F.col("_at") - F.col("_low")).drop("_file", "_block", "_at", "_low", "_first")
+    inside = own.withColumn("_n", F.row_number().over(W.partitionBy("_file", "_block").orderBy("_at")) - 1)
+    return inside.join(first, ["_file", "_block"]).withColumn(out, F.col("_first") + F.col("_n")).drop("_file", "_block", "_at", "_n", "_first")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

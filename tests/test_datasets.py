@@ -88,6 +88,8 @@ def test_signature_set(spark, tmp_path):
     (tmp_path / "cmpd.txt").write_text("pert_id\tcmap_name\np0\taspirin\np1\tb\np1\tc\n")
     (tmp_path / "gene.txt").write_text("gene_id\tgene_symbol\tensembl_id\n" + "".join(f"{100 + i}\tG{i}\tE{i}\n" for i in range(40)))
     path = lambda n: str(tmp_path / n)
+    told = datasets.inspect_gctx(spark, path("m.npy"), path("gene.txt"), path("sig.txt"), 2)
+    assert told["shape"] == [30, 40] and told["value_type"] == "float32" and told["genes"] == {"columns": ["gene_id", "gene_symbol", "ensembl_id"], "first": ["100", "101"]} and told["signatures"]["first"] == ["s0", "s1"]
     read = datasets.read_gctx(spark, path("m.npy"), path("sig.txt"), path("cell.txt"), path("cmpd.txt"), path("gene.txt"), path("out"), "v1", {"tissue": "lineage", "drug": "cmap_name"}, qc_col="ok", qc_val="1", literals=datasets.SIGNATURE_LITERALS)
     rows = read.cells.orderBy("row").collect()
     assert [(r.sample_id, r.qc_pass, r.tissue, r.drug, r.region, r.perturbType, r.n_genes) for r in rows[:3]] == [("s0", False, "lung", "aspirin", "none", "", None), ("s1", True, "skin", "b", "none", "", None), ("s2", False, None, None, "none", "", None)]
