@@ -103,12 +103,12 @@ class Archive:
         schema = "url_key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
         return self.directory.select("file", "offset", "length").repartition(n, "file", "offset").mapInArrow(_read_blocks, schema)
 
-    def lookup(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    def lookup(self, urls: DataFrame, url_col: str = "url", task_keys: int = 5000) -> DataFrame:
         """Records of the given URLs, a null one's too: every record of a key once, however often it is asked for.
 
         Keys and the directory's first and last keys are put in one order by range; counts of blocks that begin and end before a key
         give the blocks that can hold it, an equi-join by block number. Rows that ask for a block are dealt by (block, key) range, so
-        that many keys of one block are several tasks' work; a block is searched by bisection, then only matching records are read.
+        that many keys of one block are several tasks' work, about ``task_keys`` each; a block is searched by bisection, then only matching records are read.
         """
         wanted = urls.select(urls[url_col].cast("string").alias("url")).mapInArrow(_keys, "want string").distinct()
         point = lambda df, key, tie, *more: df.select(F.lit(0).alias("g"), F.col(key).alias("key"), F.lit(tie).alias("tie"), *more)
@@ -121,7 +121,9 @@ class Archive:
         counted = staged(counted.select("key", "tie", "file", "offset", "length", F.col("total").bitwiseAND(F.lit((1 << 31) - 1)).alias("begun"), F.shiftright("total", 31).alias("ended")), "places")
         blocks = counted.where("tie = 0").select((F.col("begun") - 1).alias("block"), "file", "offset", "length")
         near = counted.where("tie = 1 and begun > ended").select(F.col("key").alias("want"), F.explode(F.sequence(F.col("ended"), F.col("begun") - 1)).alias("block"))
-        rows = near.join(blocks, "block").repartitionByRange("file", "offset", "want").sortWithinPartitions("file", "offset", "want")
+        # rows are small, but each stands for records to be read: their number decides how many tasks there are
+        parts = max(1, -(-counted.where("tie = 1").count() // task_keys))
+        rows = near.join(blocks, "block").repartitionByRange(parts, "file", "offset", "want").sortWithinPartitions("file", "offset", "want")
         schema = "url_key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
         return rows.select("file", "offset", "length", "want").mapInArrow(_read_blocks, schema)
 
