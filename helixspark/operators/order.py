@@ -66,18 +66,21 @@ def _inside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(once) if few else once, "g").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
 
 
-def running(df: DataFrame, by: str, order: Sequence[str], amount: str, follows: str | None = None) -> DataFrame:
+def running(df: DataFrame, by: str, order: Sequence[str], amount: str | Sequence[str], follows: str | None = None) -> DataFrame:
     """Adds ``total``, the sum of ``amount`` over a group's rows up to this one, and ``next``, the following row's ``follows``.
 
-    Rows are dealt by range of (by, order); sums and first rows of each (range, group), one row for each range that a group meets,
-    give what comes before and after. A group can span all tasks. (by, order) must tell rows apart.
+    Of several amounts the sums are named total_ and the amount. Rows are dealt by range of (by, order); sums and first rows of each
+    (range, group), one row for each range that a group meets, give what comes before and after. A group can span all tasks.
+    (by, order) must tell rows apart.
     """
+    sums = {amount: "total"} if isinstance(amount, str) else {a: f"total_{a}" for a in amount}
     dealt = staged(df.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()), "ordered")
     inside = W.partitionBy("_part", by).orderBy(*order)
     after = F.col(follows) if follows else F.lit(None).cast("double")
-    own = dealt.withColumn("_sum", F.sum(amount).over(inside)).withColumn("_next", F.lead(after).over(inside))
-    parts = dealt.groupBy("_part", by).agg(F.sum(amount).alias("_all"), F.min_by(after, F.struct(*order)).alias("_first"))
+    own = dealt.withColumns({f"_sum_{a}": F.sum(a).over(inside) for a in sums} | {"_next": F.lead(after).over(inside)})
+    parts = dealt.groupBy("_part", by).agg(*(F.sum(a).alias(f"_all_{a}") for a in sums), F.min_by(after, F.struct(*order)).alias("_first"))
     across = W.partitionBy(by).orderBy("_part")
-    parts = parts.select("_part", by, F.coalesce(F.sum("_all").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(across).alias("_then"))
-    out = own.join(parts, ["_part", by]).withColumn("total", F.col("_sum") + F.col("_before")).withColumn("next", F.coalesce("_next", "_then"))
-    return out.drop("_part", "_sum", "_next", "_before", "_then")
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("_part", by, *(F.coalesce(F.sum(f"_all_{a}").over(earlier), F.lit(0)).alias(f"_before_{a}") for a in sums), F.lead("_first").over(across).alias("_then"))
+    out = own.join(parts, ["_part", by]).withColumns({total: F.col(f"_sum_{a}") + F.col(f"_before_{a}") for a, total in sums.items()} | {"next": F.coalesce("_next", "_then")})
+    return out.select(*df.columns, *sums.values(), "next")
