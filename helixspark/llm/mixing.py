@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixspark.llm.shared import fresh, staged
+from helixspark.operators.order import running
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,17 +25,17 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``share`` times all sizes; none gets more
     than ``most`` times its size, and the excess goes to the others by weight until none is above. In closed form: in the
     order of size over weight, the sources before some place are full, and the rest share what is left by weight; that
-    place gives the highest level that holds. One row
-    a source, so the windows here read as many rows as there are sources.
+    place gives the highest level that holds. Places and sums up to a source come from ranges of sources, so that there may be as
+    many as web hosts.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    up = W.orderBy(F.col("cap") / F.col("weight"), F.col("n"))
-    rest = up.rowsBetween(W.currentRow, W.unboundedFollowing)
-    before = up.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    ranked = sizes.withColumn("n", F.row_number().over(order)).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("n") - 1) % len(weights) + 1)).withColumn("cap", F.col("source_size") * float(most))
-    level = (F.sum("source_size").over(every) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    found = ranked.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+    listed = sizes.withColumns({"_g": F.lit(0), "_null": F.col("source").isNull().cast("int"), "_one": F.lit(1).cast("long")})
+    ranked = running(listed, "_g", ["_null", "source"], "_one").withColumnRenamed("total", "n")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.col("n") - 1) % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(most))
+    up = running(ranked.select("_g", "source", "source_size", "n", "weight", "cap", (F.col("cap") / F.col("weight")).alias("_full")), "_g", ["_full", "n"], ["cap", "weight"])
+    all_ = up.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))
+    level = (F.col("_size") * float(share) - (F.col("total_cap") - F.col("cap"))) / (F.col("_weight") - (F.col("total_weight") - F.col("weight")))
+    best = up.join(F.broadcast(all_)).withColumn("level", level).agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).alias("level"))
+    found = up.join(F.broadcast(best))  # one row
     return found.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 

@@ -30,6 +30,8 @@ GAZETTEER = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey"
 FORMATS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{12,}|gh[a-z]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,})$"
 #: Characters before a candidate that labelers see.
 CONTEXT = 24
+#: Characters of the shortest candidate.
+LEAST = 8
 LABELERS = 4
 FEATURES = (4, 4, 3, 3)  # sizes of the enumerations in _features
 BLOCK = 256
@@ -47,15 +49,20 @@ def running(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, starts, lambda x, p: F.aggregate(x, at(p), add)["a"]))).otherwise(none)
 
 
-def _found(df: DataFrame, kind: str, pattern: str, guard: Column, p: str) -> DataFrame:
-    """Adds column ``<p><kind>``: array of (s, e, v, l, r): start, end, match, and what stands left and right of it. Helper columns start with ``p``."""
+def _found(df: DataFrame, kind: str, pattern: str, guard: Column, p: str, labelled: bool = False) -> DataFrame:
+    """Adds column ``<p><kind>``: array of (s, e, v), and if ``labelled`` (l, r): start, end, match, and what stands left and right of it. Helper columns start with ``p``."""
     text = F.col(f"{p}text")
     hits, gaps, ends = (f"{p}{x}" for x in ("hits", "gaps", "ends"))
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     df = df.withColumn(hits, F.when(guard, hit).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(ends, F.when(F.size(hits) > 0, running(F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: (F.length(m) + F.length(g)).cast("long")))).otherwise(F.array().cast("array<bigint>")))
-    at = F.transform(hits, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("s"), F.get(ends, i).alias("e"), m.alias("v"), F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT))).alias("l"), F.left(F.get(gaps, i + 1), F.lit(2)).alias("r")))
+    tail = lambda x: F.right(F.coalesce(x, F.lit("")), F.lit(CONTEXT))
+    # what stands left of a match is the gap before it, the match before that, and so on, as many as have CONTEXT characters for sure
+    left = lambda i: tail(F.concat(*(tail(F.get(x, i - back)) for back in range(-(-CONTEXT // LEAST), 0, -1) for x in (gaps, hits)), tail(F.get(gaps, i))))
+    right = lambda i: F.left(F.concat(F.left(F.get(gaps, i + 1), F.lit(2)), F.coalesce(F.left(F.get(hits, i + 1), F.lit(2)), F.lit(""))), F.lit(2))
+    both = {"l": lambda i: F.lower(left(i)), "r": right} if labelled else {}
+    at = F.transform(hits, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("s"), F.get(ends, i).alias("e"), m.alias("v"), *(f(i).alias(k) for k, f in both.items())))
     return df.withColumn(f"{p}{kind}", at).drop(hits, gaps, ends)
 
 
@@ -154,10 +161,10 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     digit = F.regexp_like(f"{p}text", F.lit("[0-9]"))
     some = docs.withColumn(f"{p}text", text)
     # an inner explode would add a filter that holds the whole expression of the array, many times
-    seen = _found(some.select(f"{p}text"), "secret", EXTRA["secret"], digit, p).select(F.explode_outer(f"{p}secret").alias("c")).where("c is not null")
+    seen = _found(some.select(f"{p}text"), "secret", EXTRA["secret"], digit, p, True).select(F.explode_outer(f"{p}secret").alias("c")).where("c is not null")
     model = fit(staged(seen, "candidates"))
     for kind, pattern in (BASE | EXTRA).items():
-        some = _found(some, kind, pattern, {"email": F.contains(f"{p}text", F.lit("@")), "phone": F.contains(f"{p}text", F.lit("+"))}.get(kind, digit), p)
+        some = _found(some, kind, pattern, {"email": F.contains(f"{p}text", F.lit("@")), "phone": F.contains(f"{p}text", F.lit("+"))}.get(kind, digit), p, kind in EXTRA)
     span = lambda k: lambda c: F.struct(F.lit(k).alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
     valid = lambda kind: lambda c: _valid(kind, c["v"])
     parts = [F.transform(F.filter(f"{p}{kind}", valid(kind)), span(k)) for k, kind in enumerate(BASE)]
