@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixspark.llm import vectors as V
+from helixspark.llm.shared import staged
+from helixspark.llm.textkit import list_parts
 
 #: Greedy centres of a node's cover; points that none of them reaches go to their nearest.
 CENTRES = 64
@@ -148,11 +154,52 @@ def dual_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best, lea
     return computed / max(1, len(q) * len(x))
 
 
-def top_products(table: DataFrame, queries: Column, k: int = 5, block_rows: int = 16384, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
+class Cells:
+    """Centres of blocks, by length of vectors: the leaves of a cover tree over drawn rows. What lies in a block and how far is found by all rows."""
+
+    def __init__(self, drawn: pa.Table, cells: int):
+        self.centres: dict[int, np.ndarray] = {}
+        vectors = drawn.column("vector").to_pylist()
+        for dim in sorted({len(v) for v in vectors}):
+            own = np.array([v for v in vectors if len(v) == dim], np.float64)
+            tree = CoverTree(own, max(1, len(own) // cells))
+            self.centres[dim] = own[tree.centre[tree.leaves]]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row, and a bound of the distance to it; rows of a length that wasn't drawn are in cell -1."""
+        c = self.centres.get(x.shape[1])
+        if c is None:
+            return np.full(len(x), -1), np.full(len(x), np.inf)
+        cell = np.concatenate([((c * c).sum(axis=1) - 2 * x[a : a + 1024] @ c.T).argmin(axis=1) for a in range(0, len(x), 1024)])
+        return cell, np.sqrt(((x - c[cell]) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-9
+
+    def bounds(self, q: np.ndarray, cells: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """No product of a query (row) with a vector of a cell (column) is above this."""
+        c = self.centres.get(q.shape[1])
+        if c is None:
+            return np.full((len(q), len(cells)), np.inf)
+        c, size = c[cells], np.sqrt((q * q).sum(axis=1))
+        return q @ c.T + (size[:, None] * radius) * (1 + 1e-9) + 1e-6 + 1e-9 * size[:, None] * np.sqrt((c * c).sum(axis=1))
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors) of a batch's rows of each length."""
+    offsets, values = list_parts(batch.column("vector"))
+    n, flat = np.diff(offsets), values.to_numpy(zero_copy_only=False).astype(np.float64)
+    for dim in np.unique(n).tolist():
+        at = np.flatnonzero(n == dim)
+        yield at, flat[offsets[at][:, None] + np.arange(dim)]
+
+
+def top_products(table: DataFrame, queries: Column, k: int = 5, block_rows: int = 16384, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "vector", drawn: int = 16384, told: dict | None = None) -> DataFrame:
     """Each query's k highest inner products, exactly: (query_id, rank, vec_id, score) over vectors of whole numbers.
 
-    In each pair of blocks, a cover tree of the queries and one of the data are searched together. Products are whole
-    numbers; those that 64 bits can't hold are shown as the nearest that they can. Vectors that are null or empty or hold
+    A table beyond ``block_rows`` is cut into blocks about the leaves of a cover tree of ``drawn`` rows, a block's radius being that of
+    all its rows. A query first meets the block whose centre promises most, and then, with its kth score from there, only those
+    blocks whose centre and radius don't rule it out; rows of other blocks aren't sent. In each pair of blocks, a cover tree of the
+    queries and one of the data are searched together. ``told`` gets share, the part of all pairs of a query and a row that were sent.
+
+    Products are whole numbers; those that 64 bits can't hold are shown as the nearest that they can. Vectors that are null or empty or hold
     null or non-finite components take no part, nor do null ids; lengths are searched apart; a query's own id is no
     candidate (nor are other rows with this id); ties go to smaller ids; repeated rows count once; fewer than k candidates
     give fewer rows; an empty table gives none; other columns are not read.
@@ -166,4 +213,79 @@ def top_products(table: DataFrame, queries: Column, k: int = 5, block_rows: int
         dual_search(q, x, ids, best)
         return best.table()
 
-    return V.search(rows, queries, k, block_rows, query_rows, find, "long")
+    n = rows.count()
+    if n <= block_rows:
+        return V.search(rows, queries, k, block_rows, query_rows, find, "long")
+    data, asked = V.few_copies(rows, k), V.questions(rows, queries)
+    cells = Cells(data.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(drawn).select("vector").toArrow(), -(-4 * n // block_rows))
+    kind = rows.schema["vector"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, x in _by_length(b):
+                cell, far = cells.place(x)
+                some = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array(far)], ["id", "vector", "dim", "cell", "far"])
+
+    placed = staged(data.mapInArrow(place, f"id long, vector {kind}, dim int, cell int, far double"), "placed")
+    blocks: dict[int, list[tuple[int, int, float]]] = {}
+    for r in placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect():  # as many as centres, at most
+        blocks.setdefault(r["dim"], []).append((r["cell"], r["n"], r["radius"]))
+
+    def to_blocks(first: bool):
+        """Rows for each query and block: the block that promises most; or all others that its kth score doesn't rule out."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, q in _by_length(b):
+                    known = sorted(blocks.get(q.shape[1], []))
+                    if not known:
+                        continue
+                    cell, radius = np.array([c for c, _, _ in known]), np.array([r for *_, r in known])
+                    bound = cells.bounds(q, cell, radius)
+                    home = cells.bounds(q, cell, np.zeros(len(cell))).argmax(axis=1)
+                    if first:
+                        want = np.zeros(bound.shape, bool)
+                        want[np.arange(len(q)), home] = True
+                    else:
+                        kth = b.column("kth").take(pa.array(at))
+                        limit = np.where(kth.is_null().to_numpy(zero_copy_only=False), -np.inf, pc.fill_null(kth, 0).to_numpy().astype(np.float64))
+                        want = bound * (1 + 1e-12 * np.sign(bound)) >= limit[:, None]
+                        want[np.arange(len(q)), home] = False
+                    i, j = np.nonzero(want)
+                    some = b.take(pa.array(at[i]))
+                    yield pa.RecordBatch.from_arrays([some.column("id"), some.column("vector"), pa.array(np.full(len(i), q.shape[1], np.int32)), pa.array(cell[j].astype(np.int32))], ["id", "vector", "dim", "cell"])
+
+        return run
+
+    def meet(sent: DataFrame) -> DataFrame:
+        """Scores of queries in the blocks that they are sent to; blocks are dealt in parts of ``block_rows``, queries in groups of ``query_rows``."""
+        asked_of = {(r["dim"], r["cell"]): r["n"] for r in sent.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
+        size = {(d, c): m for d, own in blocks.items() for c, m, _ in own}
+        if told is not None:
+            told["pairs"] = told.get("pairs", 0) + sum(m * size[key] for key, m in asked_of.items())
+        plan = [(*key, -(-size[key] // block_rows), -(-m // query_rows)) for key, m in asked_of.items()]
+        parts = F.broadcast(sent.sparkSession.createDataFrame(plan, "dim int, cell int, parts int, groups int"))
+        deal = lambda seed, most: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(most)).cast("int")
+        every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+        left = sent.join(parts, ["dim", "cell"]).select("id", "vector", "dim", "cell", deal(3, "groups").alias("g"), every("parts").alias("b"))
+        right = placed.join(parts, ["dim", "cell"]).select("id", "vector", "dim", "cell", deal(5, "parts").alias("b"), every("groups").alias("g"))
+
+        def run(one: pa.Table, other: pa.Table) -> pa.Table:
+            if not one.num_rows or not other.num_rows:
+                return pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]).empty_table()
+            return find(one, other)
+
+        return staged(left.groupBy("dim", "cell", "g", "b").cogroup(right.groupBy("dim", "cell", "g", "b")).applyInArrow(run, "query_id long, vec_id long, score long"), "products")
+
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    asked = staged(asked, "asked")
+    sent_kind = f"id long, vector {kind}, dim int, cell int"
+    near = meet(staged(asked.mapInArrow(to_blocks(True), sent_kind), "sent"))
+    kth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    more = staged(asked.join(kth, "id", "left").mapInArrow(to_blocks(False), sent_kind), "sent")
+    # rows of one id can lie in several blocks: the best of them answers
+    found = near.unionByName(meet(more)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    if told is not None:
+        told["share"] = told.pop("pairs") / max(1, asked.count() * placed.count())
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
