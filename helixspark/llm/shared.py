@@ -1,39 +1,16 @@
-"""The folder that all executors and the driver share, and tables kept in it."""
+"""What the operators share: tables kept in the shared folder, filters, and joins with values that many rows hold."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the filter in ``likely``; it is sent to executors (8 MB at most).
-FILTER_BITS = 1 << 26
-_own: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and Spark runs in this process (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="helixspark-")
-    return _own[app]
+from helixspark.sources.staging import Stage, new_path, remove, shared_dir, staged
 
+__all__ = ["Stage", "fresh", "likely", "meet", "new_path", "release", "remove", "shared_dir", "staged"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/helixspark-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
+#: Bits of the filter in ``likely``; it is sent to executors (8 MB at most).
+FILTER_BITS = 1 << 26
 
 
 def fresh(columns: list[str]) -> str:
@@ -44,37 +21,6 @@ def fresh(columns: list[str]) -> str:
     return prefix
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            continue
-
-
-class Stage:
-    """A DataFrame written as Parquet in the shared folder: cuts lineage, survives lost executors, is computed once."""
-
-    def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
-        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.option("compression", codec).parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    return Stage(df, name, codec).df
-
-
 def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in ``wanted``, and few others, without a shuffle: a filter of FILTER_BITS bits is all that is sent to executors. Null keys go."""
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
