@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm import textkit
-from helixspark.llm.shared import Stage, likely, release, staged
+from helixspark.llm.shared import Stage, likely, new_path, release, staged
+from helixspark.sources.ranges import open_uri
 
 #: Grams are 64-bit integers of so many symbols, BITS each: EDGE stands before a text's start, UNKNOWN for all characters
 #: that aren't among the KNOWN most frequent ones of trusted text, the others for one character each.
@@ -74,55 +74,42 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield a, pc.fill_null(texts.slice(a, z - a), "").to_pylist()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows (doc_id, text, ...) of a partition as blocks, each named by the ids and lengths of its texts in their order."""
-    part, number = TaskContext.get().partitionId(), 0
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (doc_id, text, ...) of a partition as blocks."""
     held, size = [], 0
-
-    def made() -> tuple[int, pa.Table]:
-        rows = pa.Table.from_batches(held)
-        name = xxhash.xxh3_64(f"{part} {number}")
-        for column, null in ((rows["doc_id"], -1), (pc.binary_length(rows["text"]), -1)):
-            name.update(np.ascontiguousarray(pc.fill_null(column.cast(pa.int64()), null).to_numpy()).tobytes())
-        return name.intdigest() >> 1, rows
-
     for b in batches:
         start = 0
         for i, n in enumerate(pc.fill_null(pc.utf8_length(b["text"]), 0).to_pylist()):
             if size and size + n > BLOCK:
                 if i > start:
                     held.append(b.slice(start, i - start))
-                yield made()
-                number, held, size, start = number + 1, [], 0, i
+                yield pa.Table.from_batches(held)
+                held, size, start = [], 0, i
             size += n
         if start < b.num_rows:
             held.append(b.slice(start))
     if held:
-        yield made()
+        yield pa.Table.from_batches(held)
 
 
-def _asked(symbols: Symbols):
-    """Blocks and their distinct grams."""
+def _asked(symbols: Symbols, folder: str):
+    """Writes each block's rows, compressed, to a file of its own in the shared folder; gives the file's name and the block's distinct grams. An attempt that is lost leaves files that nothing names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _cut(batches):
+        for rows in _cut(batches):
             seen = Grams(symbols)
             for _, texts in _parts(rows["text"].combine_chunks()):
                 seen.add(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(seen.grams)], pa.int32()), pa.array(seen.grams))], ["block", "grams"])
+            system, base = open_uri(folder)
+            name = f"{uuid.uuid4().hex}.block"
+            system.create_dir(base)
+            with system.open_output_stream(f"{base}/{name}", compression=None) as out, pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+                writer.write_table(rows.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(seen.grams)], pa.int32()), pa.array(seen.grams))], ["block", "grams"])
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks and their rows, compressed."""
-    for block, rows in _cut(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
-            writer.write_table(rows.combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
-
-
 def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Code points of texts and their counts."""
     total = np.zeros(0x110000, np.int64)
@@ -149,13 +136,13 @@ def _counted(symbols: Symbols):
     return run
 
 
-def _score(symbols: Symbols):
+def _score(symbols: Symbols, folder: str):
     """Rows of a block with the number of characters and the perplexity in place of the text."""
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
-        rows = pa.ipc.open_stream(block["rows"][0].as_buffer()).read_all().combine_chunks()
+        system, base = open_uri(folder)
+        with system.open_input_file(f"{base}/{block['name'][0].as_py()}") as file:
+            rows = pa.ipc.open_stream(file).read_all().combine_chunks()
         order = np.argsort(known["gram"].to_numpy(), kind="stable")
         grams, log_p = known["gram"].to_numpy()[order], known["log_p"].to_numpy()[order].astype(np.float64)
         n, mean = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
@@ -166,7 +153,7 @@ def _score(symbols: Symbols):
             if len(ends):
                 at = np.minimum(np.searchsorted(grams, ends), len(grams) - 1)
                 if not len(grams) or (grams[at] != ends).any():
-                    raise RuntimeError("a table gave other rows, or in another order, when it was read again; write it first")
+                    raise RuntimeError(f"grams of {block['name'][0].as_py()} lack a probability")
                 sums = np.concatenate(([0.0], np.cumsum(log_p[at])))
                 mean[part] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n[part], 1)
         out = {"doc_id": rows["doc_id"], "n_chars": pa.array(n), "perplexity": pa.array(np.exp(-mean), mask=n == 0)}
@@ -242,10 +229,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
     Trusted texts alone are joined with the ids and staged; their KNOWN most frequent characters have symbols of their own.
     Documents are cut into blocks of 32 million characters;
     every distinct gram of the corpus gets its probability by joins on grams, and a block asks for each of its own once.
-    Then documents are read again, their blocks shuffled, compressed, to the answers and summed there, so that texts are on
-    disk once. Counts, model and answers are sharded by gram and grow with the corpus; only a filter of fixed size is
-    broadcast. ``docs`` must give the same rows in the same order when read again, as files do; else an error is
-    raised. Perplexity is null for a null or empty text.
+    The blocks' texts are written, compressed, when their grams are taken, and read from there where their answers meet, so that
+    documents are read once besides the trusted ones and may come in any order. Counts, model and answers are sharded by gram and
+    grow with the corpus; only a filter of fixed size is
+    broadcast. Perplexity is null for a null or empty text.
     """
     kept = [docs[c].alias(c) for c in keep]
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *kept)
@@ -255,7 +242,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
     known = good.mapInArrow(_characters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "code").limit(KNOWN).collect()
     symbols = Symbols([r["code"] for r in known])
     counts = good.mapInArrow(_counted(symbols), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    asked = staged(slim.mapInArrow(_asked(symbols), "block long, grams array<long>"), "asked").select("block", F.explode("grams").alias("gram"))
+    folder = new_path(docs.sparkSession, "blocks")
+    blocks = staged(slim.mapInArrow(_asked(symbols, folder), "block string, grams array<long>"), "asked")
+    asked = blocks.select("block", F.explode("grams").alias("gram"))
     grams = Stage(asked.select("gram").distinct(), "grams")
     made.append(grams)
     p = staged(probabilities(estimate(counts, made), grams.df, made), "probabilities")
@@ -263,9 +252,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("
         table.drop()
     release(docs.sparkSession)
     answers = asked.join(p.hint("merge"), "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
-    rows = slim.mapInArrow(_packed, "block long, rows binary")
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(symbols), f"doc_id long, n_chars long, perplexity double{extra}")
+    return blocks.select(F.col("block").alias("name")).groupBy("name").cogroup(answers.groupBy("block")).applyInArrow(_score(symbols, folder), f"doc_id long, n_chars long, perplexity double{extra}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1, folds: int = 5, pull: float = 200.0) -> DataFrame:
