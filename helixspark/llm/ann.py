@@ -54,30 +54,34 @@ class KdTree:
             node = 2 * node + (points[np.arange(len(points)), self.axis[node]] >= self.split[node])
         return node - (1 << self.levels)
 
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of each query to each cell, from node to node: a split adds what lies between the query and it."""
-        out, gaps = np.zeros((len(q), 1)), np.zeros((len(q), 1, q.shape[1]))
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest coordinates of each cell, (cells, axes)."""
+        dims = int(self.axis.max(initial=0)) + 1
+        low, high = np.full((1, dims), -np.inf), np.full((1, dims), np.inf)
         for level in range(self.levels):
             nodes = np.arange(1 << level, 2 << level)
-            axis, away = self.axis[nodes], q[:, self.axis[nodes]] - self.split[nodes]
-            old = np.take_along_axis(gaps, np.broadcast_to(axis[None, :, None], (*out.shape, 1)), 2)[:, :, 0]
-            sides = []
-            for gap in (np.maximum(away, 0), np.maximum(-away, 0)):
-                new = np.maximum(old, gap)
-                own = gaps.copy()
-                np.put_along_axis(own, np.broadcast_to(axis[None, :, None], (*out.shape, 1)), new[:, :, None], 2)
-                sides.append((out + new**2 - old**2, own))
-            out = np.stack([d for d, _ in sides], axis=2).reshape(len(q), -1)
-            gaps = np.stack([g for _, g in sides], axis=2).reshape(len(q), -1, q.shape[1])
+            low, high = np.repeat(low, 2, axis=0), np.repeat(high, 2, axis=0)
+            left, right = 2 * np.arange(len(nodes)), 2 * np.arange(len(nodes)) + 1
+            high[left, self.axis[nodes]] = np.minimum(high[left, self.axis[nodes]], self.split[nodes])
+            low[right, self.axis[nodes]] = np.maximum(low[right, self.axis[nodes]], self.split[nodes])
+        return low, high
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each query to each cell, one axis after another."""
+        low, high = self.boxes()
+        out = np.zeros((len(q), len(low)))
+        for d in range(low.shape[1]):
+            gap = np.maximum(low[:, d] - q[:, d, None], q[:, d, None] - high[:, d])
+            out += np.maximum(gap, 0, out=gap) ** 2
         return out
 
 
 def verify(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best, dims: int, sure: float, seed: int, leaf: int = 32) -> float:
     """Fill ``best`` with cosines of unit vectors of one block; returns the share of pairs that were verified.
 
-    Every query verifies its nearest leaf of the block's projected kd-tree. Then leaves are opened, those that most queries
-    are near to first, for the queries that the chi-square test, on their kth best so far, doesn't stop before the
-    leaf; and of an opened leaf only those points are verified that the test doesn't stop before.
+    Every query meets the leaves of the block's projected kd-tree in its own order, the nearest first, as an incremental search
+    does, in steps of 1, 1, 2, 4 and so on leaves; before each step the chi-square test, on its kth best so far, stops it or lets it
+    go on, and bounds which leaves of the step it still meets. Of a leaf only those points are verified that the test doesn't stop before.
     """
     base, far = directions(q.shape[1], dims, seed), reach_of(sure, dims)
     pq, px = q @ base, x @ base
@@ -87,7 +91,6 @@ def verify(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best, dims: in
     at = np.searchsorted(cells[order], np.arange((1 << tree.levels) + 1))
     gaps, q2, x2 = tree.distances(pq), (pq**2).sum(axis=1), (px**2).sum(axis=1)
     gaps[:, np.diff(at) == 0] = np.inf
-    done = np.zeros(gaps.shape, bool)
     verified = 0
 
     def meet(rows: np.ndarray, cell: int, limit: np.ndarray) -> None:
@@ -97,18 +100,21 @@ def verify(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: V.Best, dims: in
         score = np.full((len(rows), len(own)), -np.inf)
         score[a, b] = np.einsum("ij,ij->i", q[rows[a]], x[own[b]])
         best.add(rows, score, ids[own])
-        done[rows, cell] = True
         verified += len(a)
 
-    first = gaps.argmin(axis=1)
-    for cell in np.unique(first).tolist():
-        meet(rows := np.flatnonzero(first == cell), cell, np.full(len(rows), np.inf))
-    for cell in np.argsort(gaps.mean(axis=0), kind="stable").tolist():
-        kth = best.worst()
+    own = np.argsort(gaps, axis=1, kind="stable")
+    rows, place, step = np.arange(len(q)), 0, 1
+    while len(rows) and place < own.shape[1]:
+        kth = best.worst()[rows]
         limit = np.where(np.isfinite(kth), far * np.maximum(2 - 2 * kth, 1e-12), np.inf)
-        rows = np.flatnonzero((gaps[:, cell] < limit) & ~done[:, cell])
-        if len(rows):
-            meet(rows, cell, limit[rows])
+        near = np.take_along_axis(gaps[rows], own[rows, place : place + step], 1)
+        rows, limit, near = rows[go := near[:, 0] < limit], limit[go], near[go]
+        i, j = np.nonzero(near < limit[:, None])
+        cell = own[rows, place : place + step][i, j]
+        by = np.argsort(cell, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1) if len(by) else []:
+            meet(rows[i[some]], int(cell[some[0]]), limit[i[some]])
+        place, step = place + step, max(1, place)
     return verified / max(1, len(q) * len(x))
 
 
