@@ -6,7 +6,6 @@ cells are ``orders``; genes are ``part``; peaks are ``lineitem`` rows; the graph
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def whole(f: Callable[..., DataFrame], *swaps: tuple[str, str]) -> None:
-    """Registers ``f`` over its whole input; each cut in its SQL is swapped for the whole."""
-    QUERIES[f.__name__] = functools.partial(f, whole=True)
-    for cut, all_ in swaps:
-        assert cut in SQL[f.__name__], cut
-        SQL[f.__name__] = SQL[f.__name__].replace(cut, all_)
-
-
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -235,9 +226,9 @@ def label_encode_first(spark, sf):
     return columns.encode_first(table(spark, sf, "customer"), "c_mktsegment", "c_custkey", "domain_id").select("c_custkey", "domain_id")
 
 
-@query("SELECT o_orderkey, coalesce(nullif(o_orderpriority, ''), 'none') || '|' || coalesce(c_mktsegment, 'none') || '|' || CASE WHEN o_orderkey % 5 = 0 THEN 'none' ELSE 'p' || (o_orderkey % 5) END AS domain FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 7 <> 0")
+@query("SELECT o_orderkey, coalesce(nullif(o_orderpriority, ''), 'none') || '|' || coalesce(c_mktsegment, 'none') || '|' || CASE WHEN o_orderkey % 5 = 0 THEN 'none' ELSE 'p' || (o_orderkey % 5) END AS domain FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0")
 def domain_string(spark, sf):
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_custkey % 7 <> 0")
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").withColumn("c_custkey", F.expr("CASE WHEN c_acctbal >= 0 THEN c_custkey END"))
     plate = F.when(F.col("o_orderkey") % 5 == 0, F.lit(" NaN ")).otherwise(F.concat(F.lit("p"), (F.col("o_orderkey") % 5).cast("string")))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", text.joined_domain(F.col("o_orderpriority"), F.col("c_mktsegment"), plate).alias("domain"))
 
@@ -246,7 +237,7 @@ def domain_string(spark, sf):
 def metadata_left_join(spark, sf):
     c = table(spark, sf, "customer").withColumnRenamed("c_nationkey", "s_nationkey")
     out = columns.enrich(table(spark, sf, "supplier"), c, "s_nationkey", order=["c_custkey"])
-    out = columns.lookup(out, table(spark, sf, "nation").where("n_regionkey <> 2").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey", "n_name", "nation")
+    out = columns.lookup(out, table(spark, sf, "nation").withColumn("s_nationkey", F.expr("CASE WHEN n_regionkey <> 2 THEN n_nationkey END")), "s_nationkey", "n_name", "nation")
     return out.select("s_suppkey", "c_name", "c_mktsegment", "nation")
 
 
@@ -278,15 +269,12 @@ def drug_dose_list(spark, sf):
 FIRST = "CASE WHEN strpos({x}, '. ') - 1 > 20 AND strpos({x}, '. ') - 1 < 220 THEN substr({x}, 1, strpos({x}, '. ')) ELSE substr({x}, 1, 220) END"
 
 
-@query("WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s]+', ' ', 'g')) AS x, trim(split_part(regexp_replace('NCBI Gene: ' || replace(substr(text, 1, 150), chr(10), ' ') || ' [Source:HGNC;Acc:1] | rest', '^[A-Za-z0-9 _]+:\\s*', ''), ' [Source:HGNC', 1)) AS y FROM documents), e AS (SELECT doc_id, x, trim(split_part(y, '|', 1)) AS z FROM d) SELECT doc_id, " + FIRST.format(x="x") + " AS short, " + FIRST.format(x="z") + " AS clean FROM e")
-def desc_clean(spark, sf, whole=False):
-    told = F.concat(F.lit("NCBI Gene: "), F.replace("text" if whole else F.left("text", F.lit(150)), F.lit("\n"), F.lit(" ")), F.lit(" [Source:HGNC;Acc:1] | rest"))
+@query("WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s]+', ' ', 'g')) AS x, trim(split_part(regexp_replace('NCBI Gene: ' || replace(text, chr(10), ' ') || ' [Source:HGNC;Acc:1] | rest', '^[A-Za-z0-9 _]+:\\s*', ''), ' [Source:HGNC', 1)) AS y FROM documents), e AS (SELECT doc_id, x, trim(split_part(y, '|', 1)) AS z FROM d) SELECT doc_id, " + FIRST.format(x="x") + " AS short, " + FIRST.format(x="z") + " AS clean FROM e")
+def desc_clean(spark, sf):
+    told = F.concat(F.lit("NCBI Gene: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" [Source:HGNC;Acc:1] | rest"))
     return table(spark, sf, "documents").select("doc_id", text.shorten(F.col("text")).alias("short"), text.clean_description(told).alias("clean"))
 
 
-whole(desc_clean, ("substr(text, 1, 150)", "text"))
-
-
 ATAC_CELLS = "SELECT o_orderkey AS cell_id, o_totalprice / 40000 AS tss_enrichment, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 100) / 200.0 END AS frip, o_totalprice AS n_fragments FROM orders"
 
 
@@ -362,12 +350,9 @@ def metric_precision_k(spark, sf):
     return metrics.precision_at_k(predictions(spark, sf), 10, 20).select(r6("precision_neg"), r6("precision_pos"))
 
 
-@query(f"WITH {_pairs(4)}, v AS (SELECT gene_idx, y AS v, 0 AS s FROM p UNION ALL SELECT gene_idx, f, 1 FROM p), k AS (SELECT a.gene_idx, sum(exp(-power(a.v - b.v, 2)) * CASE WHEN a.s = b.s THEN 1 ELSE -1 END) AS s FROM v a JOIN v b ON a.gene_idx = b.gene_idx GROUP BY 1), n AS (SELECT gene_idx, count(*) AS n FROM p GROUP BY 1) SELECT round(avg(s / n / n), 6) AS mmd FROM k JOIN n USING (gene_idx)")
-def metric_mmd(spark, sf, whole=False):
-    return metrics.mmd(predictions(spark, sf, 64 if whole else 4)).select(r6("mmd"))
-
-
-whole(metric_mmd, (_pairs(4), _pairs()))
+@query(f"WITH {_pairs()}, v AS (SELECT gene_idx, y AS v, 0 AS s FROM p UNION ALL SELECT gene_idx, f, 1 FROM p), k AS (SELECT a.gene_idx, sum(exp(-power(a.v - b.v, 2)) * CASE WHEN a.s = b.s THEN 1 ELSE -1 END) AS s FROM v a JOIN v b ON a.gene_idx = b.gene_idx GROUP BY 1), n AS (SELECT gene_idx, count(*) AS n FROM p GROUP BY 1) SELECT round(avg(s / n / n), 6) AS mmd FROM k JOIN n USING (gene_idx)")
+def metric_mmd(spark, sf):
+    return metrics.mmd(predictions(spark, sf)).select(r6("mmd"))
 
 
 @query(f"WITH {_pairs()}, a AS (SELECT gene_idx, y, row_number() OVER (PARTITION BY gene_idx ORDER BY y) AS r FROM p), b AS (SELECT gene_idx, f, row_number() OVER (PARTITION BY gene_idx ORDER BY f) AS r FROM p), w AS (SELECT avg(abs(y - f)) AS w FROM a JOIN b USING (gene_idx, r) GROUP BY gene_idx) SELECT round(avg(w), 6) AS wasserstein FROM w")
@@ -417,23 +402,23 @@ def kg_entity_types(spark, sf):
     return kg_nodes(spark, sf).select("id", graph.entity_type(F.col("id"), {"region": "Region"}).alias("type"))
 
 
-def seed_list(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    n = table(spark, sf, "nation").where("true" if whole else "n_nationkey % 3 = 0").select(F.upper("n_name").alias("seed"))
-    c = table(spark, sf, "customer").where("true" if whole else "c_custkey % 50 = 0").select(F.right("c_name", F.lit(4)).alias("seed"))
+def seed_list(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.upper("n_name").alias("seed"))
+    c = table(spark, sf, "customer").select(F.right("c_name", F.lit(4)).alias("seed"))
     return n.unionByName(c).unionByName(spark.range(1).select(F.lit("no such thing").alias("seed"))).distinct()
 
 
-SEEDS = "seeds AS (SELECT upper(n_name) AS seed FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT right(c_name, 4) FROM customer WHERE c_custkey % 50 = 0 UNION SELECT 'no such thing')"
+SEEDS = "seeds AS (SELECT upper(n_name) AS seed FROM nation UNION SELECT right(c_name, 4) FROM customer UNION SELECT 'no such thing')"
 
 
 @query(f"WITH {NODES}, {SEEDS}, ex AS (SELECT seed, id, type, pos FROM seeds JOIN nodes ON lower(name) = lower(seed)), rest AS (SELECT seed FROM seeds WHERE seed NOT IN (SELECT seed FROM ex)), part_ AS (SELECT seed, id, type, pos, lower(name) AS low FROM rest JOIN nodes ON contains(lower(name), lower(seed))), f AS (SELECT seed, arg_min(low, pos) AS low FROM part_ GROUP BY 1), cand AS (SELECT * FROM ex UNION ALL SELECT p.seed, id, type, pos FROM part_ p JOIN f USING (seed, low)), b AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY CASE type WHEN 'Supplier' THEN 0 WHEN 'Customer' THEN 1 ELSE 2 END, pos) AS n FROM cand) SELECT seed, id, type, CASE WHEN id IS NULL THEN 'not found' ELSE 'ok' END AS status FROM seeds LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (seed)")
-def kg_resolve_seed(spark, sf, whole=False):
-    return graph.resolve_seeds(seed_list(spark, sf, whole), kg_nodes(spark, sf), ["Supplier", "Customer"]).select("seed", "id", "type", "status")
+def kg_resolve_seed(spark, sf):
+    return graph.resolve_seeds(seed_list(spark, sf), kg_nodes(spark, sf), ["Supplier", "Customer"]).select("seed", "id", "type", "status")
 
 
 @query(f"WITH {NODES}, {SEEDS}, named AS (SELECT id, type, pos, lower(name) AS low FROM nodes UNION SELECT id, type, pos, id FROM nodes UNION SELECT id, type, pos, split_part(id, ':', 2) FROM nodes), ex AS (SELECT seed, id, type, pos, 0 AS rk, 0 AS sz FROM seeds JOIN named ON low = lower(seed)), rest AS (SELECT seed FROM seeds WHERE seed NOT IN (SELECT seed FROM ex)), p AS (SELECT seed, id, type, pos, CASE WHEN contains(' ' || low || ' ', ' ' || lower(seed) || ' ') THEN 1 WHEN starts_with(low, lower(seed)) THEN 2 ELSE 3 END AS rk, length(low) AS sz FROM rest JOIN named ON contains(low, lower(seed))), cand AS (SELECT * FROM ex UNION ALL SELECT * FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY CASE type WHEN 'Part' THEN 0 WHEN 'Customer' THEN 1 ELSE 2 END, rk, sz, pos, id) AS n FROM cand) SELECT seed, id, type, CASE WHEN id IS NULL THEN 'not found' ELSE 'ok' END AS status FROM seeds LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (seed)")
-def kg_resolve_fuzzy(spark, sf, whole=False):
-    return graph.resolve_seeds(seed_list(spark, sf, whole), kg_nodes(spark, sf), ["Part", "Customer"], fuzzy_rank=True).select("seed", "id", "type", "status")
+def kg_resolve_fuzzy(spark, sf):
+    return graph.resolve_seeds(seed_list(spark, sf), kg_nodes(spark, sf), ["Part", "Customer"], fuzzy_rank=True).select("seed", "id", "type", "status")
 
 
 CAPS = {"Region": 1, "Nation": 4, "Customer": 5, "Supplier": 6, "Part": 5, "*": 2}
@@ -441,14 +426,14 @@ BONUS = {"Supplier": 2.5, "Part": 1.8, "Nation": 1.2, "Customer": 0.6}
 EDGE_BONUS = {"Nation-Supplier": 1.5, "Supplier-Part": 0.3}
 
 
-def kg_seeds(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    n = table(spark, sf, "nation").where("true" if whole else "n_nationkey % 4 = 0").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
-    s = table(spark, sf, "supplier").where("true" if whole else "s_suppkey % 20 = 1").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("seed"))
+def kg_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("seed"))
     return n.unionByName(s).withColumn("id", F.col("seed"))
 
 
-def subgraph(spark: SparkSession, sf: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    return graph.expand(kg_seeds(spark, sf, whole), kg_nodes(spark, sf), kg_edges(spark, sf), 2, 14, CAPS, BONUS, EDGE_BONUS)
+def subgraph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return graph.expand(kg_seeds(spark, sf), kg_nodes(spark, sf), kg_edges(spark, sf), 2, 14, CAPS, BONUS, EDGE_BONUS)
 
 
 def _case(col: str, values: dict, default: float) -> str:
@@ -468,22 +453,22 @@ pk{h} AS (SELECT * FROM (SELECT ok.*, row_number() OVER (PARTITION BY seed ORDER
 k{h} AS (SELECT * FROM k{h - 1} UNION ALL SELECT seed, id, type, {h} AS hop, s AS ord FROM pk{h})"""
 
 
-GRAPH = f"{NODES}, {EDGES}, k0 AS (SELECT seed, seed AS id, n.type, 0 AS hop, 1 AS ord FROM (SELECT 'nation:' || n_nationkey AS seed FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 20 = 1) JOIN nodes n ON n.id = seed), {_hop(1)}, {_hop(2)}, kn AS (SELECT seed, id, type, hop, row_number() OVER (PARTITION BY seed ORDER BY hop, ord) AS ord FROM k2), rec AS (SELECT * FROM old1 UNION ALL SELECT m.seed, src, m.dst, et, 1, 1, p.s, f FROM m1 m JOIN pk1 p ON p.seed = m.seed AND p.id = m.dst UNION ALL SELECT * FROM old2 UNION ALL SELECT m.seed, src, m.dst, et, 2, 1, p.s, f FROM m2 m JOIN pk2 p ON p.seed = m.seed AND p.id = m.dst), ke AS (SELECT seed, src, dst, et AS type, hop, row_number() OVER (PARTITION BY seed ORDER BY hop, grp, s, f, dst, src, et) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY seed, src, dst, et ORDER BY hop, grp, s, f) AS n FROM rec) WHERE n = 1)"
+GRAPH = f"{NODES}, {EDGES}, k0 AS (SELECT seed, seed AS id, n.type, 0 AS hop, 1 AS ord FROM (SELECT 'nation:' || n_nationkey AS seed FROM nation UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier) JOIN nodes n ON n.id = seed), {_hop(1)}, {_hop(2)}, kn AS (SELECT seed, id, type, hop, row_number() OVER (PARTITION BY seed ORDER BY hop, ord) AS ord FROM k2), rec AS (SELECT * FROM old1 UNION ALL SELECT m.seed, src, m.dst, et, 1, 1, p.s, f FROM m1 m JOIN pk1 p ON p.seed = m.seed AND p.id = m.dst UNION ALL SELECT * FROM old2 UNION ALL SELECT m.seed, src, m.dst, et, 2, 1, p.s, f FROM m2 m JOIN pk2 p ON p.seed = m.seed AND p.id = m.dst), ke AS (SELECT seed, src, dst, et AS type, hop, row_number() OVER (PARTITION BY seed ORDER BY hop, grp, s, f, dst, src, et) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY seed, src, dst, et ORDER BY hop, grp, s, f) AS n FROM rec) WHERE n = 1)"
 
 
 @query(f"WITH {GRAPH} SELECT seed, id, type, CAST(hop AS BIGINT) AS hop, ord FROM kn")
-def kg_hop_select(spark, sf, whole=False):
-    return subgraph(spark, sf, whole)[0].select("seed", "id", "type", big("hop"), big("ord"))
+def kg_hop_select(spark, sf):
+    return subgraph(spark, sf)[0].select("seed", "id", "type", big("hop"), big("ord"))
 
 
 @query(f"WITH {GRAPH} SELECT seed, src, dst, type, CAST(hop AS BIGINT) AS hop, ord FROM ke")
-def kg_subgraph(spark, sf, whole=False):
-    return subgraph(spark, sf, whole)[1].select("seed", "src", "dst", "type", big("hop"), big("ord"))
+def kg_subgraph(spark, sf):
+    return subgraph(spark, sf)[1].select("seed", "src", "dst", "type", big("hop"), big("ord"))
 
 
 @query(f"WITH {GRAPH} SELECT seed, dst AS id, round(CAST(max(score) AS DOUBLE), 6) AS score FROM new1 GROUP BY 1, 2")
-def kg_candidate_scores(spark, sf, whole=False):
-    e = kg_seeds(spark, sf, whole).join(kg_edges(spark, sf).withColumnRenamed("type", "edge_type"), F.col("id") == F.col("src")).where("dst <> seed").drop("id")
+def kg_candidate_scores(spark, sf):
+    e = kg_seeds(spark, sf).join(kg_edges(spark, sf).withColumnRenamed("type", "edge_type"), F.col("id") == F.col("src")).where("dst <> seed").drop("id")
     n = kg_nodes(spark, sf).select(F.col("id").alias("dst"), F.col("type").alias("node_type"), "desc")
     own = kg_nodes(spark, sf).select(F.col("id").alias("seed"), F.col("type").alias("_own"))
     c = e.join(n, "dst").join(own, "seed").withColumn("n_type", F.when(F.col("node_type") == F.col("_own"), 1).otherwise(0))
@@ -491,20 +476,14 @@ def kg_candidate_scores(spark, sf, whole=False):
 
 
 @query(f"WITH {GRAPH}, nl AS (SELECT kn.seed, string_agg(n.name || ' [' || n.type || CASE WHEN n.descr <> '' THEN ' | ' || n.descr ELSE '' END || ']', chr(10) ORDER BY ord) AS t, count(*) AS node_count FROM kn JOIN nodes n USING (id) GROUP BY 1), el AS (SELECT ke.seed, string_agg(a.name || ' -> ' || b.name || ' (' || ke.type || ')', chr(10) ORDER BY ord) AS t, count(*) AS edge_count FROM ke JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY 1) SELECT seed, node_count, coalesce(edge_count, 0) AS edge_count, '<|HVG_subgraph|>' || chr(10) || 'NODES:' || chr(10) || nl.t || chr(10) || chr(10) || 'EDGES:' || coalesce(chr(10) || el.t, '') AS structured_text FROM nl LEFT JOIN el USING (seed)")
-def kg_render_text(spark, sf, whole=False):
-    return graph.render(*subgraph(spark, sf, whole))
+def kg_render_text(spark, sf):
+    return graph.render(*subgraph(spark, sf))
 
 
 @query(f"WITH {GRAPH} SELECT seed, count(*) FILTER (id LIKE 'customer:%' AND CAST(split_part(id, ':', 2) AS INT) IN (SELECT vec_id FROM embeddings)) AS found, count(*) FILTER (NOT (id LIKE 'customer:%' AND CAST(split_part(id, ':', 2) AS INT) IN (SELECT vec_id FROM embeddings))) AS missing FROM kn GROUP BY 1")
-def kg_embedding_attach(spark, sf, whole=False):
+def kg_embedding_attach(spark, sf):
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("customer:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vec"))
-    return graph.attach_embeddings(subgraph(spark, sf, whole)[0], e)[1]
-
-
-for _f in (kg_resolve_seed, kg_resolve_fuzzy):
-    whole(_f, (" WHERE n_nationkey % 3 = 0", ""), (" WHERE c_custkey % 50 = 0", ""))
-for _f in (kg_hop_select, kg_subgraph, kg_candidate_scores, kg_render_text, kg_embedding_attach):
-    whole(_f, (" WHERE n_nationkey % 4 = 0", ""), (" WHERE s_suppkey % 20 = 1", ""))
+    return graph.attach_embeddings(subgraph(spark, sf)[0], e)[1]
 
 
 @query(f"WITH {EDGES}, d AS (SELECT src, dst, type, count(*) OVER (PARTITION BY src) AS degree FROM edges) SELECT src, degree, CAST(CAST('0x' || substr(md5(dst), 1, 8) AS BIGINT) % CAST(ceil(degree / 20.0) AS BIGINT) AS BIGINT) AS part, string_agg(dst || ' ' || type, ',' ORDER BY dst, type) AS neighbours FROM d GROUP BY ALL")
@@ -593,7 +572,7 @@ def atac_supported_peaks(spark, sf):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment WHEN n_name IS NOT NULL THEN n_name ELSE 'none' END AS drug FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2")
 def drug_fallback(spark, sf):
     c = table(spark, sf, "customer").withColumn("cmap", F.when(F.col("c_custkey") % 3 == 0, " NA ").otherwise(F.col("c_mktsegment")))
-    out = columns.lookup(c, table(spark, sf, "nation").where("n_regionkey <> 2").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey", "n_name", "pert")
+    out = columns.lookup(c, table(spark, sf, "nation").withColumn("c_nationkey", F.expr("CASE WHEN n_regionkey <> 2 THEN n_nationkey END")), "c_nationkey", "n_name", "pert")
     return out.select("c_custkey", columns.fallback(F.col("cmap"), F.col("pert")).alias("drug"))
 
 
@@ -613,10 +592,11 @@ def cell_qc_ragged(spark, sf):
     return expression.cell_metrics(long, c, spark.range(0).select(F.col("id").alias("gene_idx")), count_zeros=True).select("cell_id", big("n_genes"), r6("n_counts"))
 
 
-@query(f"WITH {TOP}, t AS (SELECT cell_id, count(*) AS n FROM binned WHERE gene_idx % 3 = 0 GROUP BY 1) SELECT o_orderkey AS cell_id, coalesce(n, 0) AS length FROM orders LEFT JOIN t ON cell_id = o_orderkey")
+@query(f"WITH {EXPR}, t AS (SELECT cell_id, least(count(*), 4) AS n FROM expr JOIN part ON gene_idx = p_partkey WHERE value <> 0 AND p_size <= 16 GROUP BY 1) SELECT o_orderkey AS cell_id, coalesce(n, 0) AS length FROM orders LEFT JOIN t ON cell_id = o_orderkey")
 def tok_keep_empty(spark, sf):
-    top = expression.top_genes(expr(spark, sf), 4, 32).where("gene_idx % 3 = 0")
-    rows = expression.token_rows(top, 4, "gene_idx", cells(spark, sf))
+    """Cells none of whose genes has a token stay, as padding."""
+    tokens = table(spark, sf, "part").select(F.col("p_partkey").alias("gene_idx"), F.when(F.col("p_size") <= 16, F.col("p_partkey") + 1).alias("token"))
+    rows = expression.token_rows(expression.top_genes(expr(spark, sf), 4, 32, tokens=tokens), 4, "token", cells(spark, sf))
     return rows.select("cell_id", F.col("lengths").cast("long").alias("length"))
 
 
