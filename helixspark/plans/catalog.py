@@ -622,10 +622,10 @@ def hvg_seurat_style(spark, sf):
     return expression.seurat_variable(long, c, "label", 20).select(big("gene_idx"), big("n_batches"), "median_rank", r6("score"), "is_hvg")
 
 
-@query("SELECT name, CAST(quantile_cont(v, 0.1) AS DOUBLE) AS low, CAST(quantile_cont(v, 0.5) AS DOUBLE) AS median, CAST(quantile_cont(v, 0.9) AS DOUBLE) AS high FROM (SELECT l_returnflag AS name, l_extendedprice AS v FROM lineitem) GROUP BY 1")
+@query("SELECT name, round(CAST(quantile_cont(v, 0.1) AS DOUBLE), 6) AS low, round(CAST(quantile_cont(v, 0.5) AS DOUBLE), 6) AS median, round(CAST(quantile_cont(v, 0.9) AS DOUBLE), 6) AS high FROM (SELECT l_returnflag AS name, l_extendedprice AS v FROM lineitem) GROUP BY 1")
 def order_quantiles(spark, sf):
     prices = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("name"), "l_extendedprice")
-    return order.quantiles(prices, "l_extendedprice", {"low": 0.1, "median": 0.5, "high": 0.9}, "name")
+    return order.quantiles(prices, "l_extendedprice", {"low": 0.1, "median": 0.5, "high": 0.9}, "name").select("name", r6("low"), r6("median"), r6("high"))
 
 
 @query("WITH d AS (SELECT l_returnflag, l_shipdate, CAST(sum(l_linenumber) AS BIGINT) AS amount FROM lineitem GROUP BY ALL) SELECT l_returnflag, CAST(l_shipdate AS VARCHAR) AS day, amount, CAST(sum(amount) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS BIGINT) AS total FROM d")
@@ -704,7 +704,7 @@ def json_object(spark, sf):
     return sinks.json_object(columns.encode_sorted(table(spark, sf, "customer"), "c_mktsegment", "id").select("c_mktsegment", "id").distinct(), "c_mktsegment", "id")
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS n FROM customer")
+@query("SELECT c_custkey, CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS BIGINT) AS n FROM customer")
 def list_or_empty(spark, sf):
     found = F.when(F.col("c_acctbal") > 0, F.array("c_mktsegment"))
     return table(spark, sf, "customer").select("c_custkey", F.size(text.as_list(found)).cast("long").alias("n"))
