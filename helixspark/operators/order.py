@@ -26,12 +26,38 @@ def _cell(v: Column, low: Column, high: Column) -> Column:
 def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: str | None = None) -> DataFrame:
     """Exact quantiles, linear between neighbours: one row a group with a column for each named share, such as {"median": 0.5}.
 
-    Values below a rank are counted in cells of each group's range, and the cell that holds the rank becomes the next range, until
-    a range has one value or few enough to sort. So a task holds counts, or ``FEW`` values, of a group, and rows are only filtered, never
-    dealt by group. Null values are left out; NaN stands above all others; groups without values have no row.
+    Groups of at most ``FEW`` values are sorted. In larger ones values below a rank are counted in cells of the group's range, and the
+    cell that holds the rank becomes the next range, until a range has one value or few enough to sort. So a task holds counts, or
+    ``FEW`` values, of a group, and rows of large groups are only filtered, never dealt by group. Null values are left out; NaN stands
+    above all others; groups without values have no row.
     """
     group = F.col(by) if by else F.lit(0)
     rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    hot = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("g")
+    if hot.isEmpty():
+        out = _sorted(rows, shares)
+    else:
+        hot = staged(hot, "large-groups")
+        known = F.broadcast(hot) if hot.count() <= GROUPS else hot
+        same = F.col("g").eqNullSafe(F.col("_g"))
+        known = known.withColumnRenamed("g", "_g")
+        out = _sorted(rows.join(known, same, "left_anti"), shares).unionByName(_counted(rows.join(known, same, "left_semi"), shares))
+    return out.withColumnRenamed("g", by) if by else out.drop("g")
+
+
+def _between(low: Column, high: Column, part: Column) -> Column:
+    return F.when((low == high) | (part == 0), low).otherwise(low * (1 - part) + high * part)
+
+
+def _sorted(rows: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """Quantiles of groups that are small enough to sort."""
+    values = rows.groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("a"))
+    at = {name: F.lit(float(q)) * (F.size("a") - 1) for name, q in shares.items()}
+    return values.select("g", *(_between(F.get("a", F.floor(x).cast("int")), F.get("a", F.ceil(x).cast("int")), x - F.floor(x)).alias(name) for name, x in at.items()))
+
+
+def _counted(rows: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """Quantiles of groups of any size."""
     usual = ~F.isnan("v") & (F.abs("v") != F.lit(float("inf")))
     # outside the range of usual values there are only three others
     place = F.when(F.isnan("v"), 3).when(F.col("v") == float("inf"), 2).when(F.col("v") == float("-inf"), 0).otherwise(1)
@@ -54,9 +80,7 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: str |
         left = staged(large.drop("n").join(below, ["g", "low", "high"]).where("k >= below and k < below + n").select("g", "name", "side", "part", (F.col("k") - F.col("below")).alias("k"), F.col("low2").alias("low"), F.col("high2").alias("high"), "n"), "ranks")
     value_of = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v")))
     part_of = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
-    between = lambda name: F.when((value_of(name, 0) == value_of(name, 1)) | (part_of(name) == 0), value_of(name, 0)).otherwise(value_of(name, 0) * (1 - part_of(name)) + value_of(name, 1) * part_of(name)).alias(name)
-    out = done.groupBy("g").agg(*(between(name) for name in shares))
-    return out.withColumnRenamed("g", by) if by else out.drop("g")
+    return done.groupBy("g").agg(*(_between(value_of(name, 0), value_of(name, 1), part_of(name)).alias(name) for name in shares))
 
 
 def _inside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
