@@ -28,11 +28,11 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: str |
 
     Groups of at most ``FEW`` values are sorted. In larger ones values below a rank are counted in cells of the group's range, and the
     cell that holds the rank becomes the next range, until a range has one value or few enough to sort. So a task holds counts, or
-    ``FEW`` values, of a group, and rows of large groups are only filtered, never dealt by group. Null values are left out; NaN stands
+    ``FEW`` values, of a group, and rows of large groups are only filtered, never dealt by group. Null values and groups are left out; NaN stands
     above all others; groups without values have no row.
     """
     group = F.col(by) if by else F.lit(0)
-    rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and g is not null")
     hot = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("g")
     if hot.isEmpty():
         out = _sorted(rows, shares)
