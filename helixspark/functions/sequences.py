@@ -19,7 +19,7 @@ def padded(values: Column, k: int) -> Column:
 
 def mask_positions(tokens: Column, id_: Column, ratio: float = 0.15, seed: int = 42, pad: int = 0, cls_index: int | None = 0) -> Column:
     """True at positions drawn with probability ``ratio``, never at padding nor at the class token; repeatable by id, position and seed."""
-    chosen = lambda i: shuffle_key(id_.cast("long") * 4099 + i, seed) < int(ratio * 2147483647)
+    chosen = lambda i: shuffle_key(id_, seed, 4099, i) < int(ratio * 2147483647)
     free = lambda x, i: (x != pad) & (F.lit(True) if cls_index is None else i != cls_index)
     return F.transform(tokens, lambda x, i: free(x, i) & chosen(i))
 

@@ -134,3 +134,19 @@ def test_seurat_prefers_the_spread_gene(spark):
     e = spark.createDataFrame(rows, "cell_id int, gene_idx int, value double")
     cells = spark.range(80).select(F.col("id").cast("int").alias("cell_id"), (F.col("id") % 2).cast("int").alias("b"))
     assert 5 in {r.gene_idx for r in expression.seurat_variable(e, cells, "b", 3).where("is_hvg").collect()}
+
+
+def test_hashes_of_large_ids_do_not_overflow(spark):
+    def rest(x, m):
+        return x % m if x >= 0 else -(-x % m)
+
+    def key(x, seed):
+        return rest(rest(x * 1103515245 + seed * 12345, 2147483647) * 48271, 2147483647)
+
+    ids = [0, 1, -1, -2, 9_000_000, 36_000_000, 2147483647, -2147483647, 2**62, -(2**62), 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(x,) for x in ids], "id long")
+    for seed in (42, 0, 200_000):
+        got = {r.id: (r.a, r.b) for r in df.select("id", text.shuffle_key(F.col("id"), seed).alias("a"), text.shuffle_key(F.col("id"), seed, 4099, F.lit(8200)).alias("b")).collect()}
+        assert got == {x: (key(x, seed), key(x * 4099 + 8200, seed)) for x in ids}
+    few = df.select("id", sequences.mask_positions(F.array(*(F.lit(5) for _ in range(6))), F.col("id"), 0.5).alias("m")).collect()
+    assert {r.id: r.m for r in few} == {x: [i > 0 and key(x * 4099 + i, 42) < 1073741823 for i in range(6)] for x in ids}
