@@ -19,6 +19,8 @@ from helixspark.llm.textkit import list_parts
 CENTRES = 64
 #: Scores that 64 bits can't hold are shown as the nearest that they can.
 TOP = (1 << 63) - 1
+#: Pairs of a query and a cell whose bounds are held at once, and components of vectors in a batch of rows that are sent.
+BOUNDS, SENT = 1 << 18, 1 << 19
 
 
 class CoverTree:
@@ -197,7 +199,8 @@ def top_products(table: DataFrame, queries: Column, k: int = 5, block_rows: int
     A table beyond ``block_rows`` is cut into blocks about the leaves of a cover tree of ``drawn`` rows, a block's radius being that of
     all its rows. A query first meets the block whose centre promises most, and then, with its kth score from there, only those
     blocks whose centre and radius don't rule it out; rows of other blocks aren't sent. In each pair of blocks, a cover tree of the
-    queries and one of the data are searched together. ``told`` gets share, the part of all pairs of a query and a row that were sent.
+    queries and one of the data are searched together. Rows are sent in batches of bounded size, however many blocks a query meets;
+    where nothing is ruled out, their number grows with queries times blocks. ``told`` gets share, the part of all pairs of a query and a row that were sent.
 
     Products are whole numbers; those that 64 bits can't hold are shown as the nearest that they can. Vectors that are null or empty or hold
     null or non-finite components take no part, nor do null ids; lengths are searched apart; a query's own id is no
@@ -237,24 +240,27 @@ def top_products(table: DataFrame, queries: Column, k: int = 5, block_rows: int
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at, q in _by_length(b):
-                    known = sorted(blocks.get(q.shape[1], []))
+                for every, vectors in _by_length(b):
+                    dim = vectors.shape[1]
+                    known = sorted(blocks.get(dim, []))
                     if not known:
                         continue
                     cell, radius = np.array([c for c, _, _ in known]), np.array([r for *_, r in known])
-                    bound = cells.bounds(q, cell, radius)
-                    home = cells.bounds(q, cell, np.zeros(len(cell))).argmax(axis=1)
-                    if first:
-                        want = np.zeros(bound.shape, bool)
-                        want[np.arange(len(q)), home] = True
-                    else:
-                        kth = b.column("kth").take(pa.array(at))
-                        limit = np.where(kth.is_null().to_numpy(zero_copy_only=False), -np.inf, pc.fill_null(kth, 0).to_numpy().astype(np.float64))
-                        want = bound * (1 + 1e-12 * np.sign(bound)) >= limit[:, None]
-                        want[np.arange(len(q)), home] = False
-                    i, j = np.nonzero(want)
-                    some = b.take(pa.array(at[i]))
-                    yield pa.RecordBatch.from_arrays([some.column("id"), some.column("vector"), pa.array(np.full(len(i), q.shape[1], np.int32)), pa.array(cell[j].astype(np.int32))], ["id", "vector", "dim", "cell"])
+                    for s in range(0, len(every), step := max(1, BOUNDS // len(known))):
+                        at, q = every[s : s + step], vectors[s : s + step]
+                        home = cells.bounds(q, cell, np.zeros(len(cell))).argmax(axis=1)
+                        if first:
+                            i, j = np.arange(len(q)), home
+                        else:
+                            bound = cells.bounds(q, cell, radius)
+                            kth = b.column("kth").take(pa.array(at))
+                            limit = np.where(kth.is_null().to_numpy(zero_copy_only=False), -np.inf, pc.fill_null(kth, 0).to_numpy().astype(np.float64))
+                            want = bound * (1 + 1e-12 * np.sign(bound)) >= limit[:, None]
+                            want[np.arange(len(q)), home] = False
+                            i, j = np.nonzero(want)
+                        for t in range(0, len(i), most := max(1, SENT // dim)):
+                            some = b.select(["id", "vector"]).take(pa.array(at[i[t : t + most]]))
+                            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(some.num_rows, dim, np.int32)), pa.array(cell[j[t : t + most]].astype(np.int32))], ["id", "vector", "dim", "cell"])
 
         return run
 

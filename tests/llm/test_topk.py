@@ -47,3 +47,23 @@ def test_random_ties_lengths_and_copies(spark):
 def test_a_length_that_was_not_drawn(spark):
     rows = [(i, [i % 7, 1]) for i in range(60)] + [(1000, [1, 2, 3]), (1010, [3, 2, 1])]
     assert run(spark, rows, k=3, block_rows=20, drawn=1) == by_hand(rows, 3)
+
+
+def test_rows_are_sent_in_batches_of_bounded_size(spark, monkeypatch):
+    """Nothing is ruled out here, so each query meets all blocks."""
+    monkeypatch.setattr(topk, "SENT", 1 << 12, raising=False)
+    kind = type(spark.range(1))
+    real = kind.mapInArrow
+
+    def checked(self, run, schema, *more, **named):
+        def few(batches):
+            for b in run(batches):
+                assert "kth" in b.schema.names or "far" in b.schema.names or b.num_rows * 16 <= 1 << 12, b.num_rows
+                yield b
+
+        return real(self, few, schema, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", checked)
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(rng.integers(-99, 99, (1200, 16)).tolist())]
+    assert run(spark, rows, k=3, block_rows=100, query_rows=64) == by_hand(rows, 3)
