@@ -141,3 +141,37 @@ def test_a_seed_that_fails_has_a_record(spark, tmp_path):
     rows = pipelines.subgraph_batches(seeds, f"file://{tmp_path}/out", lambda t: t.select("seed", bad.alias("status"))).collect()
     assert sorted((r.seed, r.status) for r in rows) == [(f"N{i}", "failed" if i == 3 else "ok") for i in range(6)]
     assert "broken" in next(r.error for r in rows if r.seed == "N3")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_hubs_are_met_in_part_and_give_the_same(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "HUB", 1, raising=False)
+    rnd = random.Random(seed)
+    name = "n{:03d}".format
+    nodes = [(name(i), f"N{i}", "ABCD"[rnd.randrange(4)], "told" if rnd.random() < 0.5 else "") for i in range(900)]
+    hubs = range(200, 208)
+    edges = [(name(h), name(i), rnd.choice("xyz")) for h in hubs for i in range(900) if rnd.random() < 0.7]
+    edges += [(name(h), name(i), "x") for h in hubs for i in range(0, 900, 9)] + [(name(rnd.randrange(900)), name(rnd.choice(hubs)), rnd.choice("xyz")) for _ in range(2700)]
+    edges += edges[:50]
+    seeds = [(f"s{i:03d}", name(i)) for i in range(195, 240)]
+    shared, real = [], graph.Stage
+    monkeypatch.setattr(graph, "Stage", lambda df, what: shared.append(real(df, what)) or shared[-1])
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got_n, got_e = graph.expand(frame(seeds, "seed string, id string"), frame(nodes, "id string, name string, type string, desc string"), frame(edges, "src string, dst string, type string"), 3, 12, CAPS, BONUS, EDGE)
+    want = [by_hand(s, i, nodes, edges, 3, 12) for s, i in seeds]
+    assert [(r.seed, r.id, r.hop) for r in got_n.orderBy("seed", "ord").collect()] == [x for w in want for x in w[0]]
+    assert [(r.seed, r.src, r.dst, r.type, r.hop) for r in got_e.orderBy("seed", "ord").collect()] == [x for w in want for x in w[1]]
+    assert any(x.df.columns[:2] == ["seed", "node_type"] and not x.df.isEmpty() for x in shared)  # targets that two hubs share were looked for
+
+
+def test_a_hub_of_many_seeds_is_not_met_whole(spark, monkeypatch):
+    """As many seeds as the hub has neighbours: rows that are met grow with seeds, not with their square."""
+    n, met = 400, []
+    real = graph.Grown.add
+    monkeypatch.setattr(graph.Grown, "add", lambda self, part: met.append(real(self, part).count()) or self.spark.read.schema(self.schema).parquet(self.parts[-1]))
+    nodes = [("hub", "H", "A", "")] + [(f"n{i:03d}", f"N{i}", "B", "") for i in range(n)]
+    edges = [(x, y, "x") for i in range(n) for x, y in (("hub", f"n{i:03d}"), (f"n{i:03d}", "hub"))]
+    seeds = [(f"n{i:03d}", f"n{i:03d}") for i in range(n)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got, _ = graph.expand(frame(seeds, "seed string, id string"), frame(nodes, "id string, name string, type string, desc string"), frame(edges, "src string, dst string, type string"), 2, 6, CAPS, BONUS, EDGE)
+    assert got.count() == n * 5 and max(met) <= n * 12, met
