@@ -11,6 +11,14 @@ from helixspark.operators.columns import first_by
 
 #: Tokens of the vocabulary's special entries.
 SPECIAL = {"<pad>": 0, "<cls>": 1}
+#: Rows of an HGNC table whose names one task makes and sorts.
+TASK_ROWS = 50_000
+
+
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks of about TASK_ROWS by hash; a small file is one split however many rows it has."""
+    parts = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(parts, key) if parts > 1 else rows
 
 
 def aliases(hgnc: DataFrame, position: str, by_row: bool = False) -> DataFrame:
@@ -23,7 +31,7 @@ def aliases(hgnc: DataFrame, position: str, by_row: bool = False) -> DataFrame:
     stages = [F.array("symbol"), listed("alias_symbol"), listed("prev_symbol")]
     placed = lambda i: lambda x, p: F.struct(F.lit(i).alias("_stage"), p.alias("_pos"), present(F.trim(x)).alias("name"))
     named = F.concat(*(F.transform(names, placed(i)) for i, names in enumerate(stages)))
-    every = base.select("_row", "hgnc_num", F.explode(named).alias("x")).where("x.name is not null")
+    every = _spread(base, "_row").select("_row", "hgnc_num", F.explode(named).alias("x")).where("x.name is not null")
     every = every.select("_row", "hgnc_num", "x._stage", "x._pos", F.posexplode(F.array("x.name", F.upper("x.name"))).alias("_upper", "name"))
     order = F.struct("_row", "_stage", "_pos", "_upper") if by_row else F.struct("_stage", "_row", "_pos", "_upper")
     return every.groupBy("name").agg(F.max_by("hgnc_num", order).alias("hgnc_num"))
@@ -31,13 +39,13 @@ def aliases(hgnc: DataFrame, position: str, by_row: bool = False) -> DataFrame:
 
 def map_genes(genes: DataFrame, hgnc: DataFrame, position: str, exact_only: bool = False) -> DataFrame:
     """hgnc_num of each gene: by Ensembl id without version, else by symbol, else by upper-case symbol; "" if unmapped."""
-    ids = first_by(hgnc.select(ensembl_id(F.col("ensembl_gene_id")).alias("_ens"), after_colon(F.col("hgnc_id")).alias("_by_id"), position).where("_ens <> '' and _by_id <> ''"), ["_ens"], [position]).drop(position)
-    names = aliases(hgnc, position)
+    ids = first_by(_spread(hgnc, position).select(ensembl_id(F.col("ensembl_gene_id")).alias("_ens"), after_colon(F.col("hgnc_id")).alias("_by_id"), position).where("_ens <> '' and _by_id <> ''"), ["_ens"], [position]).drop(position)
+    names = aliases(hgnc, position)  # joined by merging: a table that is small as it is shuffled can be large as it is broadcast
     out = genes.withColumn("_e", ensembl_id(F.col("ensembl_id"))).join(ids, F.col("_e") == F.col("_ens"), "left")
-    out = out.join(names.select(F.col("name").alias("_n1"), F.col("hgnc_num").alias("_by_name")), F.col("gene_symbol") == F.col("_n1"), "left")
+    out = out.join(names.select(F.col("name").alias("_n1"), F.col("hgnc_num").alias("_by_name")).hint("merge"), F.col("gene_symbol") == F.col("_n1"), "left")
     found = [F.col("_by_id"), F.col("_by_name")]
     if not exact_only:
-        out = out.join(names.select(F.col("name").alias("_n2"), F.col("hgnc_num").alias("_by_upper")), F.upper("gene_symbol") == F.col("_n2"), "left")
+        out = out.join(names.select(F.col("name").alias("_n2"), F.col("hgnc_num").alias("_by_upper")).hint("merge"), F.upper("gene_symbol") == F.col("_n2"), "left")
         found.append(F.col("_by_upper"))
     return out.withColumn("hgnc_num", F.coalesce(*found, F.lit(""))).drop("_e", "_ens", "_by_id", "_n1", "_by_name", "_n2", "_by_upper")
 

@@ -150,3 +150,14 @@ def test_hashes_of_large_ids_do_not_overflow(spark):
         assert got == {x: (key(x, seed), key(x * 4099 + 8200, seed)) for x in ids}
     few = df.select("id", sequences.mask_positions(F.array(*(F.lit(5) for _ in range(6))), F.col("id"), 0.5).alias("m")).collect()
     assert {r.id: r.m for r in few} == {x: [i > 0 and key(x * 4099 + i, 42) < 1073741823 for i in range(6)] for x in ids}
+
+
+def test_names_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(genes, "TASK_ROWS", 100, raising=False)
+    told = spark.range(1000).coalesce(1).select(F.col("id").alias("pos"), F.concat(F.lit("HGNC:"), "id").alias("hgnc_id"), F.concat(F.lit("s"), "id").alias("symbol"), F.lit("a|b").alias("alias_symbol"), F.lit("old").alias("prev_symbol"), F.lit("").alias("ensembl_gene_id"))
+    got = genes.aliases(told, "pos")
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    named = {r.name: r.hgnc_num for r in got.collect()}
+    assert len(named) == 2006 and named["s7"] == named["S7"] == "7" and named["a"] == named["B"] == named["OLD"] == "999"
+    mapped = genes.map_genes(spark.createDataFrame([("", "S5"), ("", "Old"), ("", "none")], "ensembl_id string, gene_symbol string"), told, "pos")
+    assert mapped._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2 and sorted(r.hgnc_num for r in mapped.collect()) == ["", "5", "999"]
