@@ -241,7 +241,7 @@ def _forest(percent: int):
     """For one block: links between components on full sets, as many as join them and no more."""
 
     def run(few: pa.Table, many: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b = [], []  # components
         if few.num_rows and many.num_rows:
             sets = {x: np.frombuffer(h, np.uint64) for x, h in zip(many["node"].to_pylist(), many["hashes"].to_pylist(), strict=True)}
             label = dict(zip(many["node"].to_pylist(), many["component"].to_pylist(), strict=True))
@@ -264,13 +264,55 @@ def _forest(percent: int):
                     for y in np.array(step)[100 * both >= percent * (ns + len(one) - both)].tolist():
                         if find(label[y]) != find(c):
                             root[find(label[y])] = find(c)
-                            a.append(min(x, y))
-                            b.append(max(x, y))
+                            a.append(label[y])
+                            b.append(c)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return _each_block(run)
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The buckets that hold several components."""
+    return placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+
+
+def _merged(rows: DataFrame, wholes: DataFrame) -> DataFrame:
+    """Rows with each component replaced by the whole (id, component) that it is part of."""
+    last = wholes.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    return rows.join(last, "component", "left").withColumn("component", F.coalesce("whole", "component")).select(rows.columns)
+
+
+def _met(opened: DataFrame, sets: DataFrame, least: float, percent: int, grid: bool) -> tuple[DataFrame, int]:
+    """(id, component) of components that links within buckets join, and how many blocks the largest bucket has.
+
+    Rows (key, node, component, n, sketch) are dealt to blocks. Without ``grid`` a class meets those of its own block alone:
+    all, in buckets of one block; in larger ones as many as join most of a group of near copies, for one row each. With it,
+    buckets of several blocks are met whole: each class outside the main component meets every block of the others.
+    """
+    told = ["key", "node", "component", "n", "sketch"]
+    sizes = opened.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("key").agg(F.max(F.struct("c", "component", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    plan = sizes.select("key", F.col("top.component").alias("largest"), "c", "top", parts(F.col("c"), F.col("s")).alias("blocks"), parts(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("parts"))
+    plan = Stage(plan.where("blocks > 1") if grid else plan, "plan")
+    ready = opened.join(plan.df.drop("c", "top"), "key").withColumn("main", F.col("component") == F.col("largest"))
+    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = deal(F.col("blocks"), 1).alias("i")
+    many = ready.select(*told, "main", block, every("parts").alias("j") if grid else F.lit(0).alias("j"))
+    few = ready.where("not main").select(*told, *((every("blocks").alias("i"), deal(F.col("parts"), 2).alias("j")) if grid else (block, F.lit(0).alias("j"))))
+    times = lambda n: F.col(n) if grid else F.lit(1)
+    load, blocks = plan.df.agg(F.sum(F.col("c") * times("parts") + (F.col("c") - F.col("top.c")) * times("blocks")), F.max("blocks")).first()
+    cell = lambda n, to="": F.pmod(F.xxhash64("key" + to, "i" + to, "j" + to), F.lit(max(1, -(-n // CELL))))
+    by_cell = lambda a, b, n: a.toDF(*(c + "1" for c in a.columns)).groupBy(cell(n, "1")).cogroup(b.groupBy(cell(n)))
+    places = Stage(by_cell(few, many, load or 0).applyInArrow(_candidates(least, percent), "key long, i int, j int, node long, component long, near array<long>"), "places")
+    full = places.df.join(sets, "node")
+    links = by_cell(full.where("near is not null"), full.where("near is null").drop("near"), places.df.count()).applyInArrow(_forest(percent), "a long, b long")
+    out = staged(components(links), "components")
+    for done in (plan, places):
+        done.drop()
+    return out, blocks or 0
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose word-shingle sets link at a Jaccard similarity of at least ``percent`` hundredths.
 
@@ -284,7 +326,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     smallest of the bucket that it shares most bands with: estimate, then full sets, then components. In buckets that
     still hold several components, classes outside the largest are compared with all of other components by registers,
     in blocks of bounded size; what is near is verified on full sets in the same blocks, which give only as many links as
-    join components. So no pair that shares a bucket goes untested unless its ends are linked already, and no table
+    join components. Buckets of several blocks have each class meet its own block first; only what is still apart then
+    meets all blocks. So no pair that shares a bucket goes untested unless its ends are linked already, and no table
     here holds pairs: all have at most a row for each class and band. Full sets are made only for classes that share a
     bucket. Counts are aggregated before shuffles, blocks are bounded by classes and by shingles, joins may be split.
     Nothing but counts and a filter of fixed size reaches the driver.
@@ -325,33 +368,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     first = staged(components(with_both(near, sets, "hashes").mapInArrow(_linked(percent), "a long, b long")), "components")
 
     placed = members.join(first.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    opened = Stage(placed.join(mixed, "key", "left_semi").join(sketches.select("node", "n"), "node"), "open")
-    sizes = opened.df.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("key").agg(F.max(F.struct("c", "component", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
-    plan = sizes.select("key", F.col("top.component").alias("largest"), "c", "top", parts(F.col("c"), F.col("s")).alias("blocks"), parts(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("parts"))
-    plan = Stage(plan, "plan")
-    ready = opened.df.join(plan.df.drop("c", "top"), "key").withColumn("main", F.col("component") == F.col("largest"))
-    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    many = ready.select("key", "node", "component", "n", "main", deal(F.col("blocks"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    few = ready.where("not main").select("key", "node", "component", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), deal(F.col("parts"), 2).alias("j"))
-    cell = lambda n, to="": F.pmod(F.xxhash64("key" + to, "i" + to, "j" + to), F.lit(max(1, -(-n // CELL))))
-    by_cell = lambda a, b, n: a.toDF(*(c + "1" for c in a.columns)).groupBy(cell(n, "1")).cogroup(b.groupBy(cell(n)))
-    sketched = lambda df: df.join(sketches.select("node", "sketch"), "node")
-    with_sets = lambda df: df.join(sets, "node")
-    load = plan.df.agg(F.sum(F.col("c") * F.col("parts") + (F.col("c") - F.col("top.c")) * F.col("blocks"))).first()[0] or 0
-    fields = "key long, i int, j int, node long, component long, near array<long>"
-    places = Stage(by_cell(sketched(few), sketched(many), load).applyInArrow(_candidates(least, percent), fields), "places")
-    more = by_cell(with_sets(places.df.where("near is not null")), with_sets(places.df.where("near is null").drop("near")), places.df.count()).applyInArrow(_forest(percent), "a long, b long")
-    label = lambda side: first.select(F.col("id").alias(side), F.col("component").alias("c" + side))
-    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = staged(components(joined), "components")
-    for done in (opened, plan, places):
-        done.drop()
+    opened = Stage(placed.join(_mixed(placed), "key", "left_semi").join(sketches, "node"), "open", "uncompressed")
+    second, blocks = _met(opened.df, sets, least, percent, grid=False)
+    if blocks > 1:
+        again = _merged(opened.df, second)
+        again = Stage(again.join(_mixed(again), "key", "left_semi"), "open", "uncompressed")
+        third = _met(again.df, sets, least, percent, grid=True)[0]
+        again.drop()
+        second = _merged(second, third).unionByName(third.join(second.select("id"), "id", "left_anti"))
+    opened.drop()
 
-    last = second.select(F.col("id").alias("component"), F.col("component").alias("whole"))
     of_node = nodes.select("p1", "p2", "n", "id", "node").join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of_node = of_node.join(last, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    of_node = _merged(of_node, second)
     smallest = of_node.groupBy("component").agg(F.min("id").alias("least"))
     of_class = of_node.join(smallest, "component").select("p1", "p2", "n", F.col("least").alias("component_id"))
     out = marks.select("id", "text_key", "n", "p1", "p2").join(of_class, ["p1", "p2", "n"], "left")

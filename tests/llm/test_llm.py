@@ -204,6 +204,41 @@ def test_blocks_of_a_bucket_join_all_that_is_linked(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == set(want) and 1 < len({r.component_id for r in got}) < 150
 
 
+def test_rows_sent_to_blocks_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Texts with one odd word are near all others, those with two aren't near each other; the first ones, that others meet first, have two."""
+    sent, candidates = spark.sparkContext.accumulator(0), dedup._candidates
+    members = []
+
+    class Spy(dedup.Stage):
+        def __init__(self, df, name, *more):
+            super().__init__(df, name, *more)
+            if name == "open":
+                members.append(self.df.count())
+
+    def counted(*args):
+        run = candidates(*args)
+
+        def count(few, many):
+            sent.add(few.num_rows + many.num_rows)
+            return run(few, many)
+
+        return count
+
+    monkeypatch.setattr(dedup, "Stage", Spy)
+    monkeypatch.setattr(dedup, "_candidates", counted)
+    monkeypatch.setattr(dedup, "BLOCK", 10)
+    rows = []
+    for i in range(160):
+        w = [f"w{j}" for j in range(100)]
+        for j in [(7 * i) % 47, 50 + (11 * i) % 43][: 2 if i < 110 else 1]:
+            w[j] = f"v{i}"
+        rows.append(document(i, " ".join(w)))
+    want = brute_components([(r[0], r[1]) for r in rows], 5, 70)
+    got = dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 5, 70).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == set(want)
+    assert members[0] > 500 and 0 < sent.value < 3 * members[0], (sent.value, members)
+
+
 def test_small_sets_share_no_band_by_one_common_shingle():
     rnd = np.random.default_rng(4)
     common = rnd.integers(1, 1 << 62, 1, dtype=np.uint64)
