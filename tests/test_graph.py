@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixspark.operators import graph
-from helixspark.plans import pipelines
+from helixspark.plans import catalog, pipelines
 from helixspark.sources import sinks
 
 CAPS = {"A": 3, "B": 4, "C": 2, "*": 2}
@@ -175,3 +175,29 @@ def test_a_hub_of_many_seeds_is_not_met_whole(spark, monkeypatch):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     got, _ = graph.expand(frame(seeds, "seed string, id string"), frame(nodes, "id string, name string, type string, desc string"), frame(edges, "src string, dst string, type string"), 2, 6, CAPS, BONUS, EDGE)
     assert got.count() == n * 5 and max(met) <= n * 12, met
+
+
+def test_candidates_match_a_loop(spark, made):
+    nodes, edges, n, e = made
+    types, ids = {i: (t, d) for i, _, t, d in nodes}, [f"n{i:02d}" for i in range(12)]
+    edges = edges + [("n01", "n01", "x"), ("n02", "n30", "y"), ("n02", "n30", "x")]
+    want = {}
+    for s, d, k in edges:
+        if s in ids and d != s:
+            score = BONUS.get(types[d][0], 0.4) + EDGE.get(k, 0.0) + (0.8 if types[d][1] else 0) + 1.8 - (0.35 if types[d][0] == types[s][0] else 0)
+            want[s, d] = max(want.get((s, d), -99), round(score, 9))
+    e = spark.createDataFrame(edges, "src string, dst string, type string")
+    got = graph.candidates(spark.createDataFrame([(i, i) for i in [*ids, "unknown"]], "seed string, id string"), n, e, len(edges), BONUS, EDGE)
+    assert sorted(((r.seed, r.id), r.score) for r in got.collect()) == sorted(want.items())
+
+
+def test_candidates_are_scored_in_tasks_of_bounded_size(spark, sf, monkeypatch):
+    make = catalog.QUERIES["kg_candidate_scores"]
+    want = sorted(map(tuple, make(spark, sf).collect()))
+    monkeypatch.setattr(graph, "TASK_ROWS", 300, raising=False)
+    got = make(spark, sf)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want
+    for df in (got, catalog.kg_base_edges(spark, sf)):  # the edges of all kg queries are made in such tasks as well
+        most = df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+        assert most <= 900 < len(want), most
